@@ -164,19 +164,17 @@ def delta_e2000(*lab: Column) -> Column:
 
 def with_hsv(df: DataFrame, r: str = "r", g: str = "g", b: str = "b") -> DataFrame:
     """Add ``h`` in [0,1), ``s``, ``v``. When two channels share the maximum the later one decides the hue."""
-    hi, lo = F.greatest(r, g, b), F.least(r, g, b)
-    df = df.withColumns({"_hi": hi / F.lit(255.0), "_lo": lo / F.lit(255.0)}).withColumn("_d", F.col("_hi") - F.col("_lo"))
-    rn, gn, bn = (F.col(c) / F.lit(255.0) for c in (r, g, b))
-    d, v = F.col("_d"), F.col("_hi")
+    df = df.withColumns({"_hi": F.greatest(r, g, b), "_lo": F.least(r, g, b)})
+    rc, gc, bc, hi, d = F.col(r), F.col(g), F.col(b), F.col("_hi"), F.col("_hi") - F.col("_lo")
     sextant = (
-        F.when(d <= 1e-6, 0.0)
-        .when(bn == v, (rn - gn) / d + 4.0)
-        .when(gn == v, (bn - rn) / d + 2.0)
-        .otherwise(F.pmod((gn - bn) / d, F.lit(6.0)))
+        F.when(d == 0, 0.0)
+        .when(bc == hi, (rc - gc) / d + 4.0)
+        .when(gc == hi, (bc - rc) / d + 2.0)
+        .otherwise(F.pmod((gc - bc) / d, F.lit(6.0)))
     )
     return df.withColumns(
-        {"h": F.pmod(sextant / 6.0, F.lit(1.0)), "s": F.when(v > 0, d / v).otherwise(0.0), "v": v}
-    ).drop("_hi", "_lo", "_d")
+        {"h": F.pmod(sextant / 6.0, F.lit(1.0)), "s": F.when(hi > 0, d / hi).otherwise(0.0), "v": hi / 255.0}
+    ).drop("_hi", "_lo")
 
 
 def luma601(r: Column, g: Column, b: Column) -> Column:

@@ -23,22 +23,25 @@ LANES = ["image_id", "band"]
 def scan_lines(px: DataFrame, value: Column, halo: int, height_wrap: bool = False) -> DataFrame:
     """``image_id, band, y, x0, vals``: each band holds its own lines and ``halo`` lines on both sides.
 
-    With ``height_wrap`` the image continues from its last line to its first, so ``yy`` is the unwrapped line number.
+    With ``height_wrap`` the image continues from its last line to its first; ``y`` is then the unwrapped line number.
+    Images no taller than one band with its halo stay whole (``_whole``, one band, no copies).
     """
     y = F.col("y")
     if height_wrap:
-        height = px.groupBy("image_id").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
-        px = px.join(height, "image_id")
-        # copies of the line one image height above and below, as often as the halo reaches
-        turns = F.ceil(F.lit(halo) / F.col("_h")).cast("int")
+        size = px.groupBy("image_id").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+        px = px.join(size, "image_id").withColumn("_whole", F.col("_h") <= BAND + 2 * halo)
+        # copies of the line one image height above and below, as often as the halo reaches; none for a whole image
+        turns = F.when(F.col("_whole"), 0).otherwise(F.ceil(F.lit(halo) / F.col("_h"))).cast("int")
         px = px.withColumn("yy", F.explode(F.transform(F.sequence(-turns, turns), lambda k: y + k * F.col("_h"))))
-        px = px.where(F.col("yy").between(-halo, F.col("_h") - 1 + halo))
-        line, keep = F.col("yy"), ["_h", "_w"]
-        last_band = F.floor((F.col("_h") - 1) / BAND)
+        px = px.where(F.col("_whole") | F.col("yy").between(-halo, F.col("_h") - 1 + halo))
+        line, keep = F.col("yy"), ["_h", "_w", "_whole"]
+        last_band = F.when(F.col("_whole"), 0).otherwise(F.floor((F.col("_h") - 1) / BAND))
     else:
         px = px.withColumn("yy", y)
         line, keep, last_band = F.col("yy"), [], F.floor((y + halo) / BAND)
     low, high = F.floor((line - halo) / BAND), F.floor((line + halo) / BAND)
+    if height_wrap:
+        low = F.when(F.col("_whole"), 0).otherwise(low)
     bands = F.sequence(F.greatest(low, F.lit(0)).cast("int"), F.least(high, last_band).cast("int"))
     spread = px.select("image_id", F.explode(bands).alias("band"), "yy", "x", value.alias("v"), *keep)
     packed = (
@@ -194,9 +197,10 @@ def dilate(px: DataFrame, max_iters: int = 64) -> DataFrame:
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("y")
-        band, width = int(pdf["band"].iloc[0]), int(pdf["_w"].iloc[0])
-        top = int(pdf["y"].iloc[0])
-        rows = int(pdf["y"].iloc[-1]) - top + 1
+        band, width, height = (int(pdf[c].iloc[0]) for c in ("band", "_w", "_h"))
+        whole = bool(pdf["_whole"].iloc[0])
+        top = 0 if whole else int(pdf["y"].iloc[0])
+        rows = height if whole else int(pdf["y"].iloc[-1]) - top + 1
         grid = np.full((rows, width), -1, dtype=np.int64)
         for y, x0, vals in zip(pdf["y"], pdf["x0"], pdf["vals"]):
             line = np.array([-1 if v is None or v != v else v for v in vals], dtype=np.int64)
@@ -212,7 +216,8 @@ def dilate(px: DataFrame, max_iters: int = 64) -> DataFrame:
                     known, wanted, moved = known | reach, wanted & ~reach, True
             if not moved:
                 break
-        own = (np.arange(rows) + top >= max(0, band * BAND)) & (np.arange(rows) + top < min(int(pdf["_h"].iloc[0]), (band + 1) * BAND))
+        line = np.arange(rows) + top
+        own = (line >= 0) & (line < height) & (whole | (line // BAND == band))
         ys, xs = np.nonzero((grid >= 0) & own[:, None])
         c = rgb[ys, xs]
         filled = (alpha == 0) & known

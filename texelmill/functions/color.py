@@ -268,7 +268,7 @@ def fit_within(w: Column, h: Column, max_w: int, max_h: int) -> dict[str, Column
 def next_power_of_2(n: Column) -> Column:
     """Smallest power of two that is at least ``n`` (1 for n <= 1), by integer bit length."""
     bits = F.length(F.conv(F.greatest(n - 1, F.lit(0)).cast("string"), 10, 2))
-    return F.when(n <= 1, F.lit(1).cast("long")).otherwise(F.shiftleft(F.lit(1).cast("long"), bits))
+    return F.when(n <= 1, F.lit(1).cast("long")).otherwise(F.pow(F.lit(2.0), bits).cast("long"))
 
 
 def jitter_channel(c: Column, seed: Column, salt: int, max_change: int = 10) -> Column:

@@ -49,7 +49,7 @@ def prepend_entries(entries: Column, targets: Column, new_last: Column) -> Colum
 
 def parse_sizes(csv: Column, lowest: int = 1, highest: int = 16384) -> Column:
     """``1024;2048, x`` to a sorted array of distinct sizes in range."""
-    tokens = F.transform(F.split(F.replace(F.coalesce(csv, F.lit("")), F.lit(";"), F.lit(",")), ","), F.trim)
+    tokens = F.transform(F.split(F.replace(F.coalesce(csv, F.lit("")), F.lit(";"), F.lit(",")), ","), lambda t: F.trim(t))
     digits = F.filter(tokens, lambda t: t.rlike("^[0-9]{1,18}$"))
     numbers = F.transform(digits, lambda t: t.cast("bigint"))
     kept = F.filter(numbers, lambda n: n.between(lowest, highest))

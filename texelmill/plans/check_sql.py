@@ -6,9 +6,9 @@ from texelmill.plans.views import with_views
 
 
 def q(views: tuple[str, ...], body: str, *ctes: tuple[str, str]) -> str:
-    """A whole check: views, further named steps, final select."""
+    """A whole check: views, further named steps (``name!`` is materialized), final select."""
     steps = [*with_views(*views), *ctes]
-    head = ",\n".join(f"{name} as ({text})" for name, text in steps)
+    head = ",\n".join(f"{name.rstrip('!')} as {'materialized ' if name.endswith('!') else ''}({text})" for name, text in steps)
     return f"with {head}\n{body}" if steps else body
 
 
@@ -225,9 +225,78 @@ def reduced(target: int, weighted: bool) -> tuple[tuple[str, str], ...]:
     return tuple(ctes)
 
 
-def nearest(colors: str, palette: str, keys: str, join: str) -> str:
-    """Nearest RGB entry of each colour; ties to the lowest index."""
+def nearest(colors: str, palette: str, keys: tuple[str, ...], join: str) -> str:
+    """``keys`` and the idx of the nearest RGB entry of each colour; ties to the lowest index."""
+    k = ", ".join(f"c.{n}" for n in keys)
+    d = "(c.r-p.r)*(c.r-p.r)+(c.g-p.g)*(c.g-p.g)+(c.b-p.b)*(c.b-p.b)"
     return (
-        f"select {keys}, idx from (select {keys}, p.idx, row_number() over (partition by {keys} order by"
-        f" (c.r-p.r)*(c.r-p.r)+(c.g-p.g)*(c.g-p.g)+(c.b-p.b)*(c.b-p.b), p.idx) as rn from {colors} c join {palette} p on {join}) where rn=1"
+        f"select {', '.join(keys)}, idx from (select {k}, p.idx, row_number() over (partition by {k} order by {d}, p.idx) as rn"
+        f" from {colors} c join {palette} p on {join}) where rn=1"
+    )
+
+
+def lightness_order(palette: str, by: str) -> str:
+    """Palette plus ``position``."""
+    h = f"case when round({chroma('lab_a', 'lab_b')},6)>0.1 then round({hue('lab_a', 'lab_b')},6) else 0 end"
+    return f"select * exclude (lab_l,lab_a,lab_b), cast(row_number() over (partition by {by} order by round(lab_l,6), {h}, idx)-1 as int) as position from {lab(palette)}"
+
+
+MEAN = "cast(floor(round(sum({0}*n)/sum(n),6)+0.5) as int) as {0}"
+
+
+def means(src: str) -> str:
+    """Weighted mean colour per (image_id, box) with dense idx."""
+    m = ", ".join(MEAN.format(k) for k in "rgb")
+    return f"select *, cast(row_number() over (partition by image_id order by r, g, b, box)-1 as int) as idx from (select image_id, box, {m} from {src} group by image_id, box)"
+
+
+def octree(hist: str, k: int, shift: int = 4) -> str:
+    m = ", ".join(MEAN.format(c) for c in "rgb")
+    box = f"(r//{2**shift})*65536+(g//{2**shift})*256+b//{2**shift}"
+    top = f"select *, row_number() over (partition by image_id order by n desc, box) as rk from (select image_id, box, {m}, sum(n) as n from (select *, {box} as box from {hist}) group by image_id, box)"
+    return f"select image_id, cast(row_number() over (partition by image_id order by r, g, b, box)-1 as int) as idx, r, g, b from ({top}) where rk<={k}"
+
+
+def mapped(hist: str, palette: str) -> str:
+    """image_id, r, g, b -> idx."""
+    return nearest(hist, palette, ("image_id", "r", "g", "b"), "c.image_id=p.image_id")
+
+
+def row_built(indexed: str, base: str, by: str) -> str:
+    """One palette row per ``by``: dominant colours, base kept when missing, equal or within 2 of it."""
+    dom = (
+        f"select {by}, idx, r as dr, g as dg, b as db, pixels from (select *, row_number() over (partition by {by}, idx order by n desc, r, g, b) as rn,"
+        f" sum(n) over (partition by {by}, idx) as pixels from (select {by}, idx, r, g, b, count(*) as n from {indexed} group by all)) where rn=1"
+    )
+    j = f"(select p.*, dr, dg, db, pixels, coalesce(dr,r) as er, coalesce(dg,g) as eg, coalesce(db,b) as eb from {base} p left join ({dom}) using ({by}, idx))"
+    d = de00(lab(lab(j, prefix="p_"), "er", "eg", "eb", prefix="q_"), ("p_l", "p_a", "p_b"), ("q_l", "q_a", "q_b"), "de")
+    stay = "((r=er and g=eg and b=eb) or de<=2.0)"
+    cols = ", ".join(f"case when {stay} then {k} else e{k} end as {k}" for k in "rgb")
+    return f"select {by}, idx, {cols}, not {stay} as deviates, case when dr is not null then de end as delta_e, coalesce(pixels,0)::bigint as pixels from {d}"
+
+
+def composed(rows: str, height: int, gradient: bool) -> str:
+    pad = "case when w>1 then x*255//(w-1) else 0 end" if gradient else "0"
+    return (
+        f"select palette_id, cast(row_no*{height}+k as int) as y, idx as x, r, g, b from {rows}, (select unnest(range({height})) as k) union all"
+        f" select palette_id, y, x, {pad}::int, {pad}::int, {pad}::int from (select palette_id, w, y, unnest(range(w))::int as x from (select palette_id, w,"
+        f" unnest(range(n*{height}, full_h::int))::int as y from (select *, power(2, ceil(log2(n*{height}))) as full_h from (select palette_id, max(row_no)+1 as n, max(idx)+1 as w from {rows} group by palette_id))))"
+    )
+
+
+def padded(pal: str, by: str, size: int, hist: str | None, candidates: str | None) -> str:
+    mix = ", ".join(f"(a.{k}*(4-k)+b.{k}*k)//4 as {k}" for k in "rgb")
+    offers = [
+        f"select a.{by}, 1 as st, (a.idx*5+s)*4+k as seq, {mix} from {pal} a, (select unnest([1,2,3,4]) as s), (select unnest([1,2,3]) as k) join {pal} b on b.{by}=a.{by} and b.idx=a.idx+s",
+        f"select {by}, 3, r*65536+g*256+b, r, g, b from (select distinct {by} from {pal}), (select unnest(range(0,256,42)) as r), (select unnest(range(0,256,42)) as g), (select unnest(range(0,256,42)) as b)",
+    ]
+    if candidates:
+        offers.append(f"select {by}, 0, seq, r, g, b from {candidates}")
+    if hist:
+        offers.append(f"select {by}, 2, seq, r, g, b from (select *, row_number() over (partition by {by} order by n desc, r, g, b) as seq from {hist}) where {by} in (select {by} from {pal})")
+    fresh = f"select {by}, r, g, b, min((st, seq)) as o from ({' union all '.join(offers)}) f where ({by}, r, g, b) not in (select ({by}, r, g, b) from {pal}) group by {by}, r, g, b"
+    placed = f"select f.*, row_number() over (partition by {by} order by o, r, g, b) as p, (select count(*) from {pal} x where x.{by}=f.{by}) as k from ({fresh}) f"
+    return (
+        f"select {by}, idx, r, g, b, null::int as strategy from {pal} where idx<{size} union all"
+        f" select {by}, cast(k+p-1 as int), r::int, g::int, b::int, o[1]::int from ({placed}) where p+k<={size}"
     )

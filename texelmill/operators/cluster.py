@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from texelmill.functions import color
 from texelmill.operators.mapping import assign_representatives
+from texelmill.session import cut_lineage
 
 RGB = ["r", "g", "b"]
 LAB = ["lab_l", "lab_a", "lab_b"]
@@ -69,9 +72,9 @@ def cluster_cells(colors: DataFrame, scope: str, target: int) -> DataFrame:
 
 
 def _de2000(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """CIEDE2000 of one Lab triple against many (vectorised twin of ``color.delta_e2000`` for in-task use)."""
-    l1, a1, b1 = one
-    l2, a2, b2 = many.T
+    """CIEDE2000 of Lab triples, broadcast over leading axes (in-task twin of ``color.with_delta_e2000``)."""
+    l1, a1, b1 = np.moveaxis(one, -1, 0)
+    l2, a2, b2 = np.moveaxis(many, -1, 0)
     c7 = ((np.hypot(a1, b1) + np.hypot(a2, b2)) / 2) ** 7
     g = 1.5 - 0.5 * np.sqrt(c7 / (c7 + 25.0**7))
     p1, p2 = a1 * g, a2 * g
@@ -142,25 +145,35 @@ def cluster_leader(colors: DataFrame, scope: str, target: int, weighted: bool =
 def cluster_medoid(members: DataFrame, scope: str, weighted: bool = False) -> DataFrame:
     """Member of each cluster with the smallest (weighted) sum of CIEDE2000 to all members; ties: smallest (r, g, b).
 
-    Members are packed 256 to a block; each member meets each block of its cluster once, spread over the key
-    (scope, cluster, block), so a hot cluster runs in many tasks and pairs never become rows.
+    Members are packed about 256 to a block; block meets block over the key (scope, cluster, block), so a hot cluster
+    runs in many tasks and pairs of members never become rows: a pair of blocks is one small matrix inside a task.
     """
     rgb = color.pack_rgb(F.col("r"), F.col("g"), F.col("b"))
     w = F.col("weight") if weighted else F.lit(1.0)
     slim = members.select(scope, "cluster", rgb.alias("_rgb"), *LAB, w.alias("_w"))
     counts = slim.groupBy(scope, "cluster").agg(F.count(F.lit(1)).alias("_k"))
-    blocks_n = F.ceil(F.col("_k") / MEDOID_BLOCK).cast("int")
-    spread = slim.join(counts, [scope, "cluster"]).withColumn("_nb", blocks_n)
-    blocks = spread.groupBy(scope, "cluster", F.pmod(F.hash("_rgb"), F.col("_nb")).alias("_block")).agg(
-        F.collect_list(F.struct(*LAB, "_w")).alias("_others")
-    )
-    asks = spread.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    own = [F.col(c) for c in LAB]
-    part = F.aggregate(
-        "_others", F.lit(0.0), lambda acc, o: acc + color.delta_e2000(*own, *[o[c] for c in LAB]) * o["_w"]
-    )
-    alone = F.when(F.col("_k") == 1, F.lit(0.0)).otherwise(part)
-    costs = asks.join(blocks, [scope, "cluster", "_block"]).select(scope, "cluster", "_rgb", alone.alias("_c"))
+    spread = slim.join(counts, [scope, "cluster"]).withColumn("_nb", F.ceil(F.col("_k") / MEDOID_BLOCK).cast("int"))
+    alone = spread.where("_k = 1").select(scope, "cluster", "_rgb", F.lit(0.0).alias("_c"))
+    keys = [scope, "cluster", "_block"]
+    names = ["_rgb", *LAB, "_w"]
+    shared = spread.where("_k > 1").withColumn("_block", F.pmod(F.hash("_rgb"), F.col("_nb")))
+    blocks = shared.groupBy(*keys, "_nb").agg(*[F.collect_list(n).alias(n) for n in names])
+    others = blocks.select(*keys, *[F.col(n).alias(f"o{n}") for n in (*LAB, "_w")])
+    asks = blocks.drop("_block").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    met = asks.join(others, keys).select(scope, "cluster", "_rgb", *LAB, *[f"o{n}" for n in (*LAB, "_w")])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = []
+            for row in pdf.itertuples(index=False):
+                own, other = (np.column_stack(row[i : i + 3]) for i in (3, 6))
+                cost = _de2000(own[:, None, :], other[None, :, :]) @ np.asarray(row[9])
+                parts.append(pd.DataFrame({scope: row[0], "cluster": row[1], "_rgb": row[2], "_c": cost}))
+            yield pd.concat(parts) if parts else pd.DataFrame(columns=[scope, "cluster", "_rgb", "_c"])
+
+    kinds = dict(slim.dtypes)
+    schema = ", ".join(f"{n} {kinds.get(n, 'double')}" for n in (scope, "cluster", "_rgb", "_c"))
+    costs = met.mapInPandas(sums, schema).unionByName(alone)
     total = costs.groupBy(scope, "cluster", "_rgb").agg(F.round(F.sum("_c"), 6).alias("cost"))
     best = total.groupBy(scope, "cluster").agg(F.min(F.struct("cost", "_rgb")).alias("m"))
     parts = color.unpack_rgb(F.col("m._rgb"))
@@ -222,6 +235,7 @@ def select_largest(clusters: DataFrame, scope: str, target: int) -> DataFrame:
 
 
 def _reduced(members: DataFrame, medoids: DataFrame, picked: DataFrame, scope: str, same_bin: bool) -> dict[str, DataFrame]:
+    picked = cut_lineage(picked)
     reps = picked.where("kept").join(medoids.select(scope, "cluster", *RGB), [scope, "cluster"])
     palette = reps.select(scope, (F.col("pick") - 1).alias("idx"), *RGB)
     spare = picked.where(~F.col("kept")).join(medoids.select(scope, "cluster", *RGB), [scope, "cluster"])
@@ -236,9 +250,9 @@ def reduce_palette(hist: DataFrame, scope: str, target: int, exact: bool = False
 
     Gives ``palette`` (scope, idx, r, g, b), ``color_map`` (scope, r, g, b -> rep_*) and ``pad_candidates``.
     """
-    colors = with_color_features(hist, scope)
-    members = cluster_leader(colors, scope, target, weighted=True) if exact else cluster_cells(colors, scope, target)
-    medoids = cluster_medoid(members, scope, weighted=True)
+    colors = cut_lineage(with_color_features(hist, scope))
+    members = cut_lineage(cluster_leader(colors, scope, target, weighted=True) if exact else cluster_cells(colors, scope, target))
+    medoids = cut_lineage(cluster_medoid(members, scope, weighted=True))
     lab = color.with_lab(medoids)
     lab = lab.select(
         scope, "cluster", color.hue_bin(F.round(color.hue_angle(F.col("lab_a"), F.col("lab_b")), 6), HUE_BINS).alias("hue_bin")
@@ -249,8 +263,8 @@ def reduce_palette(hist: DataFrame, scope: str, target: int, exact: bool = False
 
 def build_palette(hist: DataFrame, scope: str, target: int, exact: bool = False) -> dict[str, DataFrame]:
     """Unweighted reduction: cluster, medoid, the largest clusters, nearest representative overall."""
-    colors = with_color_features(hist, scope)
-    members = cluster_leader(colors, scope, target) if exact else cluster_cells(colors, scope, target)
-    medoids = cluster_medoid(members, scope)
+    colors = cut_lineage(with_color_features(hist, scope))
+    members = cut_lineage(cluster_leader(colors, scope, target) if exact else cluster_cells(colors, scope, target))
+    medoids = cut_lineage(cluster_medoid(members, scope))
     picked = select_largest(cluster_stats(members, scope), scope, target)
     return _reduced(members, medoids, picked, scope, same_bin=False)

@@ -15,6 +15,8 @@ RGB = ["r", "g", "b"]
 MAX_PALETTE = 256
 CELL_BITS = 4  # RGB cells of edge 16: 4096 cells
 CELL_EDGE = 1 << CELL_BITS
+_DE_UNITS = 10**8  # colour differences are compared in steps of 1e-8
+_DE_SPAN = 1 << 40  # more than the largest difference in those steps
 
 
 def packed_palette(palette: DataFrame, by: str = "palette_id", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -82,9 +84,8 @@ def candidate_cells(packed: DataFrame, by: str = "palette_id") -> DataFrame:
             (square(F.greatest(F.col(f"_{c}") - p[c], p[c] - F.col(f"_{c}") - top, F.lit(0))) for c in RGB), F.lit(0)
         )
 
-    return cells.withColumn("_bound", F.array_min(F.transform("entries", far))).select(
-        by, "cell", F.filter("entries", lambda p: near(p) <= F.col("_bound")).alias("entries")
-    )
+    kept = color.let(F.array_min(F.transform("entries", far)), lambda bound: F.filter("entries", lambda p: near(p) <= bound))
+    return cells.select(by, "cell", kept.alias("entries"))
 
 
 def map_to_shared_palette(px: DataFrame, palette: DataFrame, out: str = "idx", exact_last: bool = False) -> DataFrame:
@@ -126,24 +127,26 @@ def assign_representatives(colors: DataFrame, reps: DataFrame, scope: str, same_
     """Closest representative (CIEDE2000) per colour, preferring those in the colour's hue bin, then the lowest idx.
 
     ``colors``: scope, r, g, b, lab_l, lab_a, lab_b, hue_bin; ``reps``: scope, idx, r, g, b, lab_*, hue_bin (at most
-    256 per scope).
+    256 per scope). The packed reps unfold next to each colour inside one generated stage, and the running minimum - one
+    LONG of (other bin, distance, idx) - folds them before anything is shuffled.
     """
     packed = packed_palette(reps, scope, ("lab_l", "lab_a", "lab_b", "hue_bin")).withColumnRenamed("entries", "_reps")
-    own = [F.col(c) for c in ("lab_l", "lab_a", "lab_b")]
-
-    def score(p: Column) -> Column:
-        d = color.delta_e2000(p["lab_l"], p["lab_a"], p["lab_b"], *own)
-        other = (p["hue_bin"] != F.col("hue_bin")).cast("int") if same_bin_first else F.lit(0)
-        return F.struct(other.alias("o"), F.round(d, 9).alias("d"), p["idx"].alias("idx"), *[p[c].alias(c) for c in RGB])
-
-    best = F.array_min(F.transform("_reps", score))
-    out = colors.join(packed, scope).withColumn("_best", best)
-    return out.select(
+    key = color.pack_rgb(F.col("r"), F.col("g"), F.col("b")).alias("_rgb")
+    near = colors.select(scope, key, "lab_l", "lab_a", "lab_b", "hue_bin").join(packed, scope)
+    near = near.select(scope, "_rgb", "lab_l", "lab_a", "lab_b", "hue_bin", F.explode("_reps").alias("p"))
+    near = near.select("*", *[F.col(f"p.lab_{c}").alias(f"p_{c}") for c in "lab"])
+    near = color.with_delta_e2000(near, ("p_l", "p_a", "p_b"), ("lab_l", "lab_a", "lab_b"), "_de")
+    other = (F.col("p.hue_bin") != F.col("hue_bin")).cast("bigint") if same_bin_first else F.lit(0).cast("bigint")
+    score = (other * _DE_SPAN + F.round(F.col("_de") * _DE_UNITS).cast("bigint")) * MAX_PALETTE + F.col("p.idx")
+    best = near.groupBy(scope, "_rgb").agg(F.min(score).alias("_s"))
+    best = best.select(scope, "_rgb", F.pmod("_s", F.lit(MAX_PALETTE)).cast("int").alias("rep_idx"), F.floor(F.col("_s") / MAX_PALETTE).alias("_d"))
+    named = reps.select(scope, F.col("idx").alias("rep_idx"), *[F.col(c).alias(f"rep_{c}") for c in RGB])
+    return best.join(named, [scope, "rep_idx"]).select(
         scope,
-        *RGB,
-        *[F.col(f"_best.{c}").alias(f"rep_{c}") for c in RGB],
-        F.col("_best.idx").alias("rep_idx"),
-        F.col("_best.d").alias("delta_e"),
+        *[v.alias(c) for c, v in color.unpack_rgb(F.col("_rgb")).items()],
+        *[f"rep_{c}" for c in RGB],
+        "rep_idx",
+        (F.pmod("_d", F.lit(_DE_SPAN)) / _DE_UNITS).alias("delta_e"),
     )
 
 

@@ -14,6 +14,7 @@ from texelmill.functions import color
 from texelmill.operators.histogram import color_histogram
 from texelmill.operators.mapping import nearest_index, packed_palette
 from texelmill.operators.neighborhood import smooth_dither
+from texelmill.session import cut_lineage
 
 RGB = ["r", "g", "b"]
 # fixed values: names of the quantization methods; unknown names mean median_cut
@@ -64,6 +65,7 @@ def median_cut(hist: DataFrame, k: int) -> dict[str, DataFrame]:
         cut = F.when(F.col("_half") == F.col("_top"), F.col("_half") - 1).otherwise(F.col("_half"))
         right = (F.col("_v") > cut) & (F.col("_top") > F.col("_low"))
         boxes = boxes.withColumn("box", F.col("box") * 2 + right.cast("int")).select("image_id", *RGB, "n", "box")
+    boxes = cut_lineage(boxes)
     means = boxes.groupBy("image_id", "box").agg(*[_mean(c) for c in RGB])
     palette = _with_dense_idx(means)
     assigned = boxes.join(palette.select("image_id", "box", "idx"), ["image_id", "box"])
@@ -75,7 +77,7 @@ def fast_octree(hist: DataFrame, k: int, bits: int = 4) -> dict[str, DataFrame]:
     bucket = color.pack_rgb(*[F.shiftright(F.col(c), 8 - bits) for c in RGB])
     means = hist.withColumn("box", bucket).groupBy("image_id", "box").agg(F.sum("n").alias("n"), *[_mean(c) for c in RGB])
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("n"), "box"))
-    palette = _with_dense_idx(means.withColumn("_rank", rank).where(F.col("_rank") <= k))
+    palette = cut_lineage(_with_dense_idx(means.withColumn("_rank", rank).where(F.col("_rank") <= k)))
     return _result(palette, _assigned(hist, palette))
 
 
@@ -83,7 +85,7 @@ def lloyd(hist: DataFrame, palette: DataFrame, rounds: int) -> DataFrame:
     """Weighted Lloyd rounds: nearest centre, then mean per centre."""
     for _ in range(rounds):
         means = _assigned(hist, palette).groupBy("image_id", F.col("idx").alias("box")).agg(*[_mean(c) for c in RGB])
-        palette = _with_dense_idx(means).select("image_id", "idx", *RGB)
+        palette = cut_lineage(_with_dense_idx(means).select("image_id", "idx", *RGB))
     return palette
 
 
@@ -129,7 +131,8 @@ def max_coverage(hist: DataFrame, k: int, bits: int = 6) -> dict[str, DataFrame]
         return out
 
     kind = dict(hist.dtypes)["image_id"]
-    palette = _with_dense_idx(folded.groupBy("image_id").applyInPandas(pick, f"image_id {kind}, r int, g int, b int, box int"))
+    chosen = folded.groupBy("image_id").applyInPandas(pick, f"image_id {kind}, r int, g int, b int, box int")
+    palette = cut_lineage(_with_dense_idx(chosen))
     return _result(palette, _assigned(hist, palette))
 
 
@@ -145,10 +148,11 @@ def quantize_histogram(hist: DataFrame, method: str, k: int) -> dict[str, DataFr
 
 
 def quantize(px: DataFrame, method: str = "libimagequant", k: int = 64, post: str | None = "median") -> dict[str, DataFrame]:
-    """Palette, colour map and index image (``image_id, x, y, idx, a``), post-smoothed unless ``post`` is None."""
-    out = quantize_histogram(color_histogram(px, ["image_id"]), method, k)
+    """Palette, colour map, histogram and index image (``image_id, x, y, idx, a``), smoothed unless ``post`` is None."""
+    hist = cut_lineage(color_histogram(px, ["image_id"]))
+    out = quantize_histogram(hist, method, k)
     idx = px.join(out["color_map"], ["image_id", *RGB]).select("image_id", "x", "y", "idx", "a")
     if post and post != "none":
         smooth = smooth_dither(idx, k, post)
         idx = smooth.join(idx.select("image_id", "x", "y", "a"), ["image_id", "x", "y"])
-    return {**out, "index_image": idx}
+    return {**out, "index_image": idx, "hist": hist}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from texelmill.functions import color
 from texelmill.operators import cluster, histogram, lut, mapping, neighborhood, ordering, quantize
+from texelmill.session import cut_lineage
 
 RGB = ["r", "g", "b"]
 # fixed values: default palette size and scan-lines per palette row
@@ -51,7 +52,7 @@ def generate_palette(
         rows = rows.unionByName(
             built.select(F.col("row_key.image_id").alias("palette_id"), F.col("row_key.extra_no").alias("row_no"), "idx", *RGB)
         )
-    hist = histogram.color_histogram(px, ["image_id"]).join(q["color_map"], ["image_id", *RGB])
+    hist = q["hist"].join(q["color_map"], ["image_id", *RGB])
     used = hist.groupBy("image_id", "idx").agg(F.sum("n").alias("n")).join(q["palette"], ["image_id", "idx"])
     report = histogram.color_report(palette, used.groupBy("image_id", *RGB).agg(F.sum("n").alias("n")))
     levels = size
@@ -82,8 +83,8 @@ def generate_palettes(
     scoped = (lambda df: df.withColumn("scope", F.lit(0))) if single else (lambda df: df)
     colors = scoped(q["palette"]).select(scope, *RGB).distinct().withColumn("n", F.lit(1))
     reduced = cluster.build_palette(colors, scope, size, exact=not single)
-    source = histogram.color_histogram(scoped(px), [scope])
-    padded = lut.pad_palette(reduced["palette"], size, scope, source, reduced["pad_candidates"])
+    source = scoped(q["hist"]).groupBy(scope, *RGB).agg(F.sum("n").alias("n"))
+    padded = cut_lineage(lut.pad_palette(reduced["palette"], size, scope, source, reduced["pad_candidates"]))
     palette, _ = _in_order(padded, scope)
     place = palette.groupBy(scope, *RGB).agg(F.max("idx").alias("to_idx")).withColumnsRenamed({c: f"rep_{c}" for c in RGB})
     route = scoped(q["palette"]).join(reduced["color_map"], [scope, *RGB]).join(place, [scope, "rep_r", "rep_g", "rep_b"])
@@ -106,7 +107,7 @@ def merge_groups(index_images: DataFrame, group_palettes: DataFrame, size: int)
     hist = seen.unionByName(every).groupBy(*RGB).agg(F.sum("n").alias("n"), F.sum("cov").alias("coverage"))
     hist = hist.select(F.lit(0).alias("scope"), *RGB, F.greatest("n", F.lit(1)).alias("n"), "coverage")
     reduced = cluster.reduce_palette(hist, "scope", size)
-    padded = lut.pad_palette(reduced["palette"], size, "scope", None, reduced["pad_candidates"])
+    padded = cut_lineage(lut.pad_palette(reduced["palette"], size, "scope", None, reduced["pad_candidates"]))
     palette, _ = _in_order(padded, "scope")
     index = mapping.group_index_remap(index_images, group_palettes, reduced["color_map"].drop("scope"), palette)
     return {"palette": palette, "index_image": index}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,18 +24,28 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local session without that
-    setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder before running this operator")
-            folder = tempfile.mkdtemp(prefix="texelmill-")
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder before running this operator")
+        folder = tempfile.mkdtemp(prefix="texelmill-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once as a table in the shared folder and go on from that table.
+
+    A frame used several times further down is then computed once, survives lost executors, and is planned with its
+    real size, so joins against it choose broadcast or shuffle by what was written.
+    """
+    spark = df.sparkSession
+    target = f"{checkpoint_folder(spark)}/texelmill/{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return spark.read.schema(df.schema).parquet(target)

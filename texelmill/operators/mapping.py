@@ -102,16 +102,26 @@ def map_to_shared_palette(px: DataFrame, palette: DataFrame, out: str = "idx", e
     return joined.withColumn(out, idx).drop("cell", "_entries")
 
 
+def nearest_entries(colors: DataFrame, palette: DataFrame, by: str, out: str = "idx") -> DataFrame:
+    """Nearest entry of each distinct (``by``, r, g, b) in its own palette, ties to the lowest index.
+
+    The packed palette unfolds next to each colour inside one generated stage and a running minimum - one LONG of
+    (distance, idx) - folds it again at once; ``colors`` is already placed by its key, so nothing more is shuffled.
+    """
+    packed = packed_palette(palette, by).withColumnRenamed("entries", "_entries")
+    near = colors.select(by, *RGB).join(packed, by, "left").select(by, *RGB, F.explode_outer("_entries").alias("p"))
+    d = sum(((F.col(f"p.{c}") - F.col(c)) * (F.col(f"p.{c}") - F.col(c)) for c in RGB), F.lit(0))
+    best = near.groupBy(by, *RGB).agg(F.min(d * 1024 + F.col("p.idx")).alias("_s"))
+    return best.select(by, *RGB, (F.col("_s") % 1024).alias(out))
+
+
 def map_to_palette(px: DataFrame, palette: DataFrame, by: str = "palette_id", exact: DataFrame | None = None, out: str = "idx") -> DataFrame:
     """Nearest entry of each pixel's own palette (``by`` names the palette in both frames).
 
     ``exact`` (``by``, r, g, b, exact_idx) overrides the search for the colours it lists. The search runs once per
     distinct (palette, colour); a join on that key brings the answer back and AQE splits it when one colour is hot.
     """
-    colors = px.select(by, *RGB).distinct()
-    entries = packed_palette(palette, by).withColumnRenamed("entries", "_entries")
-    found = nearest_index(F.col("r"), F.col("g"), F.col("b"), F.col("_entries"))
-    mapped = colors.join(entries, by, "left").select(by, *RGB, found.alias(out))
+    mapped = nearest_entries(px.select(by, *RGB).distinct(), palette, by, out)
     if exact is not None:
         mapped = mapped.join(exact, [by, *RGB], "left").select(by, *RGB, F.coalesce("exact_idx", out).alias(out))
     return px.join(mapped, [by, *RGB], "left")

@@ -100,12 +100,16 @@ def _keyed(files: DataFrame, with_palette: bool = False) -> DataFrame:
 
 
 def pair_textures(greys: DataFrame, colors: DataFrame) -> DataFrame:
-    """Every (grey, colour) pair whose normalized names agree, in deterministic order."""
-    left = _keyed(greys).select("key", F.col("path").alias("grey_path"))
-    right = _keyed(colors).select("key", F.col("path").alias("color_path"))
-    g, c = F.col("grey_path"), F.col("color_path")
-    order = ["key", F.lower(paths.parent_name(g)), F.lower(g), F.lower(paths.stem(c)), F.lower(paths.parent_name(c)), F.lower(c)]
-    return left.join(right, "key").orderBy(*order)
+    """Every (grey, colour) pair whose normalized names agree, in deterministic order.
+
+    Keys and order columns are worked out per file, before the join multiplies rows.
+    """
+    p = F.col("path")
+    side = lambda n: [F.lower(paths.parent_name(p)).alias(f"_{n}dir"), F.lower(p).alias(f"_{n}low")]
+    left = _keyed(greys).select("key", p.alias("grey_path"), *side("g"))
+    right = _keyed(colors).select("key", p.alias("color_path"), F.lower(paths.stem(p)).alias("_cstem"), *side("c"))
+    order = ["key", "_gdir", "_glow", "_cstem", "_cdir", "_clow"]
+    return left.join(right, "key").orderBy(*order).select("key", "grey_path", "color_path")
 
 
 def unmatched_greys(greys: DataFrame, colors: DataFrame) -> DataFrame:

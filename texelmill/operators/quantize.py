@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from texelmill.functions import color
 from texelmill.operators.histogram import color_histogram
-from texelmill.operators.mapping import nearest_index, packed_palette
+from texelmill.operators.mapping import nearest_entries
 from texelmill.operators.neighborhood import smooth_dither
 from texelmill.session import cut_lineage
 
@@ -34,15 +34,17 @@ def _with_dense_idx(means: DataFrame) -> DataFrame:
 
 
 def _assigned(hist: DataFrame, palette: DataFrame) -> DataFrame:
-    entries = packed_palette(palette, "image_id").withColumnRenamed("entries", "_e")
-    idx = nearest_index(F.col("r"), F.col("g"), F.col("b"), F.col("_e"))
-    return hist.join(entries, "image_id").select("image_id", *RGB, "n", idx.alias("idx"))
+    return hist.join(nearest_entries(hist, palette, "image_id"), ["image_id", *RGB])
 
 
 def _result(palette: DataFrame, assigned: DataFrame) -> dict[str, DataFrame]:
     return {"palette": palette.select("image_id", "idx", *RGB), "color_map": assigned.select("image_id", *RGB, "idx")}
 
 
+def _nearest(hist: DataFrame, palette: DataFrame) -> dict[str, DataFrame]:
+    return _result(palette, nearest_entries(hist, palette, "image_id"))
+
+
 def median_cut(hist: DataFrame, k: int) -> dict[str, DataFrame]:
     """log2(k) rounds; each splits every box at the weighted median of its widest channel.
 
@@ -78,7 +80,7 @@ def fast_octree(hist: DataFrame, k: int, bits: int = 4) -> dict[str, DataFrame]:
     means = hist.withColumn("box", bucket).groupBy("image_id", "box").agg(F.sum("n").alias("n"), *[_mean(c) for c in RGB])
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("n"), "box"))
     palette = cut_lineage(_with_dense_idx(means.withColumn("_rank", rank).where(F.col("_rank") <= k)))
-    return _result(palette, _assigned(hist, palette))
+    return _nearest(hist, palette)
 
 
 def lloyd(hist: DataFrame, palette: DataFrame, rounds: int) -> DataFrame:
@@ -91,13 +93,13 @@ def lloyd(hist: DataFrame, palette: DataFrame, rounds: int) -> DataFrame:
 
 def kmeans_adaptive(hist: DataFrame, k: int, rounds: int = KMEANS_ROUNDS) -> dict[str, DataFrame]:
     palette = lloyd(hist, fast_octree(hist, k)["palette"], rounds)
-    return _result(palette, _assigned(hist, palette))
+    return _nearest(hist, palette)
 
 
 def error_bounded(hist: DataFrame, k: int, rounds: int = ERROR_WEIGHTED_ROUNDS) -> dict[str, DataFrame]:
     """Median cut refined by Lloyd rounds: squared error never above the plain median cut's."""
     palette = lloyd(hist, median_cut(hist, k)["palette"], rounds)
-    return _result(palette, _assigned(hist, palette))
+    return _nearest(hist, palette)
 
 
 def uniform(hist: DataFrame, k: int) -> dict[str, DataFrame]:
@@ -105,7 +107,7 @@ def uniform(hist: DataFrame, k: int) -> dict[str, DataFrame]:
     once = median_cut(hist, k)
     flat = once["color_map"].join(hist, ["image_id", *RGB]).drop(*RGB).join(once["palette"], ["image_id", "idx"])
     again = median_cut(flat.groupBy("image_id", *RGB).agg(F.sum("n").alias("n")), k)
-    return _result(again["palette"], _assigned(hist, again["palette"]))
+    return _nearest(hist, again["palette"])
 
 
 def max_coverage(hist: DataFrame, k: int, bits: int = 6) -> dict[str, DataFrame]:
@@ -133,7 +135,7 @@ def max_coverage(hist: DataFrame, k: int, bits: int = 6) -> dict[str, DataFrame]
     kind = dict(hist.dtypes)["image_id"]
     chosen = folded.groupBy("image_id").applyInPandas(pick, f"image_id {kind}, r int, g int, b int, box int")
     palette = cut_lineage(_with_dense_idx(chosen))
-    return _result(palette, _assigned(hist, palette))
+    return _nearest(hist, palette)
 
 
 def quantize_histogram(hist: DataFrame, method: str, k: int) -> dict[str, DataFrame]:
@@ -151,6 +153,7 @@ def quantize(px: DataFrame, method: str = "libimagequant", k: int = 64, post: st
     """Palette, colour map, histogram and index image (``image_id, x, y, idx, a``), smoothed unless ``post`` is None."""
     hist = cut_lineage(color_histogram(px, ["image_id"]))
     out = quantize_histogram(hist, method, k)
+    out["color_map"] = cut_lineage(out["color_map"])
     idx = px.join(out["color_map"], ["image_id", *RGB]).select("image_id", "x", "y", "idx", "a")
     if post and post != "none":
         smooth = smooth_dither(idx, k, post)

@@ -54,7 +54,8 @@ def generate_palette(
         )
     hist = q["hist"].join(q["color_map"], ["image_id", *RGB])
     used = hist.groupBy("image_id", "idx").agg(F.sum("n").alias("n")).join(q["palette"], ["image_id", "idx"])
-    report = histogram.color_report(palette, used.groupBy("image_id", *RGB).agg(F.sum("n").alias("n")))
+    used = cut_lineage(used.groupBy("image_id", *RGB).agg(F.sum("n").alias("n")))
+    report = histogram.color_report(palette, used)
     levels = size
     if upscale_sigma is not None and size < 256:
         keyed = rows.withColumn("row_key", F.struct("palette_id", "row_no"))

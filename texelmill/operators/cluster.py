@@ -27,6 +27,11 @@ BIN_SHARE = 0.15
 MEDOID_BLOCK = 256
 
 
+def one_scope(df: DataFrame) -> DataFrame:
+    """All rows in one scope. The value is read off the rows, so joins on it stay keyed joins instead of cross joins."""
+    return df.withColumn("scope", F.isnull("r").cast("int"))
+
+
 def with_color_features(hist: DataFrame, scope: str) -> DataFrame:
     """Lab, chroma, hue bin and effective weight per distinct colour."""
     lab = color.with_lab(hist)

@@ -116,33 +116,46 @@ def unmatched_greys(greys: DataFrame, colors: DataFrame) -> DataFrame:
     return _keyed(greys).join(_keyed(colors).select("key").distinct(), "key", "left_anti").select("key", "path")
 
 
-def _below_palettes(palettes: DataFrame, files: DataFrame) -> DataFrame:
-    """Image files under each palette's folder that share its key.
+def _palette_keys(palettes: DataFrame) -> DataFrame:
+    return _keyed(palettes, True).select("key", F.col("path").alias("palette_path"), paths.dirname(F.col("path")).alias("folder"))
 
-    A file meets only palettes of the same key whose folder is one of its own ancestors (equi join on folder and key).
-    """
-    pal = _keyed(palettes, True).select("key", F.col("path").alias("palette_path"), paths.dirname(F.col("path")).alias("folder"))
+
+def _files_by_folder(files: DataFrame) -> DataFrame:
+    """Image files with their key, once for each of their own ancestor folders."""
     img = _keyed(files.where(paths.extension(F.col("path")).isin(*paths.IMAGE_EXTENSIONS)), True).select("key", "path")
     names = F.split(paths.dirname(F.col("path")), "/")
     folders = F.transform(names, lambda s, i: F.array_join(F.slice(names, F.lit(1), i + 1), "/"))
-    spread = img.select("key", "path", F.explode(folders).alias("folder"))
-    return pal.join(spread, ["key", "folder"]).where(F.col("path") != F.col("palette_path"))
+    return img.select("key", "path", F.explode(folders).alias("folder"))
 
 
 def detect_greyscale(palettes: DataFrame, files: DataFrame) -> DataFrame:
-    """The grey image of each palette: same folder first, then the shortest path, then the alphabet."""
-    found = _below_palettes(palettes, files).where(paths.is_greyscale_name(F.col("path")))
-    far = (paths.dirname(F.col("path")) != F.col("folder")).cast("int")
+    """The grey image of each palette: same folder first, then the shortest path, then the alphabet.
+
+    Greys are reduced to the best one per (key, folder) before palettes meet them; only a palette that itself carries a
+    grey-like name must skip itself and looks at its candidates one by one.
+    """
+    p = F.col("path")
+    far = (paths.dirname(p) != F.col("folder")).cast("int")
     rank = F.struct(far.alias("far"), F.length("path").alias("n"), F.lower("path").alias("low"), "path")
-    return found.groupBy("palette_path").agg(F.min(rank).alias("m")).select("palette_path", F.col("m.path").alias("grey_path"))
+    greys = _files_by_folder(files).where(paths.is_greyscale_name(p))
+    best = greys.groupBy("key", "folder").agg(F.min(rank)["path"].alias("grey_path"))
+    pal = _palette_keys(palettes)
+    odd = paths.is_greyscale_name(F.col("palette_path"))
+    plain = pal.where(~odd).join(best, ["key", "folder"]).select("palette_path", "grey_path")
+    own = pal.where(odd).join(greys, ["key", "folder"]).where(p != F.col("palette_path"))
+    return plain.unionByName(own.groupBy("palette_path").agg(F.min(rank)["path"].alias("grey_path")))
 
 
 def detect_textures(palettes: DataFrame, files: DataFrame) -> DataFrame:
-    """Colour textures of each palette: strictly below its folder, neither grey-like nor palette-like names."""
+    """Colour textures of each palette: strictly below its folder, neither grey-like nor palette-like names.
+
+    A file meets only palettes of its key in its own ancestor folders (equi join on key and folder).
+    """
     p = F.col("path")
-    found = _below_palettes(palettes, files).where(paths.dirname(p) != F.col("folder"))
-    kept = found.where(~paths.is_greyscale_name(p) & ~paths.is_palette_name(p))
-    return kept.select("palette_path", p.alias("texture_path"))
+    below = _files_by_folder(files).where(paths.dirname(p) != F.col("folder"))
+    kept = below.where(~paths.is_greyscale_name(p) & ~paths.is_palette_name(p))
+    found = _palette_keys(palettes).join(kept, ["key", "folder"]).where(p != F.col("palette_path"))
+    return found.select("palette_path", p.alias("texture_path"))
 
 
 def locate_group_files(groups: DataFrame, files: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ ASSIGNED = f"select r, g, b, rep_r, rep_g, rep_b, rep_idx, {c.r4('delta_e')} as
 
 
 def _labbed(df: DataFrame) -> DataFrame:
-    lab = color.with_lab(df.withColumn("scope", F.lit(0)))
+    lab = color.with_lab(cluster.one_scope(df))
     return lab.withColumn("hue_bin", color.hue_bin(F.round(color.hue_angle(F.col("lab_a"), F.col("lab_b")), 6)))
 
 
@@ -661,7 +661,9 @@ G15 = (
     ("old", "select * replace (dense_rank() over (partition by palette_id order by row_no)-1 as row_no) from ext"),
     ("exn", "select palette_id, max(row_no)+1 as rws, max(idx)+1 as wd from old group by palette_id"),
     ("prs", "select cast(image_id as int) as palette_id, k as pair_no, image_id as grey_id, (image_id+k)%(select count(distinct image_id) from pixels) as color_id from (select distinct image_id from pixels), (select unnest([1,2]) as k)"),
-    ("ix", "select palette_id*10+pair_no as row_key, least(g.r, wd-1) as idx, c.r, c.g, c.b from prs join exn using (palette_id) join pixels g on g.image_id=grey_id join pixels c on c.image_id=color_id and c.x=g.x and c.y=g.y"),
+    ("sz", "select image_id, max(x)+1 as w, max(y)+1 as h from pixels group by image_id"),
+    ("ix", "select palette_id*10+pair_no as row_key, least(g.r, wd-1) as idx, c.r, c.g, c.b from prs join exn using (palette_id) join pixels g on g.image_id=grey_id join sz gs on gs.image_id=grey_id join sz cs on cs.image_id=color_id"
+     " join pixels c on c.image_id=color_id and c.x=floor((g.x+0.5)*cs.w/gs.w) and c.y=floor((g.y+0.5)*cs.h/gs.h)"),
     ("bs", "select palette_id*10+pair_no as row_key, idx, r, g, b from prs join old using (palette_id) where row_no=0"),
     ("br", c.row_built("ix", "bs", "row_key")),
     ("rws2", "select palette_id, row_no, idx, r, g, b from old union all select row_key//10, rws+row_key%10-1, idx, r, g, b from br join exn on exn.palette_id=row_key//10"),

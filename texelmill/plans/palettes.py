@@ -33,7 +33,8 @@ def generate_palette(
 ) -> dict[str, DataFrame]:
     """One palette per image, its grey index image, palette texture and colour report.
 
-    ``extras`` (image_id, extra_no from 1, x, y, r, g, b): further textures of the same layout; each adds a palette row.
+    ``extras`` (image_id, extra_no from 1, x, y, r, g, b): further textures of the same layout, of any size; each adds a
+    palette row.
     ``upscale_sigma`` widens palettes and indices to 256 levels.
     """
     q = quantize.quantize(px, method, size, quant_post)
@@ -46,8 +47,9 @@ def generate_palette(
     rows = palette.select(F.col("image_id").alias("palette_id"), F.lit(0).alias("row_no"), "idx", *RGB)
     if extras is not None:
         keyed = extras.withColumn("row_key", F.struct("image_id", "extra_no"))
-        seen = grey.select("image_id", "x", "y", "idx").join(keyed, ["image_id", "x", "y"])
-        bases = keyed.select("image_id", "row_key").distinct().join(palette, "image_id")
+        row_keys = keyed.select("image_id", "row_key").distinct()
+        seen = lut.nearest_pixels(grey.select("image_id", "x", "y", "idx").join(row_keys, "image_id"), keyed, ("row_key",))
+        bases = row_keys.join(palette, "image_id")
         built = lut.build_row(seen, bases, "row_key")
         rows = rows.unionByName(
             built.select(F.col("row_key.image_id").alias("palette_id"), F.col("row_key.extra_no").alias("row_no"), "idx", *RGB)
@@ -81,7 +83,7 @@ def generate_palettes(
     """
     q = quantize.quantize(px, method, quant_size or size, post)
     scope = "scope" if single else "image_id"
-    scoped = (lambda df: df.withColumn("scope", F.lit(0))) if single else (lambda df: df)
+    scoped = cluster.one_scope if single else (lambda df: df)
     colors = scoped(q["palette"]).select(scope, *RGB).distinct().withColumn("n", F.lit(1))
     reduced = cluster.build_palette(colors, scope, size, exact=not single)
     source = scoped(q["hist"]).groupBy(scope, *RGB).agg(F.sum("n").alias("n"))
@@ -106,7 +108,7 @@ def merge_groups(index_images: DataFrame, group_palettes: DataFrame, size: int)
     seen = per_image.select(*RGB, "n", F.lit(1).alias("cov"))
     every = group_palettes.select(*RGB).distinct().select(*RGB, F.lit(0).cast("long").alias("n"), F.lit(0).alias("cov"))
     hist = seen.unionByName(every).groupBy(*RGB).agg(F.sum("n").alias("n"), F.sum("cov").alias("coverage"))
-    hist = hist.select(F.lit(0).alias("scope"), *RGB, F.greatest("n", F.lit(1)).alias("n"), "coverage")
+    hist = cluster.one_scope(hist.select(*RGB, F.greatest("n", F.lit(1)).alias("n"), "coverage"))
     reduced = cluster.reduce_palette(hist, "scope", size)
     padded = cut_lineage(lut.pad_palette(reduced["palette"], size, "scope", None, reduced["pad_candidates"]))
     palette, _ = _in_order(padded, "scope")
@@ -132,10 +134,15 @@ def add_palette_rows(
     else:
         flat = px
     key = F.struct("palette_id", "pair_no").alias("row_key")
+    sizes = px.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    of = lambda side: sizes.select(F.col("image_id").alias(f"{side}_id"), F.col("w").alias(f"{side}_w"), F.col("h").alias(f"{side}_h"))
     greys = px.select(F.col("image_id").alias("grey_id"), "x", "y", F.col("r").alias("level"))
-    colors = flat.select(F.col("image_id").alias("color_id"), "x", "y", *RGB)
-    asked = pairs.join(extent, "palette_id").join(greys, "grey_id").join(colors, ["color_id", "x", "y"])
-    indexed = asked.select(key, F.least(F.col("level"), F.col("width") - 1).alias("idx"), *RGB)
+    colors = flat.select(F.col("image_id").alias("color_id"), F.col("x").alias("cx"), F.col("y").alias("cy"), *RGB)
+    asked = pairs.join(extent, "palette_id").join(of("grey"), "grey_id").join(of("color"), "color_id").join(greys, "grey_id")
+    # another size: the pixel at the same relative place
+    place = lambda v, c, g: F.floor((F.col(v) + 0.5) * F.col(c) / F.col(g)).cast("int")
+    asked = asked.withColumns({"cx": place("x", "color_w", "grey_w"), "cy": place("y", "color_h", "grey_h")})
+    indexed = asked.join(colors, ["color_id", "cx", "cy"]).select(key, F.least(F.col("level"), F.col("width") - 1).alias("idx"), *RGB)
     base = pairs.select("palette_id", key).join(old.where("row_no = 0"), "palette_id").select("row_key", "idx", *RGB)
     built = lut.build_row(indexed, base, "row_key").select("row_key.palette_id", "row_key.pair_no", "idx", *RGB)
     order = F.row_number().over(Window.partitionBy("palette_id").orderBy("pair_no")) - 1

@@ -198,8 +198,10 @@ class Tables:
     def ghist(self) -> DataFrame:
         from pyspark.sql import functions as F
 
+        from texelmill.operators.cluster import one_scope
+
         per_color = self.hist().groupBy("r", "g", "b")
-        return per_color.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("coverage")).withColumn("scope", F.lit(0))
+        return one_scope(per_color.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("coverage")))
 
     def ipal(self) -> DataFrame:
         """The 64 most frequent colours of each image as its palette."""

@@ -87,6 +87,20 @@ def _xs() -> Column:
     return F.sequence(F.col("x0"), F.col("x0") + F.size("vals") - 1)
 
 
+def _shifted(line: Column, dx: int) -> Column:
+    """The part of a packed line that lies ``dx`` beside the current line, its ends repeated where it is shorter.
+
+    Slices and repeats only, so a whole line moves at once and stays in generated code.
+    """
+    vals, n = line["vals"], F.size("vals")
+    first, m = F.col("x0") + dx - line["x0"], F.size(line["vals"])
+    before = F.greatest(F.lit(0), F.least(n, -first))
+    start = F.greatest(first, F.lit(0))
+    take = F.greatest(F.lit(0), F.least(n - before, m - start))
+    head, tail = F.element_at(vals, 1), F.element_at(vals, -1)
+    return F.concat(F.array_repeat(head, before), F.slice(vals, start + 1, take), F.array_repeat(tail, n - before - take))
+
+
 def median_filter(index_image: DataFrame, size: int = 3, value: str = "idx") -> DataFrame:
     """size x size median of an index image, edges repeated; even counts (only beside holes) take the upper middle."""
     if size <= 1:
@@ -94,13 +108,14 @@ def median_filter(index_image: DataFrame, size: int = 3, value: str = "idx") ->
     reach = size // 2
     names = {f"_l{k + reach}": _line(k) for k in range(-reach, reach + 1)}
     lines = scan_lines(index_image, F.col(value), reach).withColumns(names)
-
-    def middle(x: Column) -> Column:
-        around = F.array(*[_at(F.col(n), x + dx) for n in names for dx in range(-reach, reach + 1)])
-        known = F.array_sort(F.filter(around, lambda v: v.isNotNull()))
-        return F.element_at(known, F.floor(F.size(known) / 2).cast("int") + 1)
-
-    return _spread(lines, F.transform(_xs(), middle), value)
+    own = lines.where(F.floor(F.col("y") / BAND) == F.col("band"))
+    taps = {f"t{i}{dx + reach}": _shifted(F.col(n), dx) for i, n in enumerate(names) for dx in range(-reach, reach + 1)}
+    moved = own.select("image_id", "y", "x0", "vals", *[c.alias(n) for n, c in taps.items()])
+    cells = moved.select("image_id", "y", "x0", F.posexplode(F.arrays_zip("vals", *taps)).alias("_i", "t"))
+    around = F.array(*[F.col(f"t.{n}") for n in taps])
+    known = sum((F.col(f"t.{n}").isNotNull().cast("int") for n in taps), F.lit(0))
+    middle = F.element_at(F.sort_array(around), (F.lit(len(taps)) - known + F.floor(known / 2) + 1).cast("int"))
+    return cells.where(F.col("t.vals").isNotNull()).select("image_id", (F.col("x0") + F.col("_i")).alias("x"), "y", middle.alias(value))
 
 
 def gaussian_weights(sigma: float) -> list[float]:
@@ -164,21 +179,24 @@ def cooccurrence(index_image: DataFrame, connectivity: int = 8, by: tuple[str, .
     own = lines.where(F.floor(F.col("y") / BAND) == F.col("band"))
     looks = (-1, 0, 1) if connectivity == 8 else (0,)
 
-    def inside(vals: Column, x0: Column, x: Column) -> Column:
-        ok = (x >= x0) & (x < x0 + F.size(vals))
-        return F.when(ok, F.element_at(vals, F.greatest(x - x0 + 1, F.lit(1)).cast("int")))
-
-    def links(x: Column) -> Column:
-        a = inside(F.col("vals"), F.col("x0"), x)
-        others = [inside(F.col("vals"), F.col("x0"), x + 1)]
-        others += [inside(F.col("_b.vals"), F.col("_b.x0"), x + dx) for dx in looks]
-        return F.transform(F.array(*others), lambda b: F.struct(a.alias("a"), b.alias("b")))
-
-    pairs = own.select("image_id", F.explode(F.flatten(F.transform(_xs(), links))).alias("p"))
-    unlike = pairs.where(F.col("p.a") != F.col("p.b"))
-    half = unlike.groupBy("image_id", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    both = half.select("image_id", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "n")
-    return both.groupBy(*by, F.col("p.a").alias("idx_a"), F.col("p.b").alias("idx_b")).agg(F.sum("n").alias("n"))
+    def links(line: Column, dx: int) -> Column:
+        """Values of this line zipped with those of ``line`` at ``dx`` beside them, over the columns both have."""
+        x0, n, ox, m = F.col("x0"), F.size("vals"), line["x0"], F.size(line["vals"])
+        lo = F.greatest(x0, ox - dx)
+        width = F.greatest(F.lit(0), F.least(x0 + n, ox + m - dx) - lo)
+        return F.arrays_zip(
+            F.slice("vals", F.greatest(lo - x0 + 1, F.lit(1)), width).alias("a"),
+            F.slice(line["vals"], F.greatest(lo + dx - ox + 1, F.lit(1)), width).alias("b"),
+        )
+
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    found = [links(F.struct("x0", "vals"), 1), *[F.coalesce(links(F.col("_b"), dx), none) for dx in looks]]
+    pairs = own.select("image_id", F.explode(F.concat(*found)).alias("p"))
+    a, b = F.col("p.a"), F.col("p.b")
+    unlike = pairs.where(a != b).groupBy(*by, F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = unlike.select(*by, F.explode(ways).alias("p"), "n")
+    return both.select(*by, F.col("p.a").alias("idx_a"), F.col("p.b").alias("idx_b"), "n")
 
 
 # fixed values: neighbour order of the fill, as (dx, dy) shifts of the known area

@@ -15,7 +15,7 @@ RGB = ["r", "g", "b"]
 MAX_PALETTE = 256
 CELL_BITS = 4  # RGB cells of edge 16: 4096 cells
 CELL_EDGE = 1 << CELL_BITS
-_DE_UNITS = 10**8  # colour differences are compared in steps of 1e-8
+_DE_UNITS = 10**9  # colour differences are compared in steps of 1e-9
 _DE_SPAN = 1 << 40  # more than the largest difference in those steps
 
 

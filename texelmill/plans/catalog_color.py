@@ -443,11 +443,11 @@ def d14(t: Tables) -> DataFrame:
     "d15_used_palette",
     c.q(
         ("indexed", "ipal"),
-        "select p.image_id, p.idx, p.r, p.g, p.b from ipal p join (select image_id, max(idx) as m from indexed where r<96 group by image_id) using (image_id) where p.idx<=m",
+        "select p.image_id, p.idx, p.r, p.g, p.b from ipal p join (select image_id, max(idx%(40+image_id%20)) as m from indexed group by image_id) using (image_id) where p.idx<=m",
     ),
 )
 def d15(t: Tables) -> DataFrame:
-    return histogram.used_palette(t("indexed").where("r < 96"), t("ipal"))
+    return histogram.used_palette(t("indexed").withColumn("idx", F.expr("idx%(40+image_id%20)")), t("ipal"))
 
 
 @query(

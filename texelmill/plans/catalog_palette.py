@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from texelmill.functions import color
@@ -464,9 +464,16 @@ def g07(t: Tables) -> DataFrame:
     return lut.pad_palette(t("palette"), 200, "palette_id", histogram.color_histogram(t("px"), ["palette_id"]))
 
 
-@query("g07_pad_palette_to_256", c.q(("px",), "select * from pd", PAL_HIST, ("few", "select * from palette where idx<3"), ("pd", c.padded("few", "palette_id", 256, "phist", None))))
+# at most eight colours per palette, so every padding strategy is needed
+COARSE_SQL = "select palette_id, cast(row_number() over (partition by palette_id order by r, g, b)-1 as int) as idx, r, g, b from (select distinct palette_id, r//128*200 as r, g//128*200 as g, b//128*200 as b from palette)"
+
+
+@query("g07_pad_palette_to_256", c.q(("px",), "select * from pd", PAL_HIST, ("few", COARSE_SQL), ("pd", c.padded("few", "palette_id", 256, "phist", None))))
 def g07f(t: Tables) -> DataFrame:
-    return lut.pad_palette(t("palette").where("idx < 3"), 256, "palette_id", histogram.color_histogram(t("px"), ["palette_id"]))
+    coarse = t("palette").selectExpr("palette_id", *[f"cast(floor({k}/128)*200 as int) as {k}" for k in RGB]).distinct()
+    place = F.row_number().over(Window.partitionBy("palette_id").orderBy(*RGB)) - 1
+    few = coarse.select("palette_id", place.alias("idx"), *RGB)
+    return lut.pad_palette(few, 256, "palette_id", histogram.color_histogram(t("px"), ["palette_id"]))
 
 
 IMAGE_BASE = ("base", "select distinct i.image_id, p.idx, p.r, p.g, p.b from (select distinct image_id, palette_id from px) i join palette p using (palette_id)")

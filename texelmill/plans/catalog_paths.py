@@ -229,7 +229,7 @@ SLOTS = "case p_partkey%4 when 0 then 'Textures/x'||p_partkey||'_d.DDS' when 3 t
 def b10(t: Tables) -> DataFrame:
     part = t.raw("part")
     slots = part.select(F.expr(SLOTS).alias("slot_path"))
-    known = part.where("p_partkey % 5 < 3").selectExpr("'MATERIALS/m'||p_partkey||'.bgsm' as path", "'Weapons/d'||p_partkey||'_d.dds' as DiffuseTexture")
+    known = part.selectExpr("case when p_partkey%5<3 then 'MATERIALS/m' else 'Other/m' end||p_partkey||'.bgsm' as path", "'Weapons/d'||p_partkey||'_d.dds' as DiffuseTexture")
     return pathops.resolve_diffuse(slots, known)
 
 
@@ -426,12 +426,12 @@ def h04(t: Tables) -> DataFrame:
 @query(
     "h05_subgraph_summary",
     c.q(("subgraph",), "select f.file_stem, f.file_stem||'_W2_additive.txt' as out_name, count(m.row_id) as n from (select distinct role||case when row_id%3=0 then '' else '_b' end as file_stem from subgraph union select 'missing') f"
-        " left join (select *, role||case when row_id%3=0 then '' else '_b' end as file_stem from m where role<>'5-LOW') m using (file_stem) group by 1, 2", ("m", MATCH_SQL)),
+        " left join (select *, role||case when row_id%3=0 then '' else '_b' end as file_stem from m) m using (file_stem) group by 1, 2", ("m", MATCH_SQL)),
 )
 def h05(t: Tables) -> DataFrame:
     rows = t("subgraph").withColumn("file_stem", F.expr("role||case when row_id%3=0 then '' else '_b' end"))
     files = rows.select("file_stem").unionByName(t.spark.range(1).select(F.lit("missing").alias("file_stem")))
-    done = subgraph.rewrite_rows(rows.where("role <> '5-LOW'"), ARGS[0], "AnimsNew", ARGS[1], "W2")
+    done = subgraph.rewrite_rows(rows, ARGS[0], "AnimsNew", ARGS[1], "W2")
     return subgraph.subgraph_summary(files, done, "W2")
 
 

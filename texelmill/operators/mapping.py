@@ -91,8 +91,8 @@ def candidate_cells(packed: DataFrame, by: str = "palette_id") -> DataFrame:
 def map_to_shared_palette(px: DataFrame, palette: DataFrame, out: str = "idx", exact_last: bool = False) -> DataFrame:
     """Nearest entry of ONE palette (``idx, r, g, b``, at most 256 entries) for every pixel.
 
-    The 4096-row candidate table has a proven size and is broadcast, so the pixel table is neither shuffled nor joined
-    with itself.
+    The candidate table has 4096 rows of at most 256 entries (50 MB at the very worst, usually well below one) and is
+    broadcast, so the pixel table is neither shuffled nor joined with itself.
     """
     one = packed_palette(palette.select(F.lit(0).alias("palette_id"), "idx", *RGB))
     cells = F.broadcast(candidate_cells(one).select("cell", F.col("entries").alias("_entries")))

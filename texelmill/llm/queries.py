@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texelmill.llm import lines, mixing
+from texelmill.llm import bpe, lines, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -29,6 +30,15 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+@query("op2_byte_bpe")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    done = bpe.decode_documents(bpe.encode_documents(docs, ranks).drop("text"), ranks)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 #: Trailing and leading blanks only, as Spark's trim takes them.
 _LINES_SQL = """
 with line as (select doc_id, source, pos, raw, trim(raw, ' ') as line from

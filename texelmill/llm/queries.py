@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texelmill.llm import bpe, langid, lines, mixing
+from texelmill.llm import bpe, langid, lines, mixing, ngram_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -39,6 +39,24 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+_SHINGLES_SQL = r"""
+with recursive word as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+bag as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from word),
+item as (select doc_id, len(s) as n, unnest(s) as g from bag),
+pair as (select a.doc_id as x, b.doc_id as y, any_value(a.n) as m, any_value(b.n) as n, count(*) as o from item a join item b on a.g = b.g and a.doc_id < b.doc_id group by all),
+link as (select x, y from pair where 100 * o >= 80 * (m + n - o)),
+edge as materialized (select x, y from link union all select y, x from link),
+reach(x, y) as (select doc_id, doc_id from documents union select r.x, e.y from reach r join edge e on r.y = e.x)
+select doc_id, len(s)::bigint as n_shingles, c as component_id from bag join (select x, min(y) as c from reach group by x) on x = doc_id
+"""
+
+
+@query("op3_ngram_join", _SHINGLES_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_groups(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+
+
 @query("op5_language_id")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")

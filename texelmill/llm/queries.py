@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texelmill.llm import bpe, langid, lines, mixing, ngram_join
+from texelmill.llm import bpe, langid, lines, mixing, ngram_join, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -66,6 +66,22 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
 
 
+_WINDOWS_SQL = r"""
+with word as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 49], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from word where len(w) >= 50)),
+early as (select k, min(doc_id) as least from win group by k having count(distinct doc_id) > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as p from win join early using (k) where doc_id > least),
+kept as (select a.doc_id, string_agg(x, ' ' order by p) as t, count(*) as n from (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from word) a anti join gone g on a.doc_id = g.doc_id and a.p = g.p group by a.doc_id)
+select w.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from word w left join kept k on w.doc_id = k.doc_id
+"""
+
+
+@query("op6_substring_dedup", _WINDOWS_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    out = substrings.remove_repeated_windows(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 #: Trailing and leading blanks only, as Spark's trim takes them.
 _LINES_SQL = """
 with line as (select doc_id, source, pos, raw, trim(raw, ' ') as line from

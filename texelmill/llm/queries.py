@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texelmill.llm import bpe, langid, lines, mixing, ngram_join, substrings
+from texelmill.llm import bpe, fingerprints, langid, lines, mixing, ngram_join, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -98,3 +98,8 @@ from documents d left join kept k on d.doc_id = k.doc_id
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     out = lines.remove_wide_lines(spark.read.parquet(f"{folder}/documents.parquet"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op10_fingerprints")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(spark.read.parquet(f"{folder}/documents.parquet"))

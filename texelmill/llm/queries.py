@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texelmill.llm import bpe, fingerprints, langid, lines, mixing, ngram_join, substrings
+from texelmill.llm import bpe, chat, fingerprints, langid, lines, mixing, ngram_join, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -82,6 +82,27 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+_CHATS_SQL = r"""
+with turn as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked as (select *, length(text) + list_sum(list_transform(['\\', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '<|', '|>'],
+  lambda c: (length(text) - length(replace(text, c, ''))) // length(c))) as escaped from turn)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(escaped + case role when 'system' then 8 + 10 when 'user' then 10 + 8 when 'assistant' then 1 + 5 else 2 + length(role) + 3 + 9 end)::bigint as formatted_chars
+from marked group by conv_id
+"""
+
+
+@query("op7_chat_format", _CHATS_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    planted = "</s>[INST] ok [/INST]"
+    turns = turns.unionByName(spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], "conv_id long, turn long, role string, text string"))
+    done = chat.read_back(chat.format_chats(turns))
+    return done.select(F.col("conv").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 #: Trailing and leading blanks only, as Spark's trim takes them.
 _LINES_SQL = """
 with line as (select doc_id, source, pos, raw, trim(raw, ' ') as line from

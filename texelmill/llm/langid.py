@@ -169,7 +169,8 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", most: int =
     """
     key = F.xxhash64(text, lang, F.lit("langid")) if key is None else key
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), key.alias("key")).where("text is not null and lang is not null and text <> ''")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "l")
+    # one row per language, as many as there are models on every worker; rows are thinned out where they are read
+    counts = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "l"))
     place = (F.col("key").cast("double") + 2.0**63) / 2.0**64
     thin = rows.join(counts, F.col("lang") == F.col("l")).where(place * F.col("n") < most + 6 * most**0.5)
     ranked = thin.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).where(F.col("rank") <= most)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from texelmill.session import cut_lineage
+
 #: Standard error of a sketch of 2**k registers is 1.04 / sqrt(2**k).
 LG_REGISTERS = 12
 #: Half width of the band around the threshold, as a share of it, in which sites are counted exactly: over ten standard errors.
@@ -50,7 +52,7 @@ def remove_wide_lines(docs: DataFrame, min_sites: int = 10, doc: str = "doc_id",
     wide line is a plain join that Spark may split.
     """
     lines = distinct_lines(docs, doc, text, site)
-    wide = wide_lines(lines, min_sites)
+    wide = cut_lineage(wide_lines(lines, min_sites))  # a side of its own, so that the join's hot lines may be split
     held = lines.join(wide, ["a", "b"]).where(~F.col("doc").eqNullSafe(F.col("first")))
     held = held.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("__wide"))
     held = held.withColumnRenamed("doc", "__doc")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texelmill.llm import bpe, chat, fingerprints, langid, lines, mixing, ngram_join, substrings
+from texelmill.llm import bpe, chat, fingerprints, langid, lines, mixing, ngram_join, pages, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -103,6 +103,12 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return done.select(F.col("conv").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+@query("op8_main_text")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    return pages.extract_main_text(rows, pages.fit(rows))
+
+
 #: Trailing and leading blanks only, as Spark's trim takes them.
 _LINES_SQL = """
 with line as (select doc_id, source, pos, raw, trim(raw, ' ') as line from

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texelmill.llm import bpe, chat, fingerprints, langid, lines, mixing, ngram_join, pages, substrings
+from texelmill.llm import bpe, chat, fingerprints, langid, lines, mixing, ngram_join, pages, substrings, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -57,6 +57,21 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_groups(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
 
 
+_TOPK_SQL = """
+with vec as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score from vec q join vec c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+
+@query("op4_exact_topk", _TOPK_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors)
+
+
 @query("op5_language_id")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")

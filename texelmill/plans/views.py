@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # view -> (source table, select list); channels are INT 0..255, paths use forward slashes
+#: Eight triangles a shape, so shapes grow with the table and stay small.
+SHAPE = "cast(floor((s_suppkey-1)/8) as bigint)"
+
 VIEWS: dict[str, tuple[str, list[str]]] = {
     # 32x32 RGBA tiles
     "pixels": (
@@ -105,7 +108,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     "triangles": (
         "supplier",
         [
-            "s_nationkey as shape_id",
+            f"{SHAPE} as shape_id",
             "s_suppkey as tri_id",
             *[
                 f"cast(s_suppkey*{m}%64+{d} as double)/64 as {n}"
@@ -116,7 +119,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     "shapes": (
         "supplier",
         [
-            "concat('Meshes/m', cast(s_nationkey as varchar(20)), '.nif') as mesh_path",
+            f"concat('Meshes/m', cast({SHAPE} as varchar(20)), '.nif') as mesh_path",
             "s_suppkey as shape_id",
             "case when s_suppkey%7=0 then '' else concat('Textures/t', cast(s_suppkey%4 as varchar(20)), '_d.dds') end as diffuse",
             "cast(s_suppkey%3 as int) as n_sets",

@@ -147,8 +147,6 @@ def test_leader_clusters_follow_row_order(spark):
     feat = cluster.with_color_features(hist, "scope")
     got = {(r.r, r.g, r.b): r.cluster for r in cluster.cluster_leader(feat, "scope", 3).collect()}
     assert got[(10, 10, 10)] == got[(11, 10, 10)] and got[(200, 0, 0)] == got[(201, 3, 0)] and len(set(got.values())) == 3
-    with pytest.raises(Exception, match="too many colours"):
-        cluster.cluster_leader(feat, "scope", 3, max_colors=4).collect()
 
 
 def test_medoid_blocks_equal_brute_force(spark, monkeypatch):

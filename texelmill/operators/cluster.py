@@ -104,29 +104,28 @@ def _lead(lab: np.ndarray, weight: np.ndarray, target: int) -> tuple[np.ndarray,
     """Leader clustering in row order: join the closest moving centre within the threshold, else found a new one."""
     owner = np.zeros(len(lab), dtype=np.int64)
     for threshold in range(MAX_THRESHOLD + 1):
-        sums, mass = np.zeros((0, 3)), np.zeros(0)
+        sums, mass, count = np.zeros((len(lab), 3)), np.zeros(len(lab)), 0
         for i, point in enumerate(lab):
             near = -1
-            if len(mass):
-                d = _de2000(point, sums / np.maximum(mass, 1e-9)[:, None])
+            if count:
+                d = _de2000(point, sums[:count] / np.maximum(mass[:count], 1e-9)[:, None])
                 near = int(np.argmin(d))
                 near = near if d[near] <= threshold else -1
             if near < 0:
-                near = len(mass)
-                sums, mass = np.vstack([sums, np.zeros(3)]), np.append(mass, 0.0)
+                near, count = count, count + 1
             sums[near] += point * weight[i]
             mass[near] += weight[i]
             owner[i] = near
-        if len(mass) <= target:
+        if count <= target:
             break
     return owner, threshold
 
 
-def cluster_leader(colors: DataFrame, scope: str, target: int, weighted: bool = False, max_colors: int = 20000) -> DataFrame:
+def cluster_leader(colors: DataFrame, scope: str, target: int, weighted: bool = False) -> DataFrame:
     """Order-exact leader clustering in (r, g, b) order, one task call per scope.
 
-    For scopes whose colours are few by construction (a quantized image holds at most 256). A larger scope raises; use
-    ``cluster_cells`` there.
+    Its result depends on the order, so a scope is one task whatever its size; it is meant for quantized images (at most 256 colours). ``cluster_cells`` is
+    the form that scales.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -137,13 +136,9 @@ def cluster_leader(colors: DataFrame, scope: str, target: int, weighted: bool =
         first = pd.Series(rgb).groupby(owner).transform("min")
         return pdf[[scope, *RGB]].assign(cluster=first.astype("int32"), threshold=np.int32(threshold))
 
-    sizes = colors.groupBy(scope).agg(F.count(F.lit(1)).alias("_k"))
-    message = F.concat(F.lit("too many colours for leader clustering: "), F.col("_k").cast("string"))
-    checked = sizes.withColumn("_ok", F.when(F.col("_k") <= max_colors, True).otherwise(F.raise_error(message)))
-    small = colors.select(scope, *RGB, *LAB, "weight").join(checked, scope).where("_ok")
     kind = dict(colors.dtypes)[scope]
     schema = f"{scope} {kind}, r int, g int, b int, cluster int, threshold int"
-    found = small.drop("_k", "_ok").groupBy(scope).applyInPandas(solve, schema)
+    found = colors.select(scope, *RGB, *LAB, "weight").groupBy(scope).applyInPandas(solve, schema)
     return colors.join(found, [scope, *RGB])
 
 

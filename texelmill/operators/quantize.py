@@ -45,29 +45,45 @@ def _nearest(hist: DataFrame, palette: DataFrame) -> dict[str, DataFrame]:
     return _result(palette, nearest_entries(hist, palette, "image_id"))
 
 
+def _split_round(boxes: DataFrame, k: int) -> DataFrame:
+    """Split the boxes of largest weighted spread at the weighted median of their widest channel, as many as fit below ``k``."""
+    w = Window.partitionBy("image_id", "box")
+    span = {c: F.max(c).over(w) - F.min(c).over(w) for c in RGB}
+    boxes = boxes.withColumns({f"_s{c}": s for c, s in span.items()})
+    sr, sg, sb = (F.col(f"_s{c}") for c in RGB)
+    widest = F.when((sg >= sr) & (sg >= sb), F.col("g")).when(sr >= sb, F.col("r")).otherwise(F.col("b"))
+    boxes = boxes.withColumn("_v", widest)
+    upto = F.sum("n").over(w.orderBy("_v").rangeBetween(Window.unboundedPreceding, 0))
+    boxes = boxes.withColumns({"_upto": upto, "_all": F.sum("n").over(w), "_top": F.max("_v").over(w), "_low": F.min("_v").over(w)})
+    # smallest value whose running weight reaches half; the largest value always goes right
+    half = F.min(F.when(F.col("_upto") * 2 >= F.col("_all"), F.col("_v"))).over(w)
+    spread = F.col("_all") * (F.col("_top") - F.col("_low"))
+    per_image = Window.partitionBy("image_id")
+    boxes = boxes.withColumns({"_half": half, "_rank": F.dense_rank().over(per_image.orderBy(spread.desc(), "box"))})
+    room = F.lit(k) - F.max("_rank").over(per_image)
+    cut = F.when(F.col("_half") == F.col("_top"), F.col("_half") - 1).otherwise(F.col("_half"))
+    right = (F.col("_v") > cut) & (F.col("_top") > F.col("_low")) & (F.col("_rank") <= room)
+    return boxes.withColumn("box", F.col("box") * 2 + right.cast("long")).select("image_id", *RGB, "n", "box")
+
+
 def median_cut(hist: DataFrame, k: int) -> dict[str, DataFrame]:
-    """log2(k) rounds; each splits every box at the weighted median of its widest channel.
+    """min(k, colours) boxes per image: rounds that split every box while they fit, then the best ones, until nothing is left to split.
 
-    The histogram is placed by image once; every round's windows reuse that placement, so all rounds share ONE shuffle.
-    A window holds the distinct colours of a box, at most 2^24 however many pixels the image has.
+    The histogram is placed by image once; the windows of a batch of rounds reuse that placement, so they share ONE shuffle.
+    A window holds the distinct colours of a box, at most 2^24 however many pixels the image has. Hot colours can make boxes of one colour early; the
+    rounds then go on with the others.
     """
-    boxes = hist.repartition("image_id").withColumn("box", F.lit(0))
-    for _ in range(max(k, 1).bit_length() - 1):
-        w = Window.partitionBy("image_id", "box")
-        span = {c: F.max(c).over(w) - F.min(c).over(w) for c in RGB}
-        boxes = boxes.withColumns({f"_s{c}": s for c, s in span.items()})
-        sr, sg, sb = (F.col(f"_s{c}") for c in RGB)
-        widest = F.when((sg >= sr) & (sg >= sb), F.col("g")).when(sr >= sb, F.col("r")).otherwise(F.col("b"))
-        boxes = boxes.withColumn("_v", widest)
-        upto = F.sum("n").over(w.orderBy("_v").rangeBetween(Window.unboundedPreceding, 0))
-        boxes = boxes.withColumns({"_upto": upto, "_all": F.sum("n").over(w), "_top": F.max("_v").over(w), "_low": F.min("_v").over(w)})
-        # smallest value whose running weight reaches half; the largest value always goes right
-        half = F.min(F.when(F.col("_upto") * 2 >= F.col("_all"), F.col("_v"))).over(w)
-        boxes = boxes.withColumn("_half", half)
-        cut = F.when(F.col("_half") == F.col("_top"), F.col("_half") - 1).otherwise(F.col("_half"))
-        right = (F.col("_v") > cut) & (F.col("_top") > F.col("_low"))
-        boxes = boxes.withColumn("box", F.col("box") * 2 + right.cast("int")).select("image_id", *RGB, "n", "box")
-    boxes = cut_lineage(boxes)
+    boxes, rounds = hist.withColumn("box", F.lit(0).cast("long")), max(k - 1, 0).bit_length()
+    while True:
+        boxes = boxes.repartition("image_id")
+        for _ in range(rounds):
+            boxes = _split_round(boxes, k)
+        # short box numbers again, in the same order
+        boxes = cut_lineage(boxes.withColumn("box", F.dense_rank().over(Window.partitionBy("image_id").orderBy("box")).cast("long")))
+        size = boxes.groupBy("image_id").agg(F.count(F.lit(1)).alias("colors"), F.max("box").alias("boxes"))
+        if not size.where(F.col("boxes") < F.least("colors", F.lit(k))).limit(1).collect():
+            break
+        rounds = 4
     means = boxes.groupBy("image_id", "box").agg(*[_mean(c) for c in RGB])
     palette = _with_dense_idx(means)
     assigned = boxes.join(palette.select("image_id", "box", "idx"), ["image_id", "box"])
@@ -110,15 +126,11 @@ def uniform(hist: DataFrame, k: int) -> dict[str, DataFrame]:
     return _nearest(hist, again["palette"])
 
 
-def max_coverage(hist: DataFrame, k: int, bits: int = 6) -> dict[str, DataFrame]:
+def max_coverage(hist: DataFrame, k: int) -> dict[str, DataFrame]:
     """Farthest-point palette: start from the most frequent colour, then always the colour farthest from all chosen.
 
-    Colours are first folded to the most frequent one of each bucket (at most 2^18 per image), which bounds the task.
+    One image's histogram is one task's array, at most 2^24 colours; no colour is left out of the search.
     """
-    bucket = color.pack_rgb(*[F.shiftright(F.col(c), 8 - bits) for c in RGB])
-    first = F.max_by(F.struct(*RGB), F.struct("n", -color.pack_rgb(F.col("r"), F.col("g"), F.col("b"))))
-    folded = hist.groupBy("image_id", bucket.alias("box")).agg(first.alias("c"), F.sum("n").alias("n"))
-    folded = folded.select("image_id", "c.r", "c.g", "c.b", "n")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", *RGB], ascending=[False, True, True, True]).reset_index(drop=True)
@@ -133,7 +145,7 @@ def max_coverage(hist: DataFrame, k: int, bits: int = 6) -> dict[str, DataFrame]
         return out
 
     kind = dict(hist.dtypes)["image_id"]
-    chosen = folded.groupBy("image_id").applyInPandas(pick, f"image_id {kind}, r int, g int, b int, box int")
+    chosen = hist.select("image_id", *RGB, "n").groupBy("image_id").applyInPandas(pick, f"image_id {kind}, r int, g int, b int, box int")
     palette = cut_lineage(_with_dense_idx(chosen))
     return _nearest(hist, palette)
 

@@ -12,7 +12,7 @@ from texelmill.plans import check_sql as c
 from texelmill.plans import palettes as flows
 from texelmill.plans.catalog_color import CUBE_MEMBERS, bayer_sql, cube_members, r4
 from texelmill.plans.registry import query
-from texelmill.plans.views import Tables
+from texelmill.plans.views import SHAPE, Tables
 
 RGB = ["r", "g", "b"]
 PX_COLORS = "(select distinct palette_id, r, g, b from px)"
@@ -313,29 +313,55 @@ def f14n(t: Tables) -> DataFrame:
 # ---- quantization -----------------------------------------------------------------------------------------------------
 
 
-def median_cut_sql(rounds: int) -> tuple[tuple[str, str], ...]:
-    ctes, src = [], "(select *, 0 as box from hist)"
+def median_cut_sql(k: int, hist: str = "hist", prefix: str = "r", extra: int = 6) -> tuple[tuple[str, str], ...]:
+    """Rounds that fill up to k boxes, and ``extra`` ones for boxes that hot colours leave early; the last round is ``<prefix>z``, its means ``<prefix>mp``."""
+    ctes, src, rounds = [], f"(select *, 0::bigint as box from {hist})", (k - 1).bit_length() + extra
     for i in range(rounds):
         a = f"select *, max(r) over w-min(r) over w as sr, max(g) over w-min(g) over w as sg, max(b) over w-min(b) over w as sb from {src} window w as (partition by image_id, box)"
         v = f"select *, case when sg>=sr and sg>=sb then g when sr>=sb then r else b end as v from ({a})"
         s = f"select *, sum(n) over (partition by image_id, box order by v range between unbounded preceding and current row) as upto, sum(n) over w as al, max(v) over w as top, min(v) over w as low from ({v}) window w as (partition by image_id, box)"
-        h = f"select *, min(case when upto*2>=al then v end) over (partition by image_id, box) as half from ({s})"
-        ctes.append((f"r{i}!", f"select image_id, r, g, b, n, box*2+cast(v > (case when half=top then half-1 else half end) and top>low as int) as box from ({h})"))
-        src = f"r{i}"
-    return (*ctes, ("mp", c.means(src)))
+        h = f"select *, min(case when upto*2>=al then v end) over (partition by image_id, box) as half, dense_rank() over (partition by image_id order by al*(top-low) desc, box) as rk from ({s})"
+        m = f"select *, max(rk) over (partition by image_id) as total from ({h})"
+        name = f"{prefix}{i}" if i + 1 < rounds else f"{prefix}z"
+        ctes.append((f"{name}!", f"select image_id, r, g, b, n, box*2+cast(v > (case when half=top then half-1 else half end) and top>low and rk<={k}-total as int) as box from ({m})"))
+        src = name
+    return (*ctes, (f"{prefix}mp!", c.means(src)))
 
 
-@query("g01a_median_cut", c.q(("hist",), "select image_id, idx, r, g, b from mp", *median_cut_sql(3)))
+@query("g01a_median_cut", c.q(("hist",), "select image_id, idx, r, g, b from rmp", *median_cut_sql(8)))
 def g01a(t: Tables) -> DataFrame:
     return quantize.median_cut(t("hist"), 8)["palette"]
 
 
-@query("g01a_median_cut_map", c.q(("hist",), "select h.image_id, h.r, h.g, h.b, mp.idx from r3 h join mp using (image_id, box)", *median_cut_sql(4)))
+@query("g01a_median_cut_map", c.q(("hist",), "select h.image_id, h.r, h.g, h.b, rmp.idx from rz h join rmp using (image_id, box)", *median_cut_sql(16)))
 def g01am(t: Tables) -> DataFrame:
     return quantize.median_cut(t("hist"), 16)["color_map"]
 
 
-@query("g01b_max_coverage")
+@query("g01a_median_cut_48", c.q(("hist",), "select image_id, idx, r, g, b from rmp", *median_cut_sql(48)))
+def g01a48(t: Tables) -> DataFrame:
+    return quantize.median_cut(t("hist"), 48)["palette"]
+
+
+SKEWED = ("skew", "select image_id, r, g, b, case when (r*7+g*3+b)%11=0 then n*100000 else n end as n from hist")
+
+
+@query("g01a_median_cut_skewed", c.q(("hist",), "select image_id, idx, r, g, b from rmp", SKEWED, *median_cut_sql(40, "skew", extra=14)))
+def g01ask(t: Tables) -> DataFrame:
+    """A few colours hold nearly all pixels; the palette still has 40 entries wherever there are 40 colours."""
+    return quantize.median_cut(t("hist").withColumn("n", F.expr("case when (r*7+g*3+b)%11=0 then n*100000 else n end")), 40)["palette"]
+
+
+FARTHEST = (
+    ("far!", "with recursive f(image_id, r, g, b, n, step, cr, cg, cb, reach, gain) as (select image_id, r, g, b, n, 0, cr, cg, cb, (r-cr)**2+(g-cg)**2+(b-cb)**2, 1.0::double from"
+     " (select *, first_value(r) over w as cr, first_value(g) over w as cg, first_value(b) over w as cb from hist window w as (partition by image_id order by n desc, r, g, b)) union all"
+     " select image_id, r, g, b, n, step+1, cr, cg, cb, least(reach, (r-cr)**2+(g-cg)**2+(b-cb)**2), gain from (select image_id, r, g, b, n, step, reach, first_value(r) over w as cr, first_value(g) over w as cg,"
+     " first_value(b) over w as cb, first_value(reach) over w as gain from f where step<31 window w as (partition by image_id order by reach desc, n desc, r, g, b)))"
+     " select distinct image_id, step as box, cr as r, cg as g, cb as b from f where gain>0"),
+)
+
+
+@query("g01b_max_coverage", c.q(("hist",), "select image_id, row_number() over (partition by image_id order by r, g, b, box)-1 as idx, r, g, b from far", *FARTHEST))
 def g01b(t: Tables) -> DataFrame:
     return quantize.max_coverage(t("hist"), 32)["palette"]
 
@@ -353,8 +379,8 @@ def g01cm(t: Tables) -> DataFrame:
     return quantize.fast_octree(t("hist"), 32)["color_map"]
 
 
-def lloyd_ctes(rounds: int) -> tuple[tuple[str, str], ...]:
-    ctes, pal = [OCT], "oct"
+def lloyd_ctes(rounds: int, seed: tuple[tuple[str, str], ...] = (OCT,), pal: str = "oct") -> tuple[tuple[str, str], ...]:
+    ctes = list(seed)
     for i in range(rounds):
         near = c.mapped("hist", pal)
         ctes.append((f"lm{i}!", c.means(f"(select h.*, m.idx as box from hist h join ({near}) m using (image_id, r, g, b))")))
@@ -367,12 +393,19 @@ def g01d(t: Tables) -> DataFrame:
     return quantize.kmeans_adaptive(t("hist"), 32)["palette"]
 
 
-@query("g01e_error_bounded")
+@query("g01e_error_bounded", c.q(("hist",), "select image_id, idx, r, g, b from lm2", *lloyd_ctes(3, median_cut_sql(32), "rmp")))
 def g01e(t: Tables) -> DataFrame:
     return quantize.error_bounded(t("hist"), 32)["palette"]
 
 
-@query("g01f_uniform")
+UNIFORM = (
+    *median_cut_sql(16, prefix="u"),
+    ("flat", "select h.image_id, p.r, p.g, p.b, sum(h.n) as n from uz h join ump p using (image_id, box) group by all"),
+    *median_cut_sql(16, "flat"),
+)
+
+
+@query("g01f_uniform", c.q(("hist",), "select image_id, idx, r, g, b from rmp", *UNIFORM))
 def g01f(t: Tables) -> DataFrame:
     return quantize.uniform(t("hist"), 16)["palette"]
 
@@ -552,7 +585,8 @@ def g11(t: Tables) -> DataFrame:
 G12 = (
     OCT,
     ("cmq!", c.mapped("hist", "oct")),
-    ("ord", c.lightness_order("oct", "image_id")),
+    ("fullp!", c.padded("oct", "image_id", 32, "hist", None)),
+    ("ord", c.lightness_order("(select image_id, idx, r, g, b from fullp)", "image_id")),
     ("uses", "select image_id, o.r, o.g, o.b, sum(h.n) as n from hist h join cmq q using (image_id, r, g, b) join oct o using (image_id, idx) group by all".replace("select image_id,", "select h.image_id,")),
     ("gi", "select p.image_id, p.x, p.y, case when p.a=0 then 0 else o.position end as idx, p.a from pixels p join cmq q using (image_id, r, g, b) join ord o using (image_id, idx)"),
     ("gp", "select image_id, position as idx, r, g, b from ord"),
@@ -570,13 +604,13 @@ G12 = (
     ),
 )
 def g12(t: Tables) -> DataFrame:
-    out = flows.generate_palette(t("pixels"), 32, "fast_octree")
+    out = flows.generate_palette(t("pixels"), 32, "fast_octree", quant_post=None)
     return out["report"].withColumn("frequency_pct", r4(F.col("frequency_pct"), "p"))
 
 
 @query("g12_generate_palette_index", c.q(("hist",), "select *, cast(idx*255//31 as int) as display from gi", *G12))
 def g12i(t: Tables) -> DataFrame:
-    return flows.generate_palette(t("pixels"), 32, "fast_octree")["index_image"]
+    return flows.generate_palette(t("pixels"), 32, "fast_octree", quant_post=None)["index_image"]
 
 
 EXTRA = "select image_id, 1 as extra_no, x, y, b as r, r as g, g as b from pixels"
@@ -595,7 +629,49 @@ EXTRA = "select image_id, 1 as extra_no, x, y, b as r, r as g, g as b from pixel
 )
 def g12t(t: Tables) -> DataFrame:
     extras = t("pixels").selectExpr("image_id", "1 as extra_no", "x", "y", "b as r", "r as g", "g as b")
-    return flows.generate_palette(t("pixels"), 32, "fast_octree", extras)["texture"]
+    return flows.generate_palette(t("pixels"), 32, "fast_octree", extras, None)["texture"]
+
+
+TEXTURES = "select image_id, 1 as texture_no, x, y, g as r, r as g, b, case when (x+y)%5=0 then 0 else a end as a from pixels"
+
+
+@query(
+    "g12_generate_palette_textures",
+    c.q(
+        ("hist",),
+        "select image_id, texture_no, x, y, idx, a, cast(idx*255//31 as int) as display from (select e.image_id, e.texture_no, e.x, e.y, e.a, case when e.a=0 then 0 else m.idx end as idx from (" + TEXTURES + ") e join ("
+        + c.nearest("(select distinct image_id, r, g, b from (" + TEXTURES + "))", "gp", ("image_id", "r", "g", "b"), "c.image_id=p.image_id") + ") m using (image_id, r, g, b))",
+        *G12,
+    ),
+)
+def g12x(t: Tables) -> DataFrame:
+    textures = t("pixels").selectExpr("image_id", "1 as texture_no", "x", "y", "g as r", "r as g", "b", "case when (x+y)%5=0 then 0 else a end as a")
+    return flows.generate_palette(t("pixels"), 32, "fast_octree", quant_post=None, textures=textures)["texture_images"]
+
+
+# the defaults: median cut refined by Lloyd rounds, and the quantized image smoothed by a median
+G12_DEFAULT = (
+    *lloyd_ctes(3, median_cut_sql(32), "rmp"),
+    ("near!", c.mapped("hist", "lm2")),
+    ("indexed!", "select p.image_id, p.x, p.y, n.idx, p.a from pixels p join near n using (image_id, r, g, b)"),
+    LINES,
+    OFFS3,
+    ("med", MEDIAN),
+    ("fullp!", c.padded("(select image_id, idx, r, g, b from lm2)", "image_id", 32, "hist", None)),
+    ("ord", c.lightness_order("(select image_id, idx, r, g, b from fullp)", "image_id")),
+    ("dgi", "select i.image_id, i.x, i.y, case when i.a=0 then 0 else o.position end as idx, i.a from indexed i join med m using (image_id, x, y) join ord o on o.image_id=i.image_id and o.idx=least(31,greatest(0,m.idx))"),
+    ("dgp", "select image_id, position as idx, r, g, b from ord"),
+)
+
+
+@query("g12_default_index", c.q(("hist",), "select *, cast(idx*255//31 as int) as display from dgi", *G12_DEFAULT))
+def g12d(t: Tables) -> DataFrame:
+    return flows.generate_palette(t("pixels"), 32)["index_image"]
+
+
+@query("g12_default_texture", c.q(("hist",), c.composed("rws", 4, True), *G12_DEFAULT, ("rws", "select image_id as palette_id, 0 as row_no, idx, r, g, b from dgp")))
+def g12dt(t: Tables) -> DataFrame:
+    return flows.generate_palette(t("pixels"), 32)["texture"]
 
 
 G13 = (
@@ -613,7 +689,7 @@ G13 = (
 
 @query("g13_shared_palette", c.q(("hist",), "select position as idx, r, g, b from ord", *G13))
 def g13(t: Tables) -> DataFrame:
-    return flows.generate_palettes(t("pixels"), 48, True, "fast_octree", 32)["palette"].drop("scope")
+    return flows.generate_palettes(t("pixels"), 48, True, "fast_octree", 32, None)["palette"].drop("scope")
 
 
 @query(
@@ -621,12 +697,12 @@ def g13(t: Tables) -> DataFrame:
     c.q(("hist",), "select p.image_id, p.x, p.y, l.to_idx as idx from pixels p join cmq q using (image_id, r, g, b) join oct o using (image_id, idx) join cmap m on m.r=o.r and m.g=o.g and m.b=o.b join plc l using (rep_r, rep_g, rep_b)", *G13),
 )
 def g13i(t: Tables) -> DataFrame:
-    return flows.generate_palettes(t("pixels"), 48, True, "fast_octree", 32)["index_image"]
+    return flows.generate_palettes(t("pixels"), 48, True, "fast_octree", 32, None)["index_image"]
 
 
 @query("g13_palette_per_image")
 def g13m(t: Tables) -> DataFrame:
-    return flows.generate_palettes(t("pixels"), 64, False, "fast_octree", 32)["index_image"]
+    return flows.generate_palettes(t("pixels"), 64, False, "fast_octree", 32, None)["index_image"]
 
 
 G14 = (
@@ -710,8 +786,11 @@ def g18(t: Tables) -> DataFrame:
     return histogram.quantize_greys(t("pixels").withColumn("grey", F.expr("x*7+y")))
 
 
-SHAPES = "'Mods/Data/Meshes/S/t'||cast(s_nationkey as varchar(9))||'.nif'"
-SLOT = "case when s_nationkey%3=0 then 'textures/S/other_d.dds' when s_suppkey%4=0 then '' when s_suppkey%2=0 then 'Materials/S/t'||cast(s_nationkey as varchar(9))||'.bgsm' else 'textures/S/T'||cast(s_nationkey as varchar(9))||'_d.dds' end"
+SHAPES = f"'Mods/Data/Meshes/S/t'||cast({SHAPE} as varchar(9))||'.nif'"
+SLOT = (
+    f"case when {SHAPE}%3=0 then 'textures/S/other_d.dds' when s_suppkey%4=0 then '' when s_suppkey%2=0 then 'Materials/S/t'||cast({SHAPE} as varchar(9))||'.bgsm'"
+    f" else 'textures/S/T'||cast({SHAPE} as varchar(9))||'_d.dds' end"
+)
 
 
 @query(
@@ -719,7 +798,7 @@ SLOT = "case when s_nationkey%3=0 then 'textures/S/other_d.dds' when s_suppkey%4
     c.q(
         ("pixels", "triangles"),
         "select p.image_id, p.x, p.y, p.r, p.g, p.b, case when m.x is null then 0 else p.a end as a from pixels p left join mask m on m.image_id=p.image_id and m.x=p.x and m.y=p.y where p.image_id in (select image_id from us)",
-        ("sh", f"select cast(s_nationkey as bigint) as image_id, s_suppkey as tri_id, {SLOT} as slot from supplier"),
+        ("sh", f"select {SHAPE} as image_id, s_suppkey as tri_id, {SLOT} as slot from supplier"),
         ("mt", "select *, slot<>'' and image_id%3<>0 as ok from sh where image_id in (select image_id from pixels)"),
         ("us", "select * from (select *, bool_or(ok) over (partition by image_id) as anym from mt) where ok or not anym"),
         ("mask", mask_sql("image_id", "(select us.image_id, t.*, 32 as w, 32 as h from us join triangles t using (tri_id))")),

@@ -26,19 +26,25 @@ def generate_palette(
     size: int = PALETTE_SIZE,
     method: str = "libimagequant",
     extras: DataFrame | None = None,
-    quant_post: str | None = None,
+    quant_post: str | None = "median",
     grey_post: str | None = None,
     upscale_sigma: float | None = None,
     row_height: int = ROW_HEIGHT,
+    textures: DataFrame | None = None,
+    textures_post: bool = True,
 ) -> dict[str, DataFrame]:
-    """One palette per image, its grey index image, palette texture and colour report.
+    """One palette of exactly ``size`` colours per image, its grey index image, palette texture and colour report.
+
+    ``textures`` (image_id, texture_no, x, y, r, g, b, a): further pictures that take the nearest entries of the image's palette, 0 where their own alpha is 0, smoothed by
+    ``grey_post`` like the image unless ``textures_post`` is off; they come back as ``texture_images``.
 
     ``extras`` (image_id, extra_no from 1, x, y, r, g, b): further textures of the same layout, of any size; each adds a
     palette row.
     ``upscale_sigma`` widens palettes and indices to 256 levels.
     """
     q = quantize.quantize(px, method, size, quant_post)
-    palette, moves = _in_order(q["palette"], "image_id")
+    full = cut_lineage(lut.pad_palette(q["palette"].select("image_id", "idx", *RGB), size, "image_id", q["hist"]))
+    palette, moves = _in_order(full, "image_id")
     grey = q["index_image"].join(moves.select("image_id", "idx", "position"), ["image_id", "idx"])
     grey = mapping.clear_transparent_index(grey.select("image_id", "x", "y", F.col("position").alias("idx"), "a"))
     if grey_post:
@@ -58,6 +64,15 @@ def generate_palette(
     used = hist.groupBy("image_id", "idx").agg(F.sum("n").alias("n")).join(q["palette"], ["image_id", "idx"])
     used = cut_lineage(used.groupBy("image_id", *RGB).agg(F.sum("n").alias("n")))
     report = histogram.color_report(palette, used)
+    views = None
+    if textures is not None:
+        views = mapping.nearest_entries(textures, palette, "image_id")
+        views = textures.join(views, ["image_id", *RGB]).select("image_id", "texture_no", "x", "y", "idx", "a")
+        if grey_post and textures_post:
+            keyed = views.withColumn("one", F.concat_ws("/", "image_id", "texture_no"))
+            smooth = neighborhood.smooth_dither(keyed.select(F.col("one").alias("image_id"), "x", "y", "idx"), size, grey_post).withColumnRenamed("image_id", "one")
+            views = smooth.join(keyed.drop("idx"), ["one", "x", "y"]).drop("one")
+        views = mapping.clear_transparent_index(views)
     levels = size
     if upscale_sigma is not None and size < 256:
         keyed = rows.withColumn("row_key", F.struct("palette_id", "row_no"))
@@ -65,7 +80,10 @@ def generate_palette(
         rows = wide.select("row_key.palette_id", "row_key.row_no", "idx", *RGB)
         stretched = F.least(F.bround(F.col("idx") * 255.0 / max(size - 1, 1)).cast("int"), F.lit(255))
         grey, levels = grey.withColumn("idx", stretched), 256
+        views = views.withColumn("idx", stretched) if views is not None else None
+    shown = {} if views is None else {"texture_images": views.withColumn("display", color.index_to_display(F.col("idx"), levels))}
     return {
+        **shown,
         "palette": palette,
         "index_image": grey.withColumn("display", color.index_to_display(F.col("idx"), levels)),
         "texture": lut.compose_palette(rows, row_height, "gradient"),
@@ -74,18 +92,24 @@ def generate_palette(
 
 
 def generate_palettes(
-    px: DataFrame, size: int = PALETTE_SIZE, single: bool = True, method: str = "libimagequant", quant_size: int | None = None, post: str | None = None
+    px: DataFrame,
+    size: int = PALETTE_SIZE,
+    single: bool = True,
+    method: str = "libimagequant",
+    quant_size: int | None = None,
+    post: str | None = "median",
+    exact: bool = False,
 ) -> dict[str, DataFrame]:
     """A folder of images to one shared palette (``single``) or one palette each, and their index images.
 
-    Images are quantized first; the shared palette then merges their distinct colours (cells, so it scales), per-image
-    palettes hold at most ``quant_size`` colours and use the order-exact clustering.
+    Images are quantized first, then the palettes' distinct colours are merged: by Lab cells, or with ``exact`` by the order-exact clustering, which walks the
+    colours of a palette's owner one by one in one task.
     """
     q = quantize.quantize(px, method, quant_size or size, post)
     scope = "scope" if single else "image_id"
     scoped = cluster.one_scope if single else (lambda df: df)
     colors = scoped(q["palette"]).select(scope, *RGB).distinct().withColumn("n", F.lit(1))
-    reduced = cluster.build_palette(colors, scope, size, exact=not single)
+    reduced = cluster.build_palette(colors, scope, size, exact=exact)
     source = scoped(q["hist"]).groupBy(scope, *RGB).agg(F.sum("n").alias("n"))
     padded = cut_lineage(lut.pad_palette(reduced["palette"], size, scope, source, reduced["pad_candidates"]))
     palette, _ = _in_order(padded, scope)
@@ -96,7 +120,7 @@ def generate_palettes(
     return {"palette": palette, "index_image": index}
 
 
-def merge_groups(index_images: DataFrame, group_palettes: DataFrame, size: int) -> dict[str, DataFrame]:
+def merge_groups(index_images: DataFrame, group_palettes: DataFrame, size: int, exact: bool = False) -> dict[str, DataFrame]:
     """Unify the palettes of several groups and re-index their images.
 
     Colours weigh by how often the groups' images use them and in how many images; palette colours no image uses still
@@ -109,7 +133,7 @@ def merge_groups(index_images: DataFrame, group_palettes: DataFrame, size: int)
     every = group_palettes.select(*RGB).distinct().select(*RGB, F.lit(0).cast("long").alias("n"), F.lit(0).alias("cov"))
     hist = seen.unionByName(every).groupBy(*RGB).agg(F.sum("n").alias("n"), F.sum("cov").alias("coverage"))
     hist = cluster.one_scope(hist.select(*RGB, F.greatest("n", F.lit(1)).alias("n"), "coverage"))
-    reduced = cluster.reduce_palette(hist, "scope", size)
+    reduced = cluster.reduce_palette(hist, "scope", size, exact)
     padded = cut_lineage(lut.pad_palette(reduced["palette"], size, "scope", None, reduced["pad_candidates"]))
     palette, _ = _in_order(padded, "scope")
     index = mapping.group_index_remap(index_images, group_palettes, reduced["color_map"].drop("scope"), palette)

@@ -33,9 +33,20 @@ SCALE_KEY = "fGrayscaleToPaletteScale"
 # --------------------------------------------------------------------------------------------------------------
 
 
+def field_text(key: str) -> Column:
+    """A field of ``fields`` as text; null when it is missing."""
+    return F.try_variant_get(F.col("fields")[key], "$", "string")
+
+
 def read_material_json(records: DataFrame) -> DataFrame:
-    """``path, value`` to ``path, fields`` (map), ``mtype`` and ``error``; malformed text keeps its row."""
-    fields = F.from_json("value", "map<string,string>")
+    """``path, value`` to ``path, fields`` (map of typed JSON values), ``mtype`` and ``error``; malformed text keeps its row.
+
+    Text after the object, an object inside anything else and repeated keys count as malformed.
+    """
+    # within brackets, so that anything after the object shows
+    alone = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]")))
+    good = alone.isNotNull() & F.try_variant_get(alone, "$[1]", "variant").isNull()
+    fields = F.when(good, F.from_json("value", "map<string,variant>"))
     out = records.withColumn("fields", fields)
     has = lambda k: F.map_contains_key("fields", k)
     mtype = (
@@ -66,14 +77,18 @@ def rewrite_material_json(
     plan = plan_product(materials.where(F.col("fields").isNotNull()), list(folders), "folder")
 
     def moved(keys: list[str]) -> Column:
-        return F.transform_values(
-            "fields", lambda k, v: F.when(k.isin(*keys) & (v != ""), paths.insert_folder(v, F.col("folder"))).otherwise(v)
-        )
+        def one(k: Column, v: Column) -> Column:
+            text = F.try_variant_get(v, "$", "string")
+            path = k.isin(*keys) & (F.schema_of_variant(v) == "STRING") & (text != "")
+            return F.when(path, paths.insert_folder(text, F.col("folder")).cast("variant")).otherwise(v)
+
+        return F.transform_values("fields", one)
 
     out = F.when(F.col("mtype") == "BGEM", moved(_keys(BGEM_KEYS, selected))).otherwise(moved(_keys(BGSM_KEYS, selected)))
     if scale is not None and scale > 0:
-        rest = F.map_filter("fields", lambda k, v: k != SCALE_KEY)
-        scaled = F.map_concat(rest, F.create_map(F.lit(SCALE_KEY), F.lit(str(float(scale)))))
+        number = F.lit(float(scale)).cast("variant")
+        placed = F.transform_values("fields", lambda k, v: F.when(k == SCALE_KEY, number).otherwise(v))
+        scaled = F.when(F.map_contains_key("fields", SCALE_KEY), placed).otherwise(F.map_concat("fields", F.create_map(F.lit(SCALE_KEY), number)))
         plan = plan.withColumn("fields", F.when(F.col("mtype") == "BGSM", scaled).otherwise(F.col("fields")))
     return plan.select("path", "mtype", "folder", out.alias("fields"), output_path(F.col("path"), F.col("folder"), out_root).alias("out_path"))
 

@@ -57,7 +57,7 @@ JSON_KEYS = ("sDiffuseTexture", "sBaseTexture", "sNormalTexture", "fGrayscaleToP
 @query("a03_read_material_json", c.q(("material_json",), JSON_SQL))
 def a03(t: Tables) -> DataFrame:
     df = materials.read_material_json(t("material_json"))
-    return df.select("path", "mtype", "error", *[F.col("fields")[k].alias(k) for k in JSON_KEYS])
+    return df.select("path", "mtype", "error", *[materials.field_text(k).alias(k) for k in JSON_KEYS])
 
 
 HEADERS_SQL = """select path, case when good then w end::int as width, case when good then h end::int as height, case when good then k%3<>0 end as is_dx10,
@@ -214,8 +214,8 @@ MOVED_SQL = (
 @query("b09_insert_folder", c.q(("material_json",), MOVED_SQL, ("j", JSON_SQL)))
 def b09(t: Tables) -> DataFrame:
     fields = materials.read_material_json(t("material_json"))
-    one = fields.select("path", F.coalesce(F.col("fields")["sDiffuseTexture"], F.col("fields")["sNormalTexture"]).alias("p"))
-    both = one.unionByName(fields.select("path", F.col("fields")["sNormalTexture"].alias("p")))
+    one = fields.select("path", F.coalesce(materials.field_text("sDiffuseTexture"), materials.field_text("sNormalTexture")).alias("p"))
+    both = one.unionByName(fields.select("path", materials.field_text("sNormalTexture").alias("p")))
     return both.select("path", "p", paths.insert_folder(F.col("p"), F.lit("gold")).alias("moved"))
 
 
@@ -450,7 +450,26 @@ REWRITE_SQL = (
 def h06(t: Tables) -> DataFrame:
     read = materials.read_material_json(t("material_json"))
     out = materials.rewrite_material_json(read, ["gold", "red set"], ["DiffuseTexture", "GlowTexture"], 0.5, "Out")
-    return out.select("path", "mtype", "folder", "out_path", *[F.col("fields")[k].alias(k) for k in JSON_KEYS])
+    return out.select("path", "mtype", "folder", "out_path", *[materials.field_text(k).alias(k) for k in JSON_KEYS])
+
+
+_BACK = "chr(92)"
+WRITE_SQL = (
+    "select 'Out/'||folder||'/'||split_part(j.path,'/',-1) as path, case when mtype='BGSM' then '{\"sDiffuseTexture\":\"'||replace(" + c.insert_folder("sDiffuseTexture", "folder") + f",{_BACK},{_BACK}||{_BACK})"
+    "||'\",\"sNormalTexture\":\"Weapons/gold/n.dds\",\"fGrayscaleToPaletteScale\":0.5,\"fAlpha\":0.5,\"iTiles\":3}'"
+    " else '{\"sBaseTexture\":\"'||replace(" + c.insert_folder("sBaseTexture", "folder") + f",{_BACK},{_BACK}||{_BACK})"
+    "||'\",\"sNormalTexture\":\"\",\"bGlow\":true,\"aList\":[1,2.5,null],\"oMeta\":{\"k\":\"v\",\"n\":[]},\"nNull\":null}' end as text"
+    " from j, (select unnest(['gold','red set']) as folder) where error is null"
+)
+
+
+@query("a05_write_json", c.q(("material_json",), WRITE_SQL, ("j", JSON_SQL)))
+def a05j(t: Tables) -> DataFrame:
+    """The written text, read back and printed without spaces: numbers, booleans, lists and nested objects keep their types."""
+    read = materials.read_material_json(t("material_json"))
+    out = materials.rewrite_material_json(read, ["gold", "red set"], ["DiffuseTexture", "GlowTexture"], 0.5, "Out")
+    written = material_files.material_json_text(out)
+    return written.select("path", F.to_json(F.from_json(F.decode("content", "UTF-8"), "map<string,variant>")).alias("text"))
 
 
 @query(

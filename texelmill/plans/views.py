@@ -62,10 +62,10 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "part",
         [
             "concat('Materials/m', cast(p_partkey as varchar(20)), '.json') as path",
-            "case when p_partkey%97=0 then '{bad'"
-            " when p_partkey%4=0 then concat('{\"sBaseTexture\":\"Effects/', replace(p_name,' ','_'), '.dds\",\"sNormalTexture\":\"\"}')"
+            "case when p_partkey%97=0 then '{bad' when p_partkey%89=0 then '{\"sBaseTexture\":\"x\"} tail'"
+            " when p_partkey%4=0 then concat('{\"sBaseTexture\":\"Effects/', replace(p_name,' ','_'), '.dds\",\"sNormalTexture\":\"\",\"bGlow\":true,\"aList\":[1,2.5,null],\"oMeta\":{\"k\":\"v\",\"n\":[]},\"nNull\":null}')"
             " else concat('{\"sDiffuseTexture\":\"', case p_partkey%3 when 0 then 'Weapons/' when 1 then concat('Weapons',chr(92),chr(92)) else '' end,"
-            " replace(p_name,' ','_'), '_d.dds\",\"sNormalTexture\":\"Weapons/gold/n.dds\",\"fGrayscaleToPaletteScale\":\"1.0\"}') end as value",
+            " replace(p_name,' ','_'), '_d.dds\",\"sNormalTexture\":\"Weapons/gold/n.dds\",\"fGrayscaleToPaletteScale\":1.5,\"fAlpha\":0.5,\"iTiles\":3}') end as value",
         ],
     ),
     "subgraph": (

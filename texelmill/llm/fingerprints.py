@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from texelmill.session import cut_lineage
 
-#: Samples of a fingerprint. The standard error of a likeness of one half is 0.5 / sqrt(SAMPLES).
-SAMPLES = 64
-#: Steps of the gamma distribution's inverse table.
-STEPS = 1024
+#: Samples of a fingerprint: BLOCKS rows of WIDTH columns. The standard error of a likeness of one half is 0.5 / sqrt(64).
+BLOCKS, WIDTH = 8, 8
+#: Steps of the gamma distribution's inverse table; every sample reads two of its own, so they should stay in a core's cache.
+STEPS = 256
 _LEAST = -(2**63)
 
 
@@ -32,7 +32,7 @@ def gamma_quantiles(steps: int = STEPS) -> list[float]:
 
 def _table(values: list[float]) -> Column:
     """A constant array that the optimizer folds to one literal."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{x:.6g}" for x in values)), ",").cast("array<double>")
 
 
 def _pick(table: Column, at: Column) -> Column:
@@ -47,18 +47,27 @@ def sample_value(term: Column, log_weight: Column, number: int, rates: Column, l
     """
     bits = F.xxhash64(term.bitwiseXOR(F.lit((number * 0x9E3779B97F4A7C15) % 2**63)))
     r = _pick(rates, bits.bitwiseAND(F.lit(STEPS - 1)))
-    log_c = _pick(logs, F.shiftrightunsigned(bits, 10).bitwiseAND(F.lit(STEPS - 1)))
-    b = F.shiftrightunsigned(bits, 20) * F.lit(2.0**-44)
+    log_c = _pick(logs, F.shiftrightunsigned(bits, 8).bitwiseAND(F.lit(STEPS - 1)))
+    b = F.shiftrightunsigned(bits, 16) * F.lit(2.0**-48)
     return log_c - r * (F.floor(log_weight / r + b) - b + 1)
 
 
-def sample_columns(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """(keys, samples array<int>) of (keys, term, n): 16 bits of each sample. One aggregation over rows of one number each."""
+def least_samples(terms: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, block, s0, s1, ...) of (keys, term, n): the least a of each sample. One aggregation, no string or Python in it.
+
+    A term makes a row for each block, by an own hash of the term, so that the aggregation has few columns.
+    """
     quantiles = gamma_quantiles()
     rates, logs = _table(quantiles), _table([math.log(x) for x in quantiles])
-    weighed = terms.withColumn("w", F.log(F.col("n").cast("double")))
-    least = weighed.groupBy(*keys).agg(*[F.min(sample_value(F.col("term"), F.col("w"), j, rates, logs)).alias(f"s{j}") for j in range(samples)])
-    return least.select(*keys, F.array(*[F.xxhash64(f"s{j}").bitwiseAND(F.lit(0xFFFF)).cast("int") for j in range(samples)]).alias("samples"))
+    seeds = F.array(*[F.struct(F.lit(b).alias("block"), F.lit((b + 1) * 0xD1B54A32D192ED03 % 2**63).alias("seed")) for b in range(BLOCKS)])
+    rows = terms.withColumn("w", F.log(F.col("n").cast("double"))).withColumn("b", F.explode(seeds))
+    rows = rows.select(*keys, "w", "b.block", F.col("term").bitwiseXOR(F.col("b.seed")).alias("term"))
+    return rows.groupBy(*keys, "block").agg(*[F.min(sample_value(F.col("term"), F.col("w"), j, rates, logs)).alias(f"s{j}") for j in range(WIDTH)])
+
+
+def _short(columns: list[Column]) -> Column:
+    """16 bits of each sample; null where there is none."""
+    return F.when(columns[0].isNotNull(), F.array(*[F.xxhash64(c).bitwiseAND(F.lit(0xFFFF)).cast("int") for c in columns]))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -89,7 +98,7 @@ def next_documents(ids: DataFrame) -> DataFrame:
     return out.drop("part", "after").withColumn("next_k", F.col("next.k")).withColumn("next_version", F.col("next.version")).drop("next")
 
 
-def fingerprint_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row per input row.
 
     Terms are words by the number of times they occur. ``edited`` is the text whose last floor(n_chars / 3) code points are replaced by the first as many (or all) of the
@@ -111,12 +120,22 @@ def fingerprint_documents(docs: DataFrame, doc: str = "doc_id", text: str = "tex
     sides = both.select("k", "version", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), edited.alias("text")))).alias("s"))
     sides = sides.select("k", "version", "s.side", "s.text")
     words = sides.select("k", "version", "side", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
-    terms = words.groupBy("k", "version", "side", F.xxhash64("word").alias("term")).agg(F.count("*").alias("n"))
-    sampled = cut_lineage(sample_columns(terms, ["k", "version", "side"], samples).unionByName(both.select("k", "version", F.lit(2).alias("side"), F.sha2(edited, 256).alias("sha")), allowMissingColumns=True))
-    of = lambda side, column, name: sampled.where(F.col("side") == side).select("k", "version", F.col(column).alias(name))
-    own = of(0, "samples", "own")
-    out = following.join(own, ["k", "version"], "left").join(of(1, "samples", "edit"), ["k", "version"], "left").join(of(2, "sha", "edited_sha256"), ["k", "version"])
-    out = out.join(own.select(F.col("k").alias("next_k"), F.col("version").alias("next_version"), F.col("own").alias("next")), ["next_k", "next_version"], "left")
+    counts = [F.sum(F.when(F.col("side") == i, 1).otherwise(0)).alias(f"n{i}") for i in (0, 1)]
+    terms = words.groupBy("k", "version", F.xxhash64("word").alias("term")).agg(*counts)
+    # a term as frequent in both texts is sampled once for both (side 2)
+    weights = F.when(F.col("n0") == F.col("n1"), F.array(F.struct(F.lit(2).alias("side"), F.col("n0").alias("n"))))
+    weights = weights.otherwise(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"n{i}").alias("n")) for i in (0, 1)]))
+    terms = terms.select("k", "version", "term", F.explode(weights).alias("s")).select("k", "version", "s.side", "term", "s.n").where("n > 0")
+    least = least_samples(terms, ["k", "version", "side"])
+    # a side's text takes the least of its own terms and of those that both have
+    names = [f"s{j}" for j in range(WIDTH)]
+    joint = least.groupBy("k", "version", "block").agg(*[F.min(F.when(F.col("side") != 1 - i, F.col(c))).alias(f"{c}_{i}") for i in (0, 1) for c in names])
+    joint = joint.select("k", "version", F.struct("block", *[_short([F.col(f"{c}_{i}") for c in names]).alias(name) for i, name in ((0, "own"), (1, "edit"))]).alias("part"))
+    joint = joint.groupBy("k", "version").agg(F.sort_array(F.collect_list("part")).alias("parts")).select("k", "version", F.flatten("parts.own").alias("own"), F.flatten("parts.edit").alias("edit"))
+    hashes = both.select("k", "version", F.sha2(edited, 256).alias("edited_sha256"))
+    sampled = cut_lineage(hashes.join(joint, ["k", "version"], "left"))
+    own = sampled.select(F.col("k").alias("next_k"), F.col("version").alias("next_version"), F.col("own").alias("next"))
+    out = following.join(sampled, ["k", "version"]).join(own, ["next_k", "next_version"])
     out = out.withColumn("repeat", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return out.select(
         F.when(F.col("k") != _LEAST, F.col("k")).alias(doc),

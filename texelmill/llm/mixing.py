@@ -43,7 +43,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float) -> Dat
 
 def rate(tilt: Column, size: Column, scale: Column) -> Column:
     """Rate of a document: the exponential tilt by its tokens, not above MAX_COPIES."""
-    return F.least(F.lit(float(MAX_COPIES)), F.exp(F.least(tilt * size / scale, F.lit(50.0))))
+    return F.least(F.lit(float(MAX_COPIES)), F.exp(F.least(F.try_divide(tilt * size, scale), F.lit(50.0))))
 
 
 def solve_tilts(groups: DataFrame, sources: DataFrame) -> DataFrame:
@@ -53,14 +53,14 @@ def solve_tilts(groups: DataFrame, sources: DataFrame) -> DataFrame:
     middle of the bracket where that step would leave it. Sums are exact decimals, so reruns agree. A source whose target is its cap needs no
     tilt: all its documents are taken MAX_COPIES times.
     """
-    start = F.log(F.greatest(F.col("target") / F.col("source_size"), F.lit(1e-12)))
-    state = sources.withColumns({"scale": F.col("moment") / F.col("source_size"), "tilt": start, "low": F.lit(-1e6), "high": F.lit(1e6), "gap": F.lit(1.0)})
+    start = F.log(F.greatest(F.try_divide("target", "source_size"), F.lit(1e-12)))
+    state = sources.withColumns({"scale": F.try_divide("moment", "source_size"), "tilt": start, "low": F.lit(-1e6), "high": F.lit(1e6), "gap": F.lit(1.0)})
     state = cut_lineage(state.withColumn("open", (F.col("source_size") > 0) & (F.col("target") < MAX_COPIES * F.col("source_size"))))
     exact = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")
     for _ in range(ROUNDS):
         at = groups.join(state.where("open").select("source", "tilt", "scale"), groups["source"].eqNullSafe(state["source"])).drop(state["source"])
         tokens = F.col("n") * F.col("size") * rate(F.col("tilt"), F.col("size"), F.col("scale"))
-        slope = F.when(rate(F.col("tilt"), F.col("size"), F.col("scale")) < MAX_COPIES, tokens * F.col("size") / F.col("scale")).otherwise(0.0)
+        slope = F.when(rate(F.col("tilt"), F.col("size"), F.col("scale")) < MAX_COPIES, F.try_divide(tokens * F.col("size"), F.col("scale"))).otherwise(0.0)
         sums = at.groupBy(F.col("source").alias("s")).agg(exact(tokens).alias("got"), exact(slope).alias("curve"))
         step = state.join(sums, state["source"].eqNullSafe(sums["s"]), "left").drop("s")
         step = step.withColumn("over", F.col("got") - F.col("target"))
@@ -70,7 +70,7 @@ def solve_tilts(groups: DataFrame, sources: DataFrame) -> DataFrame:
         # without a finite bracket the way back from a flat stretch is a doubling step
         middle = F.when((F.col("low") > -1e6) & (F.col("high") < 1e6), (F.col("low") + F.col("high")) / 2)
         middle = F.coalesce(middle, F.when(F.col("over") > 0, F.least(F.col("tilt") * 2, F.lit(-1.0))).otherwise(F.greatest(F.col("tilt") * 2, F.lit(1.0))))
-        gap = F.when(F.col("open"), F.abs("over") / F.col("target")).otherwise(0.0)
+        gap = F.when(F.col("open"), F.try_divide(F.abs("over"), F.col("target"))).otherwise(0.0)
         step = step.withColumn("gap", F.coalesce(gap, F.lit(0.0)))
         moved = F.when(inside, newton).otherwise(middle)
         step = step.withColumn("tilt", F.when(F.col("open") & (F.col("gap") > TOLERANCE), moved).otherwise(F.col("tilt")))
@@ -94,7 +94,7 @@ def group_copies(groups: DataFrame, solved: DataFrame) -> DataFrame:
     g = g.withColumn("copies", F.least(F.greatest("copies", F.lit(0)), F.col("n") * MAX_COPIES))
     for _ in range(FIXES):
         g = g.withColumn("left", F.col("target") - F.sum(F.col("copies") * F.col("size")).over(Window.partitionBy("source")))
-        fix = F.when(F.col("size") > 0, F.round(F.col("left") / F.col("size"))).otherwise(0.0).cast("long")
+        fix = F.when(F.col("size") > 0, F.round(F.try_divide("left", "size"))).otherwise(0.0).cast("long")
         g = g.withColumn("fix", F.least(F.greatest(fix, -F.col("copies")), F.col("n") * MAX_COPIES - F.col("copies")))
         best = F.row_number().over(Window.partitionBy("source").orderBy(F.abs(F.col("left") - F.col("fix") * F.col("size")), "size"))
         g = g.withColumn("copies", F.col("copies") + F.when(best == 1, F.col("fix")).otherwise(0))

@@ -202,5 +202,6 @@ def remove_repeated_windows(docs: DataFrame, doc: str = "doc_id", text: str = "t
     out = ["doc", "text", "n_words", "n_removed"]
     done = _strip(rows.join(runs, ["doc", "version"], "left").select("doc", "text", "runs"), out)
     none: Column = F.lit(None).cast("array<struct<place:bigint,n:bigint>>")
-    rest = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), none.alias("runs")).where(F.col(doc).isNull() | F.col(text).isNull())
+    rest = docs.where(F.col(doc).isNull() | F.col(text).isNull())
+    rest = rest.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), none.alias("runs"))
     return done.unionByName(_strip(rest, out)).withColumnsRenamed({"doc": doc, "text": text})

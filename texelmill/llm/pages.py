@@ -122,6 +122,8 @@ class Weights:
 
 #: Pseudo-counts of (inside, outside) of a thousand units each, for what the sample has not seen.
 PRIOR_WORDS, PRIOR_UNITS, PRIOR_TAG = (900.0, 450.0), 1000.0, 1.0
+#: The smallest cost of a tag.
+LEAST_TAG = -0.05
 
 
 def _weights(counts: dict[tuple[str, bool], float]) -> Weights:
@@ -131,8 +133,8 @@ def _weights(counts: dict[tuple[str, bool], float]) -> Weights:
         inside, outside = counts.get((name, True), 0) + prior[0], counts.get((name, False), 0) + prior[1]
         return math.log(inside / total[0]) - math.log(outside / total[1])
 
-    tags = {name: min(odds(name, (PRIOR_TAG, PRIOR_TAG)), -0.05) for name, _ in counts if name}
-    return Weights(max(odds("", PRIOR_WORDS), 0.05), tags, min(odds("?", (PRIOR_TAG, PRIOR_TAG)), -0.05))
+    tags = {name: min(odds(name, (PRIOR_TAG, PRIOR_TAG)), LEAST_TAG) for name, _ in counts if name}
+    return Weights(max(odds("", PRIOR_WORDS), 0.05), tags, min(odds("?", (PRIOR_TAG, PRIOR_TAG)), LEAST_TAG))
 
 
 def fit(pages: DataFrame, html_column: str = "html", most: int = MOST_PAGES) -> Weights:
@@ -164,8 +166,10 @@ def main_text(page: str, weights: Weights) -> str:
     """The best contiguous region's text: the first of equal ones; empty when no word is left."""
     kept = list(units(page))
     best, best_range, now, begin = 0.0, (0, 0), 0.0, 0
-    for i, (name, text, _) in enumerate(kept):
-        score = weights.tags.get(name, weights.other) if name else weights.word * len(text.split())
+    for i, (name, text, inside) in enumerate(kept):
+        # no tag within a marked region ends it
+        score = LEAST_TAG if inside else weights.tags.get(name, weights.other)
+        score = score if name else weights.word * len(text.split())
         if now <= 0:
             now, begin = 0.0, i
         now += score

@@ -19,8 +19,8 @@ from texelmill.session import cut_lineage
 ORDER = 4
 #: Labelled documents per language that are learned from, at most; a fifth of them calibrate.
 MOST_DOCS = 2000
-#: A document is rejected beyond so many times the largest deviation among the calibration documents.
-SLACK = 1.5
+#: A document is rejected beyond so many times the largest deviation among all calibration documents.
+SLACK = 2.5
 #: Characters whose evidence the score counts: longer texts aren't surer than that.
 EVIDENCE = 20
 UNKNOWN = "und"
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOS
     """Learns from a bounded sample of labelled rows (see :func:`sample`); rows without text or label teach nothing.
 
     Character grams are counted on the executors; the driver gets the counts of different grams, bounded by the sample. Four fifths of the sample
-    give the counts, one fifth (for tiny samples: the same rows) the mean, the spread and the largest deviation of each language's cross-entropy.
+    give the counts, one fifth the median and the spread of each language's cross-entropy and the largest deviation of all.
     """
     rows = cut_lineage(sample(docs, text, lang, most, key))
 
@@ -207,8 +207,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOS
         own = counts[counts["lang"] == label].sort_values("gram")
         grams = np.frombuffer("".join(own["gram"]).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
         models.append(KneserNey.fit(grams, own["n"].to_numpy()))
-    one = np.ones(len(langs))
-    found = Identifier(langs, models, one * 0, one, one)
+    found = Identifier(langs, models, np.zeros(len(langs)), np.ones(len(langs)), np.full(len(langs), np.inf))
     if not langs:
         return found
 
@@ -226,11 +225,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOS
     for i in range(len(langs)):
         own = seen[seen["lang"] == i].sort_values(["entropy", "n"])
         if len(own) < 5:  # too few to tell: nothing is rejected
-            found.center[i], found.spread[i], found.limit[i] = 0, 1, np.inf
             continue
         found.center[i] = own["entropy"].median()
         found.spread[i] = max((own["entropy"] - found.center[i]).abs().median(), 0.02)
-        found.limit[i] = max(SLACK * found.deviation(own["entropy"].to_numpy(), np.full(len(own), i), own["n"].to_numpy()).max(), 10.0)
+    known = seen[found.center[seen["lang"]] > 0]
+    if len(known):
+        # deviations are in units of each language's spread, so the largest of all languages holds for all
+        largest = found.deviation(known["entropy"].to_numpy(), known["lang"].to_numpy(), known["n"].to_numpy()).max()
+        found.limit[found.center > 0] = max(SLACK * largest, 10.0)
     return found
 
 

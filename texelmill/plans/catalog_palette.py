@@ -700,7 +700,21 @@ def g13i(t: Tables) -> DataFrame:
     return flows.generate_palettes(t("pixels"), 48, True, "fast_octree", 32, None)["index_image"]
 
 
-@query("g13_palette_per_image")
+# quantized to 32 colours, no more than the palette holds: every colour is its own cluster
+G13_EACH = (
+    OCT,
+    ("cmq!", c.mapped("hist", "oct")),
+    ("own!", "select image_id, row_number() over (partition by image_id order by r, g, b)-1 as idx, r, g, b from (select distinct image_id, r, g, b from oct)"),
+    ("pd!", c.padded("own", "image_id", 64, "hist", None)),
+    ("ord", c.lightness_order("(select image_id, idx, r, g, b from pd)", "image_id")),
+    ("plc", "select image_id, r, g, b, max(position) as to_idx from ord group by all"),
+)
+
+
+@query(
+    "g13_palette_per_image",
+    c.q(("hist",), "select p.image_id, p.x, p.y, l.to_idx as idx from pixels p join cmq q using (image_id, r, g, b) join oct o using (image_id, idx) join plc l on l.image_id=o.image_id and l.r=o.r and l.g=o.g and l.b=o.b", *G13_EACH),
+)
 def g13m(t: Tables) -> DataFrame:
     return flows.generate_palettes(t("pixels"), 64, False, "fast_octree", 32, None)["index_image"]
 

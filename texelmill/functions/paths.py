@@ -146,9 +146,9 @@ def archive_relpath(path: Column, root: str, has_data: Column | bool) -> Column:
     parent = root.rsplit("/", 1)[0] + "/" if "/" in root else ""
     after = lambda prefix: F.substring(path, F.lit(len(prefix) + 1), F.length(path))
     if root.rsplit("/", 1)[-1] == "Data":
-        rel = F.when(path.startswith(root), after(parent))
+        rel = F.when(path.startswith(root + "/"), after(parent))
     else:
-        inside = F.when(path.startswith(root + "/Data"), after(root + "/"))
+        inside = F.when(path.startswith(root + "/Data/"), after(root + "/"))
         rel = F.when(F.lit(has_data) if isinstance(has_data, bool) else has_data, inside).otherwise(
             F.concat(F.lit("Data/"), after(parent))
         )

@@ -215,10 +215,9 @@ def with_position(df: DataFrame, keys: list[Column], out: str = "position") -> D
     """
     named = df.withColumns({f"_k{i}": k for i, k in enumerate(keys)})
     names = [f"_k{i}" for i in range(len(keys))]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(named.repartitionByRange(parts, *names).withColumn("_part", F.spark_partition_id()))
+    ranged = cut_lineage(named.repartitionByRange(*names).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per range partition: bounded by spark.sql.shuffle.partitions
+    # one row per range partition, as many as Spark sizes them
     offsets = sizes.agg(F.array_sort(F.collect_list(F.struct("_part", "_n"))).alias("all")).select(F.explode("all").alias("e"), "all")
     before = F.aggregate(
         F.filter("all", lambda s: s["_part"] < F.col("e._part")), F.lit(0).cast("long"), lambda acc, s: acc + s["_n"]

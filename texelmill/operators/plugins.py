@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ def rename_strings(records: DataFrame, terms: Column, new_name: str) -> DataFram
 
     Adds ``new_text``, ``changed`` and the NUL-padded ``payload`` of changed records.
     """
-    new = F.lit(new_name.rsplit(".", 1)[0] if "." in new_name else new_name)
+    new = F.lit(os.path.splitext(new_name)[0])  # a name of dots and an extension only is all name
     tried = tokens.replace_terms(F.col("text"), terms, new)
     out = records.where(F.col("tag") == "EDID").withColumn("_t", tried)
     changed = tokens.fits_and_changes(F.col("text"), F.col("_t"), F.col("size"))

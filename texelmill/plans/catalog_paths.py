@@ -98,7 +98,7 @@ def a07(t: Tables) -> DataFrame:
     return parsed.withColumn("rest", F.array_join("rest", "\t"))
 
 
-ENTRY_SQL = "select path, replace(substr(path, 6), '/', chr(92)) as entry from assets where starts_with(path,'Mods/Data')"
+ENTRY_SQL = "select path, replace(substr(path, 6), '/', chr(92)) as entry from assets where starts_with(path,'Mods/Data/')"
 
 
 @query("b05_archive_relpath", c.q(("assets",), ENTRY_SQL))

@@ -245,6 +245,25 @@ def test_language_of_odd_texts(spark):
     assert langid.identify(odd.limit(0), found).count() == 0
 
 
+def test_language_rejects_what_no_language_fits(spark):
+    """A few rows under a wrong label or of random letters don't loosen the limit; given documents stay."""
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    english = [r.text for r in docs.where("lang = 'en' and length(text) > 500").orderBy("doc_id").limit(10).collect()]
+    wrong = [(None, t, lang) for t in english for lang in ("de", "fr", "es")] + [(None, noise(600), "de") for _ in range(3)] + [(None, noise(600), "en") for _ in range(10)]
+    found = langid.fit(docs.union(spark.createDataFrame(wrong, docs.schema)))
+    foreign = [
+        "Съешь же ещё этих мягких французских булок да выпей чаю ", "Zażółć gęślą jaźń chrząszcz brzmi w trzcinie w Szczebrzeszynie wszystkie drzewa rosną nad rzeką ",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ",
+    ]
+    odd = [noise(n) for n in (100, 400, 2000, 20000) for _ in range(5)] + [(t * 30)[:n] for t in foreign for n in (100, 400, 2000)]
+    got = langid.identify(frame(spark, odd), found).collect()
+    assert [r.text for r in got if not r.rejected] == []
+    rows = langid.identify(docs, found).collect()
+    assert sum(r.rejected for r in rows) <= 0.002 * len(rows)
+
+
 def test_kneser_ney_sums_to_one():
     import numpy as np
 

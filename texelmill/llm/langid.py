@@ -19,8 +19,11 @@ from texelmill.session import cut_lineage
 ORDER = 4
 #: Labelled documents per language that are learned from, at most; a fifth of them calibrate.
 MOST_DOCS = 2000
-#: A document is rejected beyond so many times the largest deviation among all calibration documents.
-SLACK = 2.5
+#: A document is rejected beyond so many times its language's TAIL quantile of the calibration documents' deviations; that counts as no more than MOST_TAIL
+#: times the BULK quantile, so that junk among the labelled rows, up to what lies beyond BULK, doesn't set the limit.
+SLACK, TAIL, BULK, MOST_TAIL = 6.0, 0.99, 0.95, 3.0
+#: The quantiles of fewer calibration rows say little: such a language's limit is not below that of the rows of all languages.
+FEW = 100
 #: Characters whose evidence the score counts: longer texts aren't surer than that.
 EVIDENCE = 20
 UNKNOWN = "und"
@@ -181,7 +184,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOS
     """Learns from a bounded sample of labelled rows (see :func:`sample`); rows without text or label teach nothing.
 
     Character grams are counted on the executors; the driver gets the counts of different grams, bounded by the sample. Four fifths of the sample
-    give the counts, one fifth the median and the spread of each language's cross-entropy and the largest deviation of all.
+    give the counts, one fifth the median, the spread and the limit of each language's cross-entropy, by the rows that are least surprising under their own label.
     """
     rows = cut_lineage(sample(docs, text, lang, most, key))
 
@@ -218,7 +221,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOS
             for a, b in words.pieces(at):
                 entropy, n = found.entropies(data[at[a] : at[b]], at[a : b + 1] - at[a])
                 of = np.array([langs.index(x) if x in langs else -1 for x in label[a:b]], np.int64)
-                good = (of >= 0) & (n > 0)
+                good = (of >= 0) & (n > 0) & (entropy.argmin(axis=1) == of)  # a row that another language fits better is no example of its label
                 yield pa.RecordBatch.from_pydict({"lang": of[good], "n": n[good], "entropy": entropy[good, of[good]]})
 
     seen = rows.select("text", "lang", "calibrate").where("calibrate").mapInArrow(own_entropy, "lang long, n long, entropy double").toPandas()
@@ -229,19 +232,25 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOS
         found.center[i] = own["entropy"].median()
         found.spread[i] = max((own["entropy"] - found.center[i]).abs().median(), 0.02)
     known = seen[found.center[seen["lang"]] > 0]
-    if len(known):
-        # deviations are in units of each language's spread, so the largest of all languages holds for all
-        largest = found.deviation(known["entropy"].to_numpy(), known["lang"].to_numpy(), known["n"].to_numpy()).max()
-        found.limit[found.center > 0] = max(SLACK * largest, 10.0)
+    far, of = found.deviation(known["entropy"].to_numpy(), known["lang"].to_numpy(), known["n"].to_numpy()), known["lang"].to_numpy()
+    for i in np.unique(of):
+        own = far[of == i]
+        found.limit[i] = _limit(own) if len(own) >= FEW else max(_limit(own), _limit(far))  # deviations are in units of each language's spread
     return found
 
 
+def _limit(far: np.ndarray) -> float:
+    tail, bulk = np.quantile(far, [TAIL, BULK], method="lower")
+    return max(SLACK * min(tail, MOST_TAIL * max(bulk, 1.0)), 10.0)
+
+
 def identify(docs: DataFrame, found: Identifier, text: str = "text") -> DataFrame:
     """The same rows plus ``lang_pred`` string, ``score`` double, ``cross_entropy`` double, ``rejected`` boolean (own columns of these names are replaced).
 
     The language of least cross-entropy a character, ties to the first by code point. ``score`` is its share of the likelihoods of at most EVIDENCE
     average characters. A null text, one without a letter, or any text when nothing was learned, is ``und`` with score 0, rejected, without cross-entropy. Other
-    texts are rejected when their cross-entropy deviates from their language's mean by more than SLACK times the largest calibrated deviation.
+    texts are rejected when their cross-entropy deviates from their language's median by more than that language's limit (see SLACK). A language with fewer than
+    five calibration rows has no limit.
     Whole texts are read; each row is decided on its own, so copies agree and order doesn't matter.
     """
     added = ["lang_pred", "score", "cross_entropy", "rejected"]

@@ -184,6 +184,26 @@ def test_ngram_join_of_nothing_and_repeated_rows(spark):
     assert [tuple(r) for r in ngram_join.similar_groups(docs).collect()] == [(4, 3, 4)] * 3
 
 
+def test_ngram_join_of_rows_without_id(spark):
+    """Near copies without an id belong to their component and bridge it."""
+    rng = random.Random(11)
+    word = lambda: f"n{rng.randrange(10**9)}"
+    base = [word() for _ in range(200)]
+    near = lambda n: " ".join([*base[: 200 - n], *(word() for _ in range(n))])
+    other = [word() for _ in range(200)]
+    shifted = lambda i: " ".join(other[i : i + 150])  # noqa: E731  neighbours by 15 link, by 30 do not
+    lone = [word() for _ in range(50)]
+    rows = [(5, " ".join(base)), (None, near(8)), (None, near(9)), (None, near(9)), (1, shifted(0)), (None, shifted(15)), (9, shifted(30)), (None, " ".join(lone)), (None, " ".join(lone[:-2])), (None, None), (None, ""), (5, shifted(0))]
+    texts = dict(enumerate(t for _, t in rows))
+    want = expected_components(texts)
+    ids = defaultdict(list)
+    for k, (_, c) in want.items():
+        ids[c] += [rows[k][0]] if rows[k][0] is not None else []
+    expected = Counter((rows[k][0], n, min(ids[c], default=None)) for k, (n, c) in want.items())
+    assert expected[None, 146, 1] == 1 and want[4][1] == want[6][1]
+    assert Counter(tuple(r) for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == expected
+
+
 # ---- top-k -------------------------------------------------------------------------------------------------------------
 
 

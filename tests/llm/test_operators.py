@@ -284,6 +284,15 @@ def test_language_rejects_what_no_language_fits(spark):
     assert sum(r.rejected for r in rows) <= 0.002 * len(rows)
 
 
+def test_language_sample_takes_a_text_once(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, 20) for _ in range(60)]
+    docs = frame(spark, texts[:1] * 500 + texts, langs=("en",)).union(frame(spark, texts[:5], langs=("de",)))
+    got = Counter((r.lang, r.text) for r in langid.sample(docs, most=50).collect())
+    assert max(got.values()) == 1 and Counter(lang for lang, _ in got) == {"en": 50, "de": 5}
+    assert Counter((r.lang, r.text) for r in langid.sample(docs, most=1000).collect()) == Counter({("en", t): 1 for t in texts} | {("de", t): 1 for t in texts[:5]})
+
+
 def test_kneser_ney_sums_to_one():
     import numpy as np
 

@@ -166,16 +166,20 @@ class Identifier:
 
 
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MOST_DOCS, key: Column | None = None) -> DataFrame:
-    """(text, lang, calibrate): at most ``most`` labelled rows of each language, those of the smallest hash of the row.
+    """(text, lang, calibrate): at most ``most`` different labelled texts of each language, those of the smallest hash.
 
-    A hash below a share that leaves a few more than ``most`` thins out large languages before rows are ranked, so no language is gathered.
+    A hash below a share that leaves a few more than ``most`` thins out large languages before rows are ranked, so no language is gathered. Rows of one text and
+    label count as one, in the share too: repeats go where they are read, before anything is ranked.
     """
     key = F.xxhash64(text, lang, F.lit("langid")) if key is None else key
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), key.alias("key")).where("text is not null and lang is not null and text <> ''")
+    same = F.xxhash64("text", "lang")
     # one row per language, as many as there are models on every worker; rows are thinned out where they are read
-    counts = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "l"))
+    different = rows.groupBy("lang", same.alias("same")).agg(F.min("key").alias("key"))
+    counts = F.broadcast(different.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "l"))
     place = (F.col("key").cast("double") + 2.0**63) / 2.0**64
     thin = rows.join(counts, F.col("lang") == F.col("l")).where(place * F.col("n") < most + 6 * most**0.5)
+    thin = thin.groupBy("lang", same.alias("same")).agg(F.min(F.struct("key", "text")).alias("first")).select("lang", "first.key", "first.text")
     ranked = thin.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).where(F.col("rank") <= most)
     return ranked.select("text", "lang", (F.pmod(F.col("rank"), F.lit(5)) == 0).alias("calibrate"))
 

@@ -57,6 +57,25 @@ def test_pipeline_of_odd_tables(spark):
         assert docs.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "exact"]
 
 
+def test_one_row_of_each_group(spark):
+    """Rows kept of null, shared and repeated ids."""
+    import random
+
+    rng = random.Random(4)
+    clean = [prose(rng, 60, 10**6) for _ in range(8)]
+    near = lambda t: " ".join([*words(t)[:-1], "changed"])
+    rows = [(None, t) for t in clean[:3]] + [(None, near(clean[0])), (None, None), (None, None), (None, "")]  # null ids
+    rows += [(1, clean[3]), (2, near(clean[3])), (2, clean[4]), (3, clean[5]), (3, clean[6])]  # an id with two texts
+    rows += [(4, clean[7])] * 3 + [(None, near(clean[7])), (5, near(clean[7])), (6, " "), (6, " ")]  # repeated rows
+    docs = spark.createDataFrame([(i, t, "en", "a", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.one_of_each_group(spark, docs, FOLDER)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == corpus_pipeline.COLUMNS
+    sure = [(None, clean[1]), (None, clean[2]), (None, None), (None, None), (None, ""), (1, clean[3]), (2, clean[4]), (3, clean[5]), (3, clean[6]), (4, clean[7]), (6, " "), (6, " ")]
+    order = lambda x: sorted(x, key=repr)
+    assert order(got) in (order([*sure, (None, clean[0])]), order([*sure, (None, near(clean[0]))]))
+
+
 def test_the_rest_stands_alone(tmp_path):
     """Without the package and the pipeline, the entry still imports and keeps the other queries."""
     import shutil

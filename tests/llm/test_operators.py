@@ -398,6 +398,18 @@ def test_main_text(spark):
     assert pages.extract_main_text(rows.limit(0), pages.fit(rows.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["div", "article", "main", "section"])
+@pytest.mark.parametrize("names", [
+    "class='layout has-sidebar'", "class='no-sidebar'", "class='site-main with-sidebar'", "class='post comments-open'", "class='post tag-search'", "id=content-sidebar-wrap",
+    "class='left-sidebar'", "class='elementor-widget-text'", "class=hasHeader", "data-role=search", "data-x='<p class=ad>'",
+])
+def test_names_of_wrappers_do_not_drop_the_article(kind, names):
+    text = "Long text of the article with words enough " * 20
+    side = "<div class='related-posts-list'><a href=x>Other things to read</a></div><div class='comment-list'><p>What others said about it</p></div><div class=ad-x-slot>Buy</div>"
+    page = f"<body><header>Site</header><{kind} {names}><h1>Head</h1><p>{text}</p><p>{text}</p></{kind}>{side}<footer>us</footer></body>"
+    assert pages.main_text(page, pages._weights({})) == " ".join(f"Head {text} {text}".split())
+
+
 def test_given_pages(spark):
     import html
     import re

@@ -27,53 +27,96 @@ BESIDE = frozenset(
     "cookie cookies consent notice notices gdpr alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond disqus reply replies "
     "share sharing social related recommended complementary contentinfo search pagination pager".split()
 )
+#: Words that leave a listed one's meaning as it is (comment-list), and first or last words of names that tell about something around or elsewhere (has-sidebar, comments-open).
+PARTS = frozenset("area bar block body box button buttons count form icon icons item items link links list section site slot unit".split())
+ABOUT_FIRST = frozenset("has no with without is not hide show tag category cat format status".split())
+ABOUT_LAST = frozenset("open closed enabled disabled on off".split())
+#: An element that holds at least one of so many of the page's words outside links is no part beside the article, if its name is not listed as a whole.
+WRAPS = 3
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "template"))
 #: Elements that a new one of their kind ends, and what bounds the search for one to end.
 CLOSES_ITSELF = {"p": frozenset(), "li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("tr", "table")), "th": frozenset(("tr", "table")), "option": frozenset(("select",))}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,4096}"|'[^']{0,4096}'|["'])*?)>""", re.DOTALL)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)""", re.DOTALL)
+_REST = re.compile(r"""(?:[^>"']|"[^"]{0,4096}"|'[^']{0,4096}'|["'])*?>""", re.DOTALL)
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/>])([^\s"'>/=]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 Unit = tuple[str, str, bool]  # name of a tag or "" for text; the text; whether a labelled element is open
 
 
-def _beside(attributes: str) -> bool:
-    return any(w.lower() in BESIDE for m in _NAMES.finditer(attributes) for value in m.groups() if value for w in _WORD.findall(value))
+def _tag_end(page: str, at: int) -> int:
+    """Where the ``>`` stands that ends a tag, -1 for none."""
+    m = _REST.match(page, at)
+    return m.end() - 1 if m else -1
+
+
+def _beside(attributes: str) -> int:
+    """2 if a name in class, id or role means a part beside the article as a whole, 1 if one has a listed word among others, else 0."""
+    most = 0
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() not in ("class", "id", "role"):
+            continue
+        for name in (m[2] or m[3] or m[4] or "").split():
+            own = [w.lower() for w in _WORD.findall(name)]
+            if not BESIDE.isdisjoint(own) and own[0] not in ABOUT_FIRST and own[-1] not in ABOUT_LAST:
+                most = max(most, 1 + all(w in BESIDE or w in PARTS for w in own))
+    return most
 
 
 def units(page: str) -> Iterator[Unit]:
     """Text runs and tags of a page in order. Dropped elements give one tag named ``-``; their content gives nothing.
 
     Missing closing tags end with an element around them. A raw element without an end reaches to the end of the page. The first labelled element inside
-    a dropped one that has no end yet ends the dropping.
+    a dropped one that has no end yet ends the dropping. An element whose name has a listed word among others, and a labelled one of a listed name, is dropped unless it holds one of
+    WRAPS words of the page or more.
     """
+    held: dict[int, int] = {}
+    found = list(_walk(page, held, None))
+    total = held.pop(-1)
+    if held:
+        found = list(_walk(page, {}, {at for at, n in held.items() if n and n * WRAPS >= total}))
+    return iter(found)
+
+
+def _walk(page: str, held: dict[int, int], wraps: set[int] | None) -> Iterator[Unit]:
+    """Units of a page. Doubtful elements are kept where ``wraps`` has them, or all if it is None; ``held`` gets the words outside links of each by where it begins, and of all at -1."""
     stack: list[str] = []
+    doubtful: list[tuple[int, int, int]] = []  # depth, begin and words before of those that are open
     drop = 0  # depth of the stack at which the open dropped element stands, 0 for none
-    labels, seen, at = 0, False, 0
+    labels, seen, at, links, total = 0, False, 0, 0, 0
     size = len(page)
 
     def pop(to: int) -> None:
-        nonlocal drop, labels
+        nonlocal drop, labels, links
         while len(stack) > to:
             if drop and len(stack) == drop:
                 drop = 0
+            if doubtful and doubtful[-1][0] == len(stack):
+                _, begin, before = doubtful.pop()
+                held[begin] = total - before
             name = stack.pop()
+            links -= name == "a"
             if name in LABELS and labels:
                 labels -= 1
 
     while at < size:
-        m = _TAG.search(page, at)
+        m, end = _TAG.search(page, at), 0
+        if m and m[2] is not None and (end := _tag_end(page, m.end())) < 0:  # no ``>`` follows, so no tag does, but an open comment may
+            comment = page.find("<!--", m.end())
+            m, size = None, comment if comment >= 0 else size
         text = page[at : m.start() if m else size]
         if text and not drop:
+            total += 0 if links else len(text.split())
             yield "", html.unescape(text), labels > 0
         if m is None:
             break
-        at = m.end()
         if m[2] is None:
+            at = m.end()
             continue
+        attributes, at = page[m.end() : end], end + 1
         name, closing = m[2].lower(), bool(m[1])
         if closing:
             if name in stack:
@@ -90,7 +133,7 @@ def units(page: str) -> Iterator[Unit]:
             if not drop:
                 yield "-", "", labels > 0
             continue
-        if name in LABELS and drop and not seen and not _beside(m[3]):
+        if name in LABELS and drop and not seen and not _beside(attributes):
             drop = 0
         if name in CLOSES_ITSELF:
             bound = CLOSES_ITSELF[name]
@@ -100,15 +143,26 @@ def units(page: str) -> Iterator[Unit]:
                     break
                 if stack[k] in bound or name == "p" and stack[k] not in INLINE:
                     break
-        out = not drop and name != "body" and name != "html" and (name in DROPPED or _beside(m[3]))
+        out = doubt = False
+        if not drop and name != "body" and name != "html":
+            beside = 0 if name in DROPPED else _beside(attributes)
+            doubt = beside == (2 if name in LABELS else 1)
+            out = name in DROPPED or (wraps is not None and m.start() not in wraps if doubt else beside == 2 and name not in LABELS)
         if not drop:
             yield "-" if out else name, "", labels > 0
-        if name not in VOID and not m[3].endswith("/"):
+        if doubt:
+            held[m.start()] = 0
+        if name not in VOID and not attributes.endswith("/"):
             stack.append(name)
+            links += name == "a"
             if out:
                 drop = len(stack)
             elif name in LABELS and not drop:
                 labels, seen = labels + 1, True
+            if doubt:
+                doubtful.append((len(stack), m.start(), total))
+    pop(0)
+    held[-1] = total
 
 
 @dataclass

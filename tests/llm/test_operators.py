@@ -410,6 +410,15 @@ def test_names_of_wrappers_do_not_drop_the_article(kind, names):
     assert pages.main_text(page, pages._weights({})) == " ".join(f"Head {text} {text}".split())
 
 
+def test_long_attribute_values():
+    weights = pages._weights({})
+    for n in (10, 5000, 10**6):
+        value = "{&quot;a&quot;: '<p>not text</p>'} " * (n // 30) + "<b>"
+        assert pages.main_text(f'<div data-json="{value}" class="sidebar">side side</div><p>the text of it', weights) == "the text of it"
+        assert pages.main_text(f'<p data-json="{value}">the text</p>', weights) == "the text"
+    assert pages.main_text('<p title="open>the text</p>', weights) == "the text"
+
+
 def test_given_pages(spark):
     import html
     import re

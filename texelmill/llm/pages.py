@@ -40,7 +40,7 @@ RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "
 CLOSES_ITSELF = {"p": frozenset(), "li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("tr", "table")), "th": frozenset(("tr", "table")), "option": frozenset(("select",))}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)""", re.DOTALL)
-_REST = re.compile(r"""(?:[^>"']|"[^"]{0,4096}"|'[^']{0,4096}'|["'])*?>""", re.DOTALL)
+_STOP = re.compile(r""">|=\s*+["']""")
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/>])([^\s"'>/=]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -48,9 +48,18 @@ Unit = tuple[str, str, bool]  # name of a tag or "" for text; the text; whether
 
 
 def _tag_end(page: str, at: int) -> int:
-    """Where the ``>`` stands that ends a tag, -1 for none."""
-    m = _REST.match(page, at)
-    return m.end() - 1 if m else -1
+    """Where the ``>`` stands that ends a tag, -1 for none. A value reaches to its closing quote, however far; a quote without one is a plain sign."""
+    inside = -1
+    while m := _STOP.search(page, at):
+        at = m.end()
+        if m[0] == ">":
+            return m.start()
+        close = page.find(m[0][-1], at)
+        if close >= 0:
+            within = page.find(">", at, close)
+            inside = within if within >= 0 else inside
+            at = close + 1
+    return inside  # no end outside of values: that within the last one counts
 
 
 def _beside(attributes: str) -> int:

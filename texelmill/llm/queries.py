@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texelmill.llm import bpe, chat, fingerprints, langid, lines, mixing, ngram_join, pages, substrings, topk
+from texelmill.llm import bpe, chat, fingerprints, langid, lines, mixing, ngram_join, pages, runs, substrings, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -145,3 +145,61 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_fingerprints")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_documents(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
+#: The checksum of a row's decimal id, bit by bit.
+_CRC_SQL = """list_reduce(list_concat([4294967295], flatten(list_transform(string_split(d::varchar, ''), lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda x, y: case when y >= 0 then xor(x, y) when x % 2 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)"""
+
+#: Places are numbered from 0; pairs of places that may lie in a run share eight words from every eighth place on.
+_RUNS_SQL = rf"""
+with given as (select doc_id, xor(h, 4294967295) as h, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from (select doc_id, text, {_CRC_SQL.replace("d::varchar", "doc_id::varchar")} as h from documents)),
+edit as (select *, len(w) as n, case when len(w) > 0 then (h // 10) % len(w) end as a from given),
+doc as (select doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(0, n), lambda i: case when i < a then w[i + 1] else w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] end) else w end as w from edit),
+gram as (select doc_id, i, array_to_string(w[i + 1:i + 8], ' ') as g from (select doc_id, w, unnest(range(0, n - 7)) as i from doc where n >= 24)),
+may as (select distinct x.doc_id, y.i - x.i as p from gram x join gram y on x.doc_id = y.doc_id and x.g = y.g and x.i % 8 = 0 and y.i > x.i),
+met as (select doc_id, p, n, i, i - row_number() over (partition by doc_id, p order by i) as island
+  from (select doc_id, p, n, w, unnest(range(0, n - p)) as i from may join doc using (doc_id) where 3 * p <= n) where w[i + 1] = w[i + p + 1]),
+stretch as (select doc_id, p, min(i) as start, count(*) + p as length from met group by doc_id, p, island having count(*) + p >= greatest(24, 3 * p)),
+run as (select doc_id, start, length, min(p) as period from stretch group by doc_id, start, length),
+best as (select *, row_number() over (partition by doc_id order by length::decimal(38, 18) / period desc, start, period) as k from run),
+told as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as t from run group by doc_id),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from run),
+kept as (select doc_id, string_agg(x, ' ' order by i) as t from (select doc_id, unnest(w) as x, unnest(range(0, n)) as i from doc) anti join gone using (doc_id, i) group by doc_id)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * length // period as exponent_milli, sha256(coalesce(t.t, '')) as runs_sha256, sha256(coalesce(k.t, '')) as collapsed_sha256, n as n_words
+from doc d left join told t on d.doc_id = t.doc_id left join (from best where k = 1) b on d.doc_id = b.doc_id left join kept k on d.doc_id = k.doc_id
+"""
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by the checksum of the id, with the words from one place on replaced by a repetition of the first of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.withColumn("_h", F.when(h % 10 == 0, F.floor(h / 10))).withColumn("_w", F.when(F.col("_h").isNotNull(), F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")))
+    n = F.size("_w").cast("long")
+    chosen = chosen.withColumn("_n", n).withColumn("_a", F.when(F.col("_n") > 0, F.col("_h") % F.col("_n")))
+    chosen = chosen.withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_h") % 8)))
+    place = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p"))
+    words = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda i: F.get("_w", place(i).cast("int")))
+    text = F.when(F.col("_a").isNotNull(), F.array_join(words, " ")).otherwise(F.col("text"))
+    return chosen.withColumn("text", text).drop("_h", "_w", "_n", "_a", "_p")
+
+
+@query("op11_periodic_runs", _RUNS_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    out = runs.collapse_runs(planted_periods(docs))
+    r = lambda best, run: F.when(run["length"] * best["period"] > best["length"] * run["period"], run).otherwise(best)
+    best = F.when(F.size("runs") > 0, F.aggregate("runs", F.get("runs", F.lit(0)), r))
+    out = out.withColumn("best", best)
+    lines = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string"))), "\n")
+    told = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+        "n_words",
+    )

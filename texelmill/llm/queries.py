@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texelmill.llm import bpe, chat, fingerprints, langid, lines, mixing, ngram_join, pages, runs, substrings, topk
+from texelmill.llm import bpe, chat, fingerprints, langid, lines, manifest, mixing, ngram_join, pages, runs, substrings, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -203,3 +203,46 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("text", 256).alias("collapsed_sha256"),
         "n_words",
     )
+
+
+def _manifest_sql(levels: int = 7) -> str:
+    """Trees unrolled to ``levels`` levels above the leaves, enough for 8 ** levels rows of a language."""
+    field = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+    leaf = lambda text: f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    crc = f"xor({_CRC_SQL.replace('d::varchar', 'doc_id::varchar')}, 4294967295)"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = f"""with raw as (select doc_id, lang, {leaf('text')} as leaf, case when {crc} % 3 = 0 then {leaf(lower)} else {leaf('text')} end as shown from documents),
+    leaf as (select *, row_number() over (partition by lang order by doc_id nulls first) - 1 as i from raw),
+    a0 as (select lang, i, leaf as d from leaf)"""
+    for tree, key in (("a", "lang"), ("b", "k")):
+        if tree == "b":
+            out += f""", sub as (select lang, d as subroot, row_number() over (order by lang is not null, encode(lang)) - 1 as i from (select *, row_number() over (partition by lang order by level desc) as r
+              from ({" union all ".join(f"select lang, d, {k} as level from a{k}" for k in range(levels + 1))})) where r = 1), b0 as (select 0 as k, i, subroot as d from sub)"""
+        for k in range(1, levels + 1):
+            out += f""", {tree}{k} as (select {key}, i // 8 as i, sha256(string_agg(d, '' order by i)) as d
+              from (select *, count(*) over (partition by {key}) as n from {tree}{k - 1}) where n > 1 group by {key}, i // 8)"""
+    out += f""", top as (select d as root from ({" union all ".join(f"select d, {k} as level from b{k}" for k in range(levels + 1))}) order by level desc limit 1),
+    s0 as (select l.lang, l.i, doc_id, leaf, subroot, s.i as place, shown as f, '' as proof from leaf l join sub s on l.lang is not distinct from s.lang)"""
+    step = 0
+    for tree, key, own in (("a", "lang", "i"), ("b", "0", "place")):
+        for k in range(1, levels + 1):
+            many = f"(select {'lang' if tree == 'a' else 'k'} as lang from {tree}{k - 1} group by 1 having count(*) > 1)"
+            node = f"select n.lang, run, ds from (select {'lang' if tree == 'a' else 'k as lang'}, i // 8 as run, list(d order by i) as ds from {tree}{k - 1} group by all) n join {many} m on n.lang is not distinct from m.lang"
+            at = f"({own} // {8 ** (k - 1)}) % 8"
+            left, right = f"coalesce(list_aggregate(ds[1:{at}], 'string_agg', ''), '')", f"coalesce(list_aggregate(ds[{at} + 2:], 'string_agg', ''), '')"
+            out += f""", s{step + 1} as (select s.lang, i, doc_id, leaf, subroot, place, case when ds is null then f else sha256({left} || f || {right}) end as f,
+              case when ds is null then proof else proof || {left} || {right} end as proof from s{step} s left join ({node}) r on {'s.lang is not distinct from r.lang' if tree == 'a' else 'true'} and run = {own} // {8 ** k})"""
+            step += 1
+    return out + f" select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, f as folded_root, f = root as verified from s{step}, top"
+
+
+@query("op13_merkle_manifest", _manifest_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    leaf = lambda text: manifest.leaf_digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+    shown = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, leaf(F.translate("text", upper, upper.lower())))
+    out = manifest.dataset_manifest(docs, leaf(F.col("text")), "lang", "doc_id", {"shown": shown})
+    proof = F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), "")
+    out = out.withColumn("folded_root", manifest.fold(F.coalesce("shown", "leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(proof, 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texelmill.llm import bpe, chat, fingerprints, langid, lines, manifest, mixing, ngram_join, pages, runs, substrings, topk
+from texelmill.llm import bpe, chat, fingerprints, idfiles, langid, lines, manifest, mixing, ngram_join, pages, runs, substrings, topk
+from texelmill.session import checkpoint_folder, cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -205,6 +207,15 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op12_token_files")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    ids = cut_lineage(idfiles.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2).drop("text"))
+    target = f"{checkpoint_folder(spark)}/texelmill/{uuid.uuid4().hex}"
+    idfiles.write_ids(ids, target)
+    return idfiles.with_checksum(idfiles.read_ids(spark, target))
+
+
 def _manifest_sql(levels: int = 7) -> str:
     """Trees unrolled to ``levels`` levels above the leaves, enough for 8 ** levels rows of a language."""
     field = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"

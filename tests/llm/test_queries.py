@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark):

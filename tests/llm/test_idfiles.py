@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -88,7 +89,9 @@ def test_segments_do_not_change_ids(library):
     rng = random.Random(5)
     pool = "'' \t\n\r srtvemldSL1²é½ß字　\xa0.,-!🙂a\x1c\x1f\x85\x00́"
     texts = ["", "<|endoftext|> a", *("".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(4000))]
-    got = idfiles.Encoder(PATH).encode(texts)
+    words = ["don't", "we'll,", "a\nb", "\tx", "a,'s", "(b)", "***", "é.", "ß", "n1", "naïve!", "x\x85y", "\0", "µ", "", "e\u0301"]
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    got = idfiles.Encoder(PATH).encode(pa.array(texts))
     assert [np.frombuffer(g, np.int32).tolist() for g in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -97,8 +100,8 @@ def test_forgetting_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(idfiles, "LONGEST", 4)
     encoder = idfiles.Encoder(PATH)
     for text in ("one two three four five", "two three seven eight", "one two three four five"):
-        assert np.frombuffer(encoder.encode([text])[0], np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
-        assert len(encoder.known) <= 8
+        assert np.frombuffer(encoder.encode(pa.array([text]))[0], np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) <= 12
 
 
 def test_files(spark, tmp_path, monkeypatch):
@@ -153,3 +156,11 @@ def test_query(spark, library):
         ids = [*library.encode(texts[d], add_special_tokens=False).ids, 2]
         assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_checksums_of_documents_across_blocks(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, [rng.randrange(70000) for _ in range(n)]) for i, n in enumerate([3, 0, 140_000, 65536, 9])]
+    idfiles.write_ids(spark.createDataFrame(rows, "doc_id long, ids array<int>"), str(tmp_path / "out"))
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in idfiles.read_checksums(spark, str(tmp_path / "out")).collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in rows}

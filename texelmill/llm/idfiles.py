@@ -6,15 +6,17 @@ is decoded without the others, and any 64 ids of it from the checkpoint before t
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,8 @@ MOST_BITS = 18
 MOST_IDS = 1 << 22
 BLOCK, CHECKPOINT = 1 << 16, 64
 #: Different segments of texts that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 200
+REMEMBERED, LONGEST = 600_000, 200
+PIECE = 1 << 22
 
 U = np.uint64
 
@@ -37,6 +40,20 @@ U = np.uint64
 #: White space with what follows it. The pattern of byte-level tokenizers always cuts before white space that follows anything else, and nothing beyond a segment changes its ids. The four
 #: separators are white space to this module but not to Unicode.
 _SEGMENT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+_SIGNS = r"[!-&(-/:-@\[-`{-~]"
+#: A pre-token or two: perhaps a blank, letters (that all versions of Unicode have), perhaps signs, none of which begins a contraction.
+_WORD = re.compile(rf"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)({_SIGNS}*)")
+_SIGN = re.compile(rf" ?{_SIGNS}+")
+_WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A blank beside white space, or white space at an end: what lies between blanks are then not segments. A zero would be taken for a cut.
+_ODD = rf" {_WHITE}|{_WHITE} |^{_WHITE}|{_WHITE}$|\x00"
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself where it can be seen, else the next of those from 256 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in seen else next(rest)) for b in range(256)}
 
 
 @functools.lru_cache(4)
@@ -50,30 +67,83 @@ def _tokenizer(path: str):
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, which sees each different segment once while it is remembered."""
+    """Ids of texts by the tokenizers library, which sees each different segment once while it is remembered.
+
+    A blank and letters are one pre-token, and so are signs behind them; these go to the library's merges directly, all other segments to the library as they are.
+    """
 
     def __init__(self, path: str):
-        self.library, self.known = _tokenizer(path), {}
-
-    def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
-        """Per text its ids as 32-bit integers, then ``end``."""
-        segments = [_SEGMENT.findall(t) for t in texts]
-        new = list({s for own in segments for s in own if s not in self.known})
-        ids = [np.array(e.ids, np.int32).tobytes() for e in self.library.encode_batch(new, add_special_tokens=False)]
-        self.known.update(zip(new, ids))
-        out = [b"".join([*map(self.known.__getitem__, own), end]) for own in segments]
-        for s in new:
-            if len(s) > LONGEST:
-                del self.known[s]
+        self.library, self.known = _tokenizer(path), {"": b""}
+        self.long: list[str] = []  # segments to be forgotten
+        self.merges, self.signs = self.library.model.tokenize, _byte_signs()
+        self.blank = self.signs[0x20]
+
+    def _spell(self, part: str) -> bytes:
+        """Ids of one pre-token."""
+        spelt = part.replace(" ", self.blank) if part.isascii() else part.encode().decode("latin-1").translate(self.signs)
+        return array("i", [t.id for t in self.merges(spelt)]).tobytes()
+
+    def _ids(self, segment: str) -> bytes:
+        if _SIGN.fullmatch(segment):
+            return self._spell(segment)
+        if segment[0] in "\n\t" and segment[1:] and not segment[1].isspace():
+            return b"".join(map(self.known.__getitem__, self._learn([segment[0], segment[1:]])))
+        if len(parts := _SEGMENT.findall(segment)) > 1:
+            return b"".join(map(self.known.__getitem__, self._learn(parts)))
+        return array("i", self.library.encode(segment, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, segments: list[str]) -> list[str]:
+        """The same segments, all of them known now."""
+        known, spell, word_of = self.known, self._spell, _WORD.fullmatch
+        for s in segments:
+            if s in known:
+                continue
+            if m := word_of(s):
+                word, signs = m.groups()
+                if (ids := known.get(word)) is None:
+                    ids = known[word] = spell(word)
+                if signs:
+                    if (more := known.get(signs)) is None:
+                        more = known[signs] = spell(signs)
+                    known[s] = ids + more
+            else:
+                known[s] = self._ids(s)
+                if len(s) > LONGEST:
+                    self.long.append(s)
+        return segments
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> list[bytes]:
+        """Per text its ids as 32-bit integers, then ``end``. Each different segment is looked up once, the rest is gathered."""
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known = {"": b""}
+        while self.long:
+            self.known.pop(self.long.pop(), None)
+        segments = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~odd)), " ", "\0 "), "\0")
+        coded = pc.dictionary_encode(segments.flatten())
+        ids = list(map(self.known.__getitem__, self._learn(coded.dictionary.to_numpy(zero_copy_only=False).tolist())))
+        flat = np.frombuffer(b"".join(ids), np.int32)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        code = coded.indices.to_numpy()
+        count = size[code]
+        upto = np.concatenate(([0], np.cumsum(count)))
+        gathered = flat[np.arange(upto[-1]) + np.repeat((np.cumsum(size) - size)[code] - upto[:-1], count)].tobytes()
+        cuts = (4 * upto[np.concatenate(([0], np.cumsum(pc.list_value_length(segments).to_numpy())))]).tolist()
+        plain = iter(zip(cuts, cuts[1:]))
+        out = []
+        for row, strange in enumerate(odd.tolist()):
+            if strange:
+                out.append(b"".join([*map(self.known.__getitem__, self._learn(_SEGMENT.findall(texts[row].as_py()))), end]))
+            else:
+                a, b = next(plain)
+                out.append(gathered[a:b] + end)
         return out
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids", end_id: int | None = None) -> DataFrame:
     """The same rows plus ``out``, array<int>: the ids of the whole text by the byte-level tokenizer file, without special tokens, then ``end_id`` if given.
 
-    A null text is empty. A column named ``out`` is replaced, all others are kept. No shuffle; a worker holds a piece of about a megabyte of texts, or one longer text, and REMEMBERED segments.
+    A null text is empty. A column named ``out`` is replaced, all others are kept. No shuffle; a worker holds a piece of PIECE bytes of texts, or one longer text, and REMEMBERED segments.
     """
     own = [f for f in docs.schema.fields if f.name != out]
     end = b"" if end_id is None else np.array([end_id], np.int32).tobytes()
@@ -81,10 +151,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", out: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
         for batch in batches:
-            texts = batch.column(text).fill_null("")
-            at = np.concatenate(([0], np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)))).astype(np.int64)
-            for a, b in pieces(at):
-                ids = encoder.encode(texts.slice(a, b - a).to_pylist(), end)
+            texts = batch.column(text).cast(pa.string()).fill_null("")
+            at = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)))).astype(np.int64)
+            for a, b in pieces(at, PIECE):
+                ids = encoder.encode(texts.slice(a, b - a), end)
                 first = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids]))).astype(np.int32)
                 column = pa.ListArray.from_arrays(first, pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 rows = batch.slice(a, b - a)
@@ -178,10 +248,27 @@ class Code:
 _BLOCKS = "part int, block long, start long, n int, first_doc long, continues boolean, goes_on boolean, docs array<{key}>, sizes array<int>, checkpoints array<int>, bits binary"
 
 
+#: Documents in an Arrow batch: they are thousands of ids long.
+ROWS = 500
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    """For the jobs run inside, ROWS rows to an Arrow batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(ROWS, int(before)) if int(before) > 0 else ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column, null counting as empty, and the first of each row."""
-    column = column.cast(pa.large_list(pa.int32())).fill_null([])
-    first = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    column = column.cast(pa.list_(pa.int32()))
+    column = column.fill_null([]) if column.null_count else column
+    first = np.concatenate(([0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False)))).astype(np.int64)
     return column.flatten().to_numpy(zero_copy_only=False), first
 
 
@@ -209,20 +296,21 @@ def count_ids(docs: DataFrame, ids: str = "ids") -> np.ndarray:
 
 
 def write_ids(docs: DataFrame, folder: str, order: str = "doc_id", ids: str = "ids") -> None:
-    """Write the ids of all rows to ``folder`` in ascending ``order``, null first, ties by the ids' hash; equal rows are documents of their own.
+    """Write the ids of all rows to ``folder`` in ascending ``order``, null first, ties in the order of the table; equal rows are documents of their own.
 
-    Null ids are a document without any. ``docs`` is read three times (counts, range bounds, blocks), so pass a written table. One shuffle of the ids, into ranges of (order, hash, row) that a hot key
+    Null ids are a document without any. ``docs`` is read three times (counts, range bounds, blocks), so pass a written table. One shuffle of the ids, into ranges of (order, row) that a hot key
     can't fill; a task holds the documents of a block, or one longer document. A block holds
     whole documents of at most BLOCK ids together, or one stretch of a longer one. A table without rows makes a folder without blocks.
     """
     spark = docs.sparkSession
-    lengths = code_lengths(count_ids(docs, ids))
+    with _small_batches(spark):
+        lengths = code_lengths(count_ids(docs, ids))
     used = np.flatnonzero(lengths)
     book = pa.table([pa.array(used, pa.int32()), pa.array(lengths[used], pa.int32())], names=["id", "bits"])
     spark.createDataFrame(book).coalesce(1).write.mode("overwrite").parquet(f"{folder}/codebook")
     key = docs.schema[order].dataType
-    rows = docs.select(F.col(order).alias("doc"), F.col(ids).alias("ids"), F.xxhash64(ids).alias("tie"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.repartitionByRange("doc", "tie", "row").sortWithinPartitions("doc", "tie", "row").select("doc", "ids")
+    rows = docs.select(F.col(order).alias("doc"), F.col(ids).alias("ids"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.repartitionByRange("doc", "row").sortWithinPartitions("doc", "row").select("doc", "ids")
     schema = T._parse_datatype_string(_BLOCKS.format(key=key.simpleString()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +345,8 @@ def write_ids(docs: DataFrame, folder: str, order: str = "doc_id", ids: str = "i
         if held:
             yield record(*map(list, zip(*held)), kind)
 
-    rows.mapInArrow(run, schema).write.mode("overwrite").parquet(f"{folder}/blocks")
+    with _small_batches(spark):
+        rows.mapInArrow(run, schema).write.mode("overwrite").parquet(f"{folder}/blocks")
     # one row per range partition
     sizes = sorted((r.part, r.n) for r in spark.read.parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n").alias("n")).collect())
     starts = np.concatenate(([0], np.cumsum([n for _, n in sizes]))).tolist()
@@ -265,8 +354,8 @@ def write_ids(docs: DataFrame, folder: str, order: str = "doc_id", ids: str = "i
     spark.createDataFrame(parts, "part int, start long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/parts")
 
 
-def read_ids(spark: SparkSession, folder: str, order: str = "doc_id", out: str = "ids") -> DataFrame:
-    """(``order``, start, ``out``) of every document of a folder written by :func:`write_ids`: ``start`` counts the ids of all documents before it.
+def _read(spark: SparkSession, folder: str, finish, schema: str) -> DataFrame:
+    """Documents of a folder: (doc, start) and what ``finish`` makes of (ids of several documents, first id of each), of the columns ``schema``.
 
     The codebook and one number per range partition come to the driver. Blocks are decoded where they are read; only documents longer than a block are put together by a shuffle.
     """
@@ -275,41 +364,51 @@ def read_ids(spark: SparkSession, folder: str, order: str = "doc_id", out: str =
     lengths = np.zeros(max(book["id"].to_pylist(), default=-1) + 1, np.uint8)
     lengths[book["id"].to_numpy()] = book["bits"].to_numpy()
     blocks = spark.read.parquet(f"{folder}/blocks")
-    names = ["part", "doc_no", "block", "doc", "start", "ids"]
+    key = blocks.schema["docs"].dataType.elementType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
         code = Code(lengths)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
-                sizes = np.concatenate(([0], row["sizes"].values.to_numpy())).cumsum()
+                first = np.concatenate(([0], row["sizes"].values.to_numpy())).cumsum()
                 ids = code.unpack(row["bits"].as_py(), row["checkpoints"].values.to_numpy(), row["n"].as_py())
-                docs, part = row["docs"].values, row["part"].as_py()
-                no = row["first_doc"].as_py() + np.arange(len(docs))
-                begin = starts[part] + row["start"].as_py() + sizes[:-1]
-                same = [pa.array(np.full(len(docs), part), pa.int32()), pa.array(no, pa.int64()), pa.array(np.full(len(docs), row["block"].as_py()), pa.int64())]
-                lists = pa.ListArray.from_arrays(sizes.astype(np.int32), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*same, docs, pa.array(begin, pa.int64()), lists], names)
+                docs, part, block = row["docs"].values, row["part"].as_py(), row["block"].as_py()
+                numbers = [np.full(len(docs), part, np.int32), row["first_doc"].as_py() + np.arange(len(docs)), np.full(len(docs), block, np.int64)]
+                begin = starts[part] + row["start"].as_py() + first[:-1]
+                made = make(ids, first)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), docs, pa.array(begin, pa.int64()), *made.values()], ["part", "doc_no", "block", "doc", "start", *made])
 
-    key = blocks.schema["docs"].dataType.elementType.simpleString()
-    schema = f"part int, doc_no long, block long, doc {key}, start long, ids array<int>"
+    head = f"part int, doc_no long, block long, doc {key}, start long"
     cut = F.col("continues") | F.col("goes_on")
-    whole = blocks.where(~cut).mapInArrow(run, schema).select("doc", "start", "ids")
+    whole = blocks.where(~cut).mapInArrow(lambda b: run(b, finish), f"{head}, {schema}").drop("part", "doc_no", "block")
     ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "ids"))), lambda x: x["ids"]))
-    long = blocks.where(cut).mapInArrow(run, schema).groupBy("part", "doc_no").agg(F.first("doc").alias("doc"), F.min("start").alias("start"), ordered.alias("ids"))
-    return whole.unionByName(long.select("doc", "start", "ids")).select(F.col("doc").alias(order), "start", F.col("ids").alias(out))
+    parts = blocks.where(cut).mapInArrow(lambda b: run(b, _as_lists), f"{head}, ids array<int>")
+    long = parts.groupBy("part", "doc_no").agg(F.first("doc").alias("doc"), F.min("start").alias("start"), ordered.alias("ids")).drop("part", "doc_no")
 
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = finish(*_flat(batch.column("ids")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("start"), *made.values()], ["doc", "start", *made])
 
-def with_checksum(docs: DataFrame, ids: str = "ids", out: str = "ids_crc32") -> DataFrame:
-    """The same rows with the ids replaced by ``n_tokens`` and ``out``, the checksum of the ids as little-endian 32-bit integers."""
-    own = [f for f in docs.schema.fields if f.name not in (ids, "n_tokens", out)]
+    return whole.unionByName(long if finish is _as_lists else long.mapInArrow(again, f"doc {key}, start long, {schema}"))
+
+
+def _as_lists(ids: np.ndarray, first: np.ndarray) -> dict[str, pa.Array]:
+    return {"ids": pa.ListArray.from_arrays(first.astype(np.int32), pa.array(ids, pa.int32()))}
+
+
+def _as_checksums(ids: np.ndarray, first: np.ndarray) -> dict[str, pa.Array]:
+    raw = memoryview(ids.astype("<i4").tobytes())
+    crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+    return {"n_tokens": pa.array(np.diff(first), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
+
+
+def read_ids(spark: SparkSession, folder: str, order: str = "doc_id", out: str = "ids") -> DataFrame:
+    """(``order``, start, ``out``) of every document of a folder written by :func:`write_ids`: ``start`` counts the ids of all documents before it."""
+    return _read(spark, folder, _as_lists, "ids array<int>").select(F.col("doc").alias(order), "start", F.col("ids").alias(out))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, first = _flat(batch.column(ids))
-            raw = memoryview(values.astype("<i4").tobytes())
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            columns = [*[batch.column(f.name) for f in own], pa.array(np.diff(first), pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*[f.name for f in own], "n_tokens", out])
 
-    return docs.mapInArrow(run, T.StructType([*own, T.StructField("n_tokens", T.LongType()), T.StructField(out, T.LongType())]))
+def read_checksums(spark: SparkSession, folder: str, order: str = "doc_id") -> DataFrame:
+    """(``order``, start, n_tokens, ids_crc32) of every document, from the decoded ids: the checksum is of the ids as little-endian 32-bit integers."""
+    return _read(spark, folder, _as_checksums, "n_tokens long, ids_crc32 long").select(F.col("doc").alias(order), "start", "n_tokens", "ids_crc32")

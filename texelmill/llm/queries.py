@@ -213,7 +213,7 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     ids = cut_lineage(idfiles.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2).drop("text"))
     target = f"{checkpoint_folder(spark)}/texelmill/{uuid.uuid4().hex}"
     idfiles.write_ids(ids, target)
-    return idfiles.with_checksum(idfiles.read_ids(spark, target))
+    return idfiles.read_checksums(spark, target)
 
 
 def _manifest_sql(levels: int = 7) -> str:

@@ -75,3 +75,37 @@ def test_query(spark, library):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def thue_morse(n):
+    """Two words of n letters that every sum of powers modulo 2 ** 64 takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [8, 64, 1024, 2048])
+def test_pre_tokens_of_equal_sums(spark, vocab, library, n):
+    texts = [f"{x} {y}, {x}{y}" for x in thue_morse(n) for y in thue_morse(n)]
+    assert encode(vocab, texts) == [library.encode_ordinary(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in bpe.encode_documents(docs, PATH, back="back", exact="exact").collect():
+        assert r.ids == library.encode_ordinary(texts[r.doc_id]) and bytes(r.back).decode() == texts[r.doc_id] and r.exact
+
+
+def test_equal_hashes_change_nothing(library, monkeypatch):
+    """With one hash for all that isn't in the vocabulary, bytes still decide."""
+    own = bpe.Vocabulary(PATH)
+    token = next(iter(own.ranks))
+    key = bpe.byte_hashes(np.frombuffer(token, np.uint8), np.array([0]), np.array([len(token)]))
+    monkeypatch.setattr(bpe, "byte_hashes", lambda data, a, b: np.repeat(key, len(a)))
+    texts = ["every word of this", "has the same hash, has it?", "! !!"]
+    assert encode(own, texts) == [library.encode_ordinary(t) for t in texts]
+
+
+def test_encode_and_decode_at_once(spark, library):
+    texts = [None, "", "x" * 700_000 + " end", "Don't we'll  go\n\n", "🙂" * 50, "b", "\u0130 ß"]
+    docs = spark.createDataFrame([(i, t, "old", 1) for i, t in enumerate(texts)], "doc_id long, text string, ids string, exact int")
+    out = bpe.encode_documents(docs, PATH, back="back", exact="exact")
+    assert out.columns == ["doc_id", "text", "ids", "back", "exact"]
+    for r in out.collect():
+        assert r.ids == library.encode_ordinary(texts[r.doc_id] or "") and bytes(r.back) == (texts[r.doc_id] or "").encode() and r.exact and r.text == texts[r.doc_id]

@@ -464,3 +464,46 @@ def test_gamma_quantiles():
 
     q = fingerprints.gamma_quantiles()
     assert all(abs(1 - (1 + x) * math.exp(-x) - (i + 0.5) / len(q)) < 1e-9 for i, x in enumerate(q))
+
+
+# ---- words whose letters sum up alike -------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_sums_of_letters_are_not_words(spark, n):
+    from tests.llm.test_bpe import thue_morse
+
+    a, b = thue_morse(n)
+    got = {r.doc_id: r for r in ngram_join.similar_groups(spark.createDataFrame([(1, a), (2, b), (3, f"{a} {b}"), (4, f"{b} {a}"), (5, b)], "doc_id long, text string")).collect()}
+    assert [got[i].component_id for i in range(1, 6)] == [1, 2, 3, 4, 2]
+    head = " ".join(f"w{i}" for i in range(49))
+    texts = [f"{head} {a}", f"{head} {b}", f"{head} {a}"]
+    kept = {r.doc_id: r.n_removed for r in substrings.remove_repeated_windows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == {0: 0, 1: 0, 2: 50}
+    # shingles and windows whose words are dealt out by the same pattern
+    one, two = thue_morse(64)
+    texts = [" ".join(one), " ".join(two)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(60)} for t in texts]
+    linked = 100 * len(sets[0] & sets[1]) >= 80 * len(sets[0] | sets[1])
+    rows = ngram_join.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {0: (len(sets[0]), 0), 1: (len(sets[1]), 0 if linked else 1)}
+
+
+def test_hashes_of_words_and_grams():
+    import numpy as np
+    import pyarrow as pa
+
+    from texelmill.llm import words as w
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abé") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 130]))) for _ in range(rng.randrange(60))) for _ in range(200)]
+    own = w.Words(*w.text_buffer(pa.array(texts)))
+    flat = [x for t in texts for x in words(t)]
+    assert len(own.hash) == len(flat)
+    assert len(set(zip(own.hash.tolist(), flat))) == len(set(flat)) == len(set(own.hash.tolist()))
+    for n in (1, 2, 5, 20, 50):
+        grams, first = own.grams(n)
+        said = [tuple(words(t)[i : i + n]) for t in texts for i in range(len(words(t)) - n + 1)]
+        assert len(grams) == len(said) == first[-1]
+        assert len(set(zip(grams.tolist(), said))) == len(set(said)) == len(set(grams.tolist()))
+    assert len(w.byte_hashes(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0

@@ -10,17 +10,18 @@ import base64
 import functools
 import heapq
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from texelmill.llm import words
-from texelmill.llm.words import U
+from texelmill.llm.words import U, byte_hashes
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Code points with the White_Space property.
@@ -30,8 +31,10 @@ BLOCKS_16 = (
     (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105FF), (0x10D40, 0x10D8F), (0x10EC2, 0x10EC4), (0x11380, 0x113FF), (0x116D0, 0x116E3),
     (0x11BC0, 0x11BFF), (0x13460, 0x143FF), (0x16100, 0x1613F), (0x16D40, 0x16D7F), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FF),
 )
-#: Different missed pre-tokens that a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 200_000
+#: Different missed pre-tokens that a Python worker remembers, and the longest of them in bytes; beyond that it starts anew.
+REMEMBERED, LONGEST = 200_000, 64
+#: Bytes of texts that are encoded at once; a longer text is a piece of its own.
+PIECE = 1 << 19
 
 
 @functools.lru_cache(1)
@@ -136,12 +139,6 @@ class PerfectHash:
         return np.where(self.keys[slot] == keys, slot, -1)
 
 
-def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum(words._BYTE[data] * words._power("p", len(data)), out=total[1:])
-    return words.mix((total[end] - total[start]) * words._power("i", len(data) + 1)[start] + (end - start).astype(U) * U(0xC2B2AE3D27D4EB4F))
-
-
 class Vocabulary:
     """A rank file: one base64 token and its rank a line."""
 
@@ -161,10 +158,11 @@ class Vocabulary:
         self.sizes = np.array([len(t or b"") for t in self.by_id])
         self.first = np.concatenate(([0], np.cumsum(self.sizes)))
         self.flat = np.frombuffer(b"".join(t or b"" for t in self.by_id), np.uint8)
-        self.merged: dict[bytes, list[int]] = {}
+        self.single = [np.int32(i).tobytes() for i in range(len(self.by_id))]
+        self.merged: dict[bytes, bytes] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ranks of a piece: the pair of neighbours of least rank merges first, the left one of equals."""
+    def merge(self, piece: bytes) -> bytes:
+        """Ranks of a piece, as 32-bit integers: the pair of neighbours of least rank merges first, the left one of equals."""
         ranks, n = self.ranks, len(piece)
         after = [*range(1, n + 1), n]  # where the part that begins here ends and the next begins; n for parts that are gone
         before = [*range(-1, n)]
@@ -186,30 +184,34 @@ class Vocabulary:
         while i < n:
             out.append(ranks[piece[i : after[i]]])
             i = after[i]
-        return out
+        return array("i", out).tobytes()
+
+    def _missed(self, piece: bytes) -> bytes:
+        if (ids := self.merged.get(piece)) is None:
+            ids = self.merge(piece)
+            if len(piece) <= LONGEST:
+                if len(self.merged) >= REMEMBERED:
+                    self.merged.clear()
+                self.merged[piece] = ids
+        return ids
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive texts, and the first id of each."""
         start, first = pre_tokens(data, at)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
-        end = np.append(start[1:], len(data))
-        code, _ = pd.factorize(keys := byte_hashes(data, start, end))
-        some = np.empty(code.max() + 1, np.int64)  # a place of each different pre-token
-        some[code] = np.arange(len(code))
-        slot = self.table.find(keys[some])
-        parts: list[list[int]] = [[i] for i in self.token_at[slot].tolist()]
-        raw, a, b = data.tobytes(), start[some].tolist(), end[some].tolist()
-        for k in np.flatnonzero(slot < 0).tolist():
-            piece = raw[a[k] : b[k]]
-            if (ids := self.merged.get(piece)) is None:
-                if len(self.merged) >= REMEMBERED:
-                    self.merged.clear()
-                ids = self.merged[piece] = self.merge(piece)
-            parts[k] = ids
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        cuts = np.append(start, len(data)).astype(np.int64)
+        tokens = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = pc.dictionary_encode(tokens)  # equal where the bytes are
+        code, some = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        upto = np.concatenate(([0], np.cumsum([len(t) for t in some])))
+        slot = self.table.find(byte_hashes(np.frombuffer(b"".join(some), np.uint8), upto[:-1], upto[1:]))
+        ids = np.where(slot >= 0, self.token_at[slot], 0).tolist()
+        by_id, single, missed = self.by_id, self.single, self._missed
+        parts = [single[i] if by_id[i] == t else missed(t) for i, t in zip(ids, some)]  # the hash names a candidate, its bytes decide
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         begin = np.concatenate(([0], np.cumsum(size)))
-        flat = np.fromiter((i for p in parts for i in p), np.int32, begin[-1])
+        flat = np.frombuffer(b"".join(parts), np.int32)
         count = size[code]
         upto = np.concatenate(([0], np.cumsum(count)))
         return flat[np.arange(upto[-1]) + np.repeat(begin[:-1][code] - upto[:-1], count)], upto[first]
@@ -242,11 +244,11 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*[f for f in df.schema.fields if f.name != name], T.StructField(name, kind)])
 
 
-def encode_documents(docs: DataFrame, ranks: str, text: str = "text", out: str = "ids") -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: str, text: str = "text", out: str = "ids", back: str | None = None, exact: str | None = None) -> DataFrame:
     """The same rows plus ``out``, array<int>: the ids of the whole text by the rank file ``ranks``, without special tokens.
 
-    A null text counts as empty and has no ids. A column named ``out`` is replaced; all others are kept. No shuffle; a worker holds one Arrow batch, cut to
-    pieces of about a megabyte (a longer text is a piece of its own), the vocabulary and at most REMEMBERED merged pre-tokens.
+    The ids are decoded at once where asked: ``back``, binary, is what they give, ``exact`` whether that is the text's bytes. A null text counts as empty and has no ids. Columns of the new names are
+    replaced; all others are kept. No shuffle; a worker holds one Arrow batch, cut to pieces of PIECE bytes (a longer text is a piece of its own), the vocabulary and at most REMEMBERED merged pre-tokens.
     """
 
     table = vocabulary(ranks).table  # built once, on the driver: a few bytes a token
@@ -255,11 +257,29 @@ def encode_documents(docs: DataFrame, ranks: str, text: str = "text", out: str =
         vocab = vocabulary(ranks, table)
         for batch in batches:
             data, at = words.text_buffer(batch.column(text))
-            for a, b in words.pieces(at, 2 * words.PIECE_BYTES):
-                ids, first = vocab.encode(data[at[a] : at[b]], at[a : b + 1] - at[a])
-                yield _put(batch.slice(a, b - a), out, pa.ListArray.from_arrays(first.astype(np.int32), ids))
-
-    return docs.mapInArrow(encode, _with(docs, out, T.ArrayType(T.IntegerType())))
+            for a, b in words.pieces(at, PIECE):
+                own, cuts = data[at[a] : at[b]], at[a : b + 1] - at[a]
+                ids, first = vocab.encode(own, cuts)
+                rows = _put(batch.slice(a, b - a), out, pa.ListArray.from_arrays(first.astype(np.int32), ids))
+                if back or exact:
+                    got, upto = vocab.decode(ids)
+                    ends = upto[first]
+                    if back:
+                        rows = _put(rows, back, pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(got))]))
+                    if exact:
+                        if len(got) == len(own) and (ends == cuts).all():
+                            wrong = np.concatenate(([0], np.cumsum(got != own)))
+                            same = wrong[cuts[1:]] == wrong[cuts[:-1]]
+                        else:
+                            same = np.array([got[ends[i] : ends[i + 1]].tobytes() == own[cuts[i] : cuts[i + 1]].tobytes() for i in range(b - a)], bool)
+                        rows = _put(rows, exact, pa.array(same))
+                yield rows
+
+    schema = _with(docs, out, T.ArrayType(T.IntegerType()))
+    for name, kind in ((back, T.BinaryType()), (exact, T.BooleanType())):
+        if name:
+            schema = T.StructType([*[f for f in schema.fields if f.name != name], T.StructField(name, kind)])
+    return docs.mapInArrow(encode, schema)
 
 
 def decode_documents(docs: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

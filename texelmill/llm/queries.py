@@ -36,7 +36,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    done = bpe.decode_documents(bpe.encode_documents(docs, ranks).drop("text"), ranks)
+    done = bpe.encode_documents(docs, ranks, back="decoded")
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

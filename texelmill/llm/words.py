@@ -1,21 +1,19 @@
 """Words and word n-grams of Arrow text columns as numpy arrays, whole batches at a time.
 
 A word is a longest run of bytes other than space and tab..carriage return. UTF-8 never uses those bytes inside a character,
-so the work is on bytes. Hashes are 64 bits and depend on the words alone.
+so the work is on bytes. Hashes are 64 bits and depend on the words alone: words of up to eight bytes have different ones, longer words and word sequences are folded in eight bytes at a time by a
+nonlinear mix (sums of powers would let anyone write down texts that collide), and words above LONG bytes get a cryptographic digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_RNG = np.random.default_rng(20240607)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(U)
-_P = U(0x9E3779B97F4A7C15)
-_P_INV = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -23,16 +21,7 @@ _LOWER[65:91] += 32
 #: Bytes of text that are worked on at once; a longer document is a piece of its own.
 PIECE_BYTES = 1 << 20
 
-_powers = {"p": np.ones(1, U), "i": np.ones(1, U)}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers[kind]
-    if len(have) < n:
-        step = np.full(max(n, 1 << 16), _P if kind == "p" else _P_INV, U)
-        step[0] = U(1)
-        have = _powers[kind] = np.multiply.accumulate(step)
-    return have[:n]
+LONG = 128
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -77,10 +66,7 @@ class Words:
         after[at] = False
         self.end = np.flatnonzero(ink & ~after[1:]) + 1
         self.at = np.searchsorted(self.start, at)
-        total = np.zeros(len(data) + 1, U)
-        np.cumsum(_BYTE[data] * _power("p", len(data)), out=total[1:])
-        size = (self.end - self.start).astype(U)
-        self.hash = mix((total[self.end] - total[self.start]) * _power("i", len(data) + 1)[self.start] + size * U(0xC2B2AE3D27D4EB4F))
+        self.hash = byte_hashes(data, self.start, self.end)
 
     def grams(self, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all n consecutive words, and the first gram of each text. Texts of fewer words have none."""
@@ -88,15 +74,53 @@ class Words:
         first = np.concatenate(([0], np.cumsum(count)))
         if not first[-1]:
             return np.zeros(0, U), first
-        total = np.zeros(len(self.hash) + 1, U)
-        np.cumsum(self.hash * _power("p", len(self.hash)), out=total[1:])
         begin = np.arange(first[-1]) + np.repeat(self.at[:-1] - first[:-1], count)
-        return mix((total[begin + n] - total[begin]) * _power("i", len(self.hash))[begin], seed + n), first
+        part, size, left = self.hash, 1, n  # hashes of ``size`` words from each on; those across the end of a text are not taken
+        out, have = None, 0
+        while True:
+            if left & size:
+                out, have = (part, size) if out is None else (_join(out, part, have), have + size)
+            if have == n:
+                return mix(out[begin], seed + n), first
+            part, size = _join(part, part, size), 2 * size
 
     def whole(self, row: int) -> np.ndarray:
         """One hash, as an array, for all words of a text in order."""
         own = self.hash[self.at[row] : self.at[row + 1]]
-        return mix((own * _power("p", len(own))).sum(keepdims=True, dtype=U) + U(len(own) * 0x165667B19E3779F9 % 2**64), 3)
+        seen = np.array([len(own)], U)
+        for i in range(len(own)):
+            seen = mix(seen ^ own[i : i + 1], 3)
+        return seen
+
+
+def _join(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of ``size`` words from each place on, followed by those of ``right`` behind them."""
+    kept = max(0, min(len(left), len(right) - size))
+    return mix(mix(left[:kept], 1) ^ right[size : size + kept], 2)
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges, eight bytes at a time."""
+    size = end - start
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    lane = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    out = mix(_lane(lane, start, size), 5) + size.astype(U) * U(0xC2B2AE3D27D4EB4F)
+    going = np.flatnonzero((size > 8) & (size <= LONG))
+    at = 8
+    while len(going):
+        out[going] = mix(out[going] ^ _lane(lane, start[going] + at, size[going] - at), 7)
+        at += 8
+        going = going[size[going] > at]
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        digests = b"".join(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest() for i in long.tolist())
+        out[long] = np.frombuffer(digests, U)
+    return out
+
+
+def _lane(lane: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each place on, zeros behind the last."""
+    return lane[at] & (~U(0) >> (U(8) * (8 - np.minimum(left, 8)).astype(U)))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

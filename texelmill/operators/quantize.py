@@ -5,6 +5,8 @@ Methods give ``palette`` (image_id, idx, r, g, b; at most K entries) and ``color
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +23,8 @@ RGB = ["r", "g", "b"]
 METHODS = ("median_cut", "max_coverage", "fast_octree", "libimagequant", "kmeans_adaptive", "uniform")
 ERROR_WEIGHTED_ROUNDS = 3
 KMEANS_ROUNDS = 2
+#: Values of a channel in a cell of colours.
+CELL = 8
 
 
 def _mean(c: str) -> Column:
@@ -90,7 +94,28 @@ def median_cut(hist: DataFrame, k: int) -> dict[str, DataFrame]:
     return _result(palette, assigned)
 
 
-def fast_octree(hist: DataFrame, k: int, bits: int = 4) -> dict[str, DataFrame]:
+def fast_octree(hist: DataFrame, k: int) -> dict[str, DataFrame]:
+    """An octree of colours, one level a bit, reduced from the leaves up: the deepest level first, in it the least populated siblings, until k leaves are left. The leaves' weighted means are the palette.
+
+    A level's nodes are colours cut to its bits. Every level that is still too wide is merged whole, whatever the order, so one count of nodes per level tells where the reduction ends: below the deepest
+    level of at most k nodes. Only the siblings under that level's nodes, at most k a image, are put in an order.
+    """
+    cut = lambda drop: color.pack_rgb(*[F.shiftleft(F.shiftright(F.col(c), drop), drop) for c in RGB])
+    level = hist.select("image_id", F.explode(F.array(*[F.struct(F.lit(8 - d).alias("level"), cut(d).alias("node")) for d in range(9)])).alias("at"))
+    sizes = level.select("image_id", "at.*").distinct().groupBy("image_id", "level").agg(F.count("*").alias("nodes"))
+    fit = sizes.groupBy("image_id").agg(F.max(F.when(F.col("nodes") <= k, F.col("level"))).alias("level"), F.map_from_entries(F.collect_list(F.struct("level", "nodes"))).alias("_all"))
+    fit = cut_lineage(fit.select("image_id", (8 - F.col("level")).alias("drop"), (F.coalesce(F.element_at("_all", F.col("level") + 1), F.lit(k)) - k).alias("over")))
+    at = lambda drop: color.pack_rgb(*[F.expr(f"shiftleft(shiftright({c}, {drop}), {drop})") for c in RGB])
+    leaves = hist.join(fit, "image_id").withColumns({"parent": at("drop"), "child": at("greatest(drop - 1, 0)")})
+    siblings = leaves.groupBy("image_id", "over", "parent", "child").agg(F.sum("n").alias("n")).groupBy("image_id", "over", "parent").agg(F.sum("n").alias("n"), (F.count("*") - 1).alias("gone"))
+    before = F.sum("gone").over(Window.partitionBy("image_id").orderBy("n", "parent").rowsBetween(Window.unboundedPreceding, -1))
+    merged = siblings.select("image_id", "parent", (F.coalesce(before, F.lit(0)) < F.col("over")).alias("merged"))
+    boxes = leaves.join(merged, ["image_id", "parent"]).withColumn("box", F.when(F.col("merged"), F.col("parent")).otherwise(F.col("child")))
+    palette = cut_lineage(_with_dense_idx(boxes.groupBy("image_id", "box").agg(*[_mean(c) for c in RGB])))
+    return _nearest(hist, palette)
+
+
+def fullest_buckets(hist: DataFrame, k: int, bits: int = 4) -> dict[str, DataFrame]:
     """The k fullest colour buckets of ``bits`` bits per channel, their weighted means, the rest to the nearest mean."""
     bucket = color.pack_rgb(*[F.shiftright(F.col(c), 8 - bits) for c in RGB])
     means = hist.withColumn("box", bucket).groupBy("image_id", "box").agg(F.sum("n").alias("n"), *[_mean(c) for c in RGB])
@@ -118,6 +143,123 @@ def error_bounded(hist: DataFrame, k: int, rounds: int = ERROR_WEIGHTED_ROUNDS)
     return _nearest(hist, palette)
 
 
+def quality_error(quality: float) -> float:
+    """The mean squared error of a pixel, over its three channels of 0..255, that a quality of 0..100 stands for."""
+    if quality >= 100:
+        return 0.0
+    # fixed values: the published quality curve of the default quantizer, in channels of 0..1
+    return 255.0**2 * 3 * (max(0.0, 0.016 / (0.001 + quality) - 0.001) + 2.5 / (210.0 + quality) ** 1.2 * (100.1 - quality) / 100.0)
+
+
+def _best_splits(boxes: DataFrame) -> DataFrame:
+    """(image_id, node, n, error, gain, chan, cut): each box's squared error and the cut of one channel that removes most of it.
+
+    Cuts are found on channel histograms, at most 768 rows a box whatever its colours: they add up map-side.
+    """
+    sums = [F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(c)).alias(f"s{c}") for c in RGB]]
+    square = sum((F.col(f"s{c}").cast("double") * F.col(f"s{c}") for c in RGB[1:]), F.col("sr").cast("double") * F.col("sr"))
+    spread = F.sum(F.col("n") * (F.col("r") * F.col("r") + F.col("g") * F.col("g") + F.col("b") * F.col("b"))).cast("double").alias("q")
+    error = boxes.groupBy("image_id", "node").agg(*sums, spread).select("image_id", "node", "n", (F.col("q") - square / F.col("n")).alias("error"))
+    sides = boxes.withColumn("_c", F.explode(F.array(*[F.struct(F.lit(i).alias("chan"), F.col(c).alias("v")) for i, c in enumerate(RGB)]))).select("*", "_c.*")
+    values = sides.groupBy("image_id", "node", "chan", "v").agg(*sums)
+    w = Window.partitionBy("image_id", "node", "chan")
+    parts = ["n", "sr", "sg", "sb"]
+    values = values.withColumns({f"l{c}": F.sum(c).over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).cast("double") for c in parts} | {f"t{c}": F.sum(c).over(w).cast("double") for c in parts})
+    right = F.col("tn") - F.col("ln")
+    apart = [right * F.col(f"ls{c}") - F.col("ln") * (F.col(f"ts{c}") - F.col(f"ls{c}")) for c in RGB]
+    gain = F.when(right > 0, (apart[0] * apart[0] + apart[1] * apart[1] + apart[2] * apart[2]) / (F.col("tn") * F.col("ln") * right)).otherwise(0.0)
+    best = values.groupBy("image_id", "node").agg(F.max(F.struct(gain.alias("gain"), (-F.col("chan")).alias("c"), (-F.col("v")).alias("v"))).alias("best"))
+    return error.join(best.select("image_id", "node", "best.gain", (-F.col("best.c")).alias("chan"), (-F.col("best.v")).alias("cut")), ["image_id", "node"])
+
+
+def _greedy(rows: list[dict], k: int, target: float) -> tuple[dict[int, int], list[int]]:
+    """Box numbers of the leaves after splitting, always the box whose split removes most error (then the one made first), until ``k`` boxes or the error is at most ``target`` a pixel; and the
+    boxes it would split whose halves aren't known yet."""
+    known = {r["node"]: r for r in rows}
+    root = known[0]
+    error, made = root["error"], 1
+    heap, leaves, wanted = [(-root["gain"], 0, 0)], {0: 0}, []
+    while heap and made < k and error > target * root["n"]:
+        lost, box, node = heapq.heappop(heap)
+        if lost >= 0:
+            break
+        error, made = error + lost, made + 1
+        if known[node]["left"] < 0:
+            wanted.append(node)
+            continue
+        del leaves[node]
+        for child, number in ((known[node]["left"], box), (known[node]["left"] + 1, made - 1)):
+            leaves[child] = number
+            heapq.heappush(heap, (-known[child]["gain"], number, child))
+    return leaves, wanted
+
+
+def variance_split(hist: DataFrame, k: int, target: float = 0.0) -> DataFrame:
+    """``hist`` with ``box``: best-first splitting by the squared error a split removes, up to k boxes, or until the error a pixel is at most ``target``, so that an easy image gets a smaller palette.
+
+    The order of splits is one of a whole image, their search is not: a round finds the best cuts of all boxes that the order may want next, for all images at once; a walk over the at most few
+    hundred boxes known of an image then says which boxes come next. There are about as many rounds as the tree of boxes is deep. Colours stay distributed and move with their box.
+    """
+    kind = dict(hist.dtypes)["image_id"]
+    colors = cut_lineage(hist.select("image_id", *RGB, "n", F.lit(0).alias("node")))
+    fresh = colors
+    tree = None
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.to_dict("records")
+        leaves, wanted = _greedy(rows, k, target)
+        if wanted:
+            first = max(r["node"] for r in rows) + 1
+            out = [(r["image_id"], r["node"], first + 2 * wanted.index(r["node"]) if r["node"] in wanted else r["left"], -1) for r in rows]
+        else:
+            box, known = {}, {r["node"]: r for r in rows}
+            for leaf, number in leaves.items():
+                todo = [leaf]
+                while todo:
+                    node = todo.pop()
+                    box[node] = number
+                    if known[node]["left"] >= 0:
+                        todo += [known[node]["left"], known[node]["left"] + 1]
+            out = [(r["image_id"], r["node"], r["left"], box.get(r["node"], -1)) for r in rows]
+        return pd.DataFrame(out, columns=["image_id", "node", "left", "box"])
+
+    while True:
+        found = _best_splits(fresh).withColumn("left", F.lit(-1))
+        tree = cut_lineage(found if tree is None else tree.unionByName(found))
+        steps = cut_lineage(tree.groupBy("image_id").applyInPandas(walk, f"image_id {kind}, node int, left int, box int"))
+        grown = tree.withColumnRenamed("left", "_old").join(steps, ["image_id", "node"])
+        if not grown.where("left <> _old").limit(1).collect():
+            break
+        splits = grown.where("left <> _old").select("image_id", "node", "chan", "cut", F.col("left").alias("_left"))
+        tree = cut_lineage(grown.drop("_old", "box"))
+        value = F.when(F.col("chan") == 0, F.col("r")).when(F.col("chan") == 1, F.col("g")).otherwise(F.col("b"))
+        moved = colors.join(splits, ["image_id", "node"], "left").withColumn("node", F.coalesce(F.col("_left") + (value > F.col("cut")).cast("int"), F.col("node")))
+        moved = cut_lineage(moved.select("image_id", *RGB, "n", "node", F.col("_left").isNotNull().alias("fresh")))
+        colors, fresh = moved.drop("fresh"), moved.where("fresh").drop("fresh")
+    return colors.join(steps.select("image_id", "node", F.col("box").cast("long").alias("box")), ["image_id", "node"]).drop("node")
+
+
+def quality_bounded(hist: DataFrame, k: int, floor: float = 85, enough: float = 100, rounds: int = ERROR_WEIGHTED_ROUNDS) -> dict[str, DataFrame]:
+    """Best-first boxes refined by Lloyd rounds, with as few colours as the quality ``enough`` needs; an image that stays below the quality ``floor`` with k colours gets the median cut instead.
+
+    ``quality`` has (image_id, mse, fell_back): the refined palette's mean squared error a pixel and whether it was given up.
+    """
+    boxes = variance_split(hist, k, quality_error(enough))
+    palette = _with_dense_idx(boxes.groupBy("image_id", "box").agg(*[_mean(c) for c in RGB]))
+    palette = lloyd(hist, cut_lineage(palette.select("image_id", "idx", *RGB)), rounds)
+    mapped = _assigned(hist, palette)
+    entries = palette.withColumnsRenamed({c: f"p{c}" for c in RGB})
+    apart = sum(((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in RGB[1:]), (F.col("r") - F.col("pr")) * (F.col("r") - F.col("pr")))
+    mse = mapped.join(entries, ["image_id", "idx"]).groupBy("image_id").agg((F.sum(apart * F.col("n")) / F.sum("n")).alias("mse"))
+    quality = cut_lineage(mse.withColumn("fell_back", F.col("mse") > quality_error(floor)))
+    failed = quality.where("fell_back").select("image_id")
+    if not failed.limit(1).collect():
+        return {**_result(palette, mapped), "quality": quality}
+    plain = median_cut(hist.join(failed, "image_id", "left_semi"), k)
+    good = _result(palette, mapped)
+    return {name: df.join(failed, "image_id", "left_anti").unionByName(plain[name]) for name, df in good.items()} | {"quality": quality}
+
+
 def uniform(hist: DataFrame, k: int) -> dict[str, DataFrame]:
     """Median cut of the median-cut image."""
     once = median_cut(hist, k)
@@ -126,35 +268,85 @@ def uniform(hist: DataFrame, k: int) -> dict[str, DataFrame]:
     return _nearest(hist, again["palette"])
 
 
-def max_coverage(hist: DataFrame, k: int) -> dict[str, DataFrame]:
-    """Farthest-point palette: start from the most frequent colour, then always the colour farthest from all chosen.
+def _picks(cells: list[dict], chosen: list[tuple], k: int) -> tuple[list[tuple], set[int]]:
+    """Further farthest colours that are certain from what cells tell; if they don't suffice, the cells that must be looked into for the next one: those whose farthest colour came nearer.
 
-    One image's histogram is one task's array, at most 2^24 colours; no colour is left out of the search.
+    A cell tells its farthest colour and its reach at the last look. A pick since then leaves the reach of a cell as it was if its farthest colour keeps it; else the old reach, and the distance from the pick to the far corner of the
+    cell, bound it from above.
     """
+    if not cells:
+        return [], set()
+    place = np.array([[c["cr"], c["cg"], c["cb"]] for c in cells], np.int64) * CELL
+    told = np.array([[c["r"], c["g"], c["b"]] for c in cells], np.int64)
+    reach = np.array([c["reach"] for c in cells], np.int64)
+    own, upper, alone = reach, reach, np.array([c["colors"] for c in cells]) == 1
+    rank = np.lexsort((told[:, 2], told[:, 1], told[:, 0], -np.array([c["n"] for c in cells], np.int64)))
+    prior = np.empty(len(cells), np.int64)
+    prior[rank] = np.arange(len(cells))
+    new: list[tuple] = []
+    while len(chosen) + len(new) < k:
+        top = int(upper.max())
+        if top == 0:
+            break
+        first = np.flatnonzero(upper == top)
+        unsure = first[own[first] < top]
+        if len(unsure):
+            return new, set(np.flatnonzero(own < reach).tolist())
+        best = int(first[np.argmin(prior[first])])
+        pick = told[best]
+        new.append(tuple(pick.tolist()))
+        own = np.minimum(own, ((told - pick) ** 2).sum(axis=1))
+        corner = np.maximum(np.abs(place - pick), np.abs(place + CELL - 1 - pick))
+        upper = np.where(alone, own, np.maximum(own, np.minimum(upper, (corner**2).sum(axis=1))))
+    return new, set()
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", *RGB], ascending=[False, True, True, True]).reset_index(drop=True)
-        rgb = pdf[RGB].to_numpy().astype(np.int64)
-        chosen, reach = [0], ((rgb - rgb[0]) ** 2).sum(axis=1)
-        while len(chosen) < min(k, len(rgb)):
-            nxt = int(np.argmax(reach))
-            chosen.append(nxt)
-            reach = np.minimum(reach, ((rgb - rgb[nxt]) ** 2).sum(axis=1))
-        out = pdf.loc[chosen, ["image_id", *RGB]]
-        out["box"] = np.arange(len(out), dtype="int32")
-        return out
 
+def max_coverage(hist: DataFrame, k: int) -> dict[str, DataFrame]:
+    """Farthest-point palette: start from the most frequent colour, then always the colour farthest from all chosen; of equals the more frequent one, then the first by (r, g, b).
+
+    A table of cells, 8 values wide a channel (at most 32768 an image), keeps each cell's farthest colour. A round looks into the cells whose farthest colour came nearer, with partial aggregation over their
+    colours; then a walk over an image's cells makes all picks that are certain, and ends when a cell's bound beats the best of them. The histogram stays distributed and no colour is left out of the search.
+    """
     kind = dict(hist.dtypes)["image_id"]
-    chosen = hist.select("image_id", *RGB, "n").groupBy("image_id").applyInPandas(pick, f"image_id {kind}, r int, g int, b int, box int")
-    palette = cut_lineage(_with_dense_idx(chosen))
-    return _nearest(hist, palette)
+    at = [F.floor(F.col(c) / CELL).cast("int").alias(f"c{c}") for c in RGB]
+    colors = cut_lineage(hist.select("image_id", *RGB, "n", *at))
+    cell = ["image_id", "cr", "cg", "cb"]
+    order = F.struct(F.col("n"), *[(-F.col(c)).alias(c) for c in RGB])
+    start = colors.groupBy("image_id").agg(F.max(order).alias("m")).select("image_id", F.array(F.struct(*[(-F.col(f"m.{c}")).alias(c) for c in RGB])).alias("chosen"))
+    chosen, opened, cells = cut_lineage(start), colors, None
+    picks = "array<struct<r:int,g:int,b:int>>"
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        have = [(c["r"], c["g"], c["b"]) for c in pdf["chosen"].iloc[0]]
+        new, look = _picks(pdf.drop(columns="chosen").to_dict("records"), have, k)
+        row = [(pdf["image_id"].iloc[0], [dict(zip(RGB, p)) for p in have + new], [int(i) for i in pdf.iloc[sorted(look)]["id"]], bool(look))]
+        return pd.DataFrame(row, columns=["image_id", "chosen", "look", "more"])
+
+    while True:
+        reach = F.array_min(F.transform("chosen", lambda p: sum(((F.col(c) - p[c]) * (F.col(c) - p[c]) for c in RGB[1:]), (F.col("r") - p["r"]) * (F.col("r") - p["r"]))))
+        far = F.max(F.struct(reach.cast("long").alias("reach"), order.alias("o"))).alias("m")
+        seen = opened.join(chosen, "image_id").groupBy(*cell).agg(far, F.count("*").alias("colors"))
+        seen = seen.select(*cell, F.col("m.reach").alias("reach"), F.col("m.o.n").alias("n"), *[(-F.col(f"m.o.{c}")).alias(c) for c in RGB], "colors")
+        seen = seen.withColumn("id", F.col("cr") * 65536 + F.col("cg") * 256 + F.col("cb"))
+        if cells is not None:
+            seen = seen.unionByName(cells.join(seen.select(*cell), cell, "left_anti"))
+        cells = cut_lineage(seen)
+        told = cut_lineage(cells.join(chosen, "image_id").groupBy("image_id").applyInPandas(walk, f"image_id {kind}, chosen {picks}, look array<int>, more boolean"))
+        chosen = told.select("image_id", "chosen")
+        if not told.where("more").limit(1).collect():
+            break
+        look = told.where("more").select("image_id", F.explode("look").alias("id"))
+        look = look.select("image_id", F.shiftright("id", 16).alias("cr"), (F.shiftright("id", 8) % 256).alias("cg"), (F.col("id") % 256).alias("cb"))
+        opened = colors.join(look, cell, "left_semi")
+    box = chosen.select("image_id", F.posexplode("chosen").alias("box", "p")).select("image_id", "p.*", "box")
+    return _nearest(hist, cut_lineage(_with_dense_idx(box)))
 
 
 def quantize_histogram(hist: DataFrame, method: str, k: int) -> dict[str, DataFrame]:
     run = {
         "max_coverage": max_coverage,
         "fast_octree": fast_octree,
-        "libimagequant": error_bounded,
+        "libimagequant": quality_bounded,
         "kmeans_adaptive": kmeans_adaptive,
         "uniform": uniform,
     }.get((method or "").lower(), median_cut)

@@ -379,6 +379,16 @@ def g01cm(t: Tables) -> DataFrame:
     return quantize.fast_octree(t("hist"), 32)["color_map"]
 
 
+@query("g01c_fullest_buckets", c.q(("hist",), c.fullest_buckets("hist", 32)))
+def g01cb(t: Tables) -> DataFrame:
+    return quantize.fullest_buckets(t("hist"), 32)["palette"]
+
+
+@query("g01c_fast_octree_200", c.q(("hist",), c.octree("hist", 200)))
+def g01c200(t: Tables) -> DataFrame:
+    return quantize.fast_octree(t("hist"), 200)["palette"]
+
+
 def lloyd_ctes(rounds: int, seed: tuple[tuple[str, str], ...] = (OCT,), pal: str = "oct") -> tuple[tuple[str, str], ...]:
     ctes = list(seed)
     for i in range(rounds):
@@ -398,6 +408,52 @@ def g01e(t: Tables) -> DataFrame:
     return quantize.error_bounded(t("hist"), 32)["palette"]
 
 
+def best_first_ctes(k: int, target: float, hist: str = "hist") -> tuple[tuple[str, str], ...]:
+    """One split a step and image: of all cuts of all boxes the one that removes most squared error, until k boxes or the error a pixel is at most ``target``. ``bfz`` has the boxes."""
+    sums = ", ".join(f"sum({e}) over w::double as l{a}, sum({e}) over u::double as t{a}" for a, e in (("n", "n"), ("r", "n*r"), ("g", "n*g"), ("b", "n*b")))
+    sides = "select f.*, ch, case ch when 0 then r when 1 then g else b end as v from f, (select unnest([0, 1, 2]) as ch) where step<%d and err>%r*total" % (k - 1, target)
+    cuts = f"select *, {sums} from ({sides}) window w as (partition by image_id, box, ch order by v range between unbounded preceding and current row), u as (partition by image_id, box, ch)"
+    apart = "+".join(f"((tn-ln)*l{c}-ln*(t{c}-l{c}))*((tn-ln)*l{c}-ln*(t{c}-l{c}))" for c in "rgb")
+    gains = f"select *, case when tn>ln then ({apart})/(tn*ln*(tn-ln)) else 0.0 end as gain from ({cuts})"
+    pick = f"select *, first_value(gain) over o as bg, first_value(box) over o as bb, first_value(ch) over o as bc, first_value(v) over o as bv from ({gains}) window o as (partition by image_id order by gain desc, box, ch, v)"
+    step = f"select image_id, r, g, b, n, case when box=bb and (case bc when 0 then r when 1 then g else b end)>bv then step+1 else box end, step+1, err-bg, total from ({pick}) where ch=0 and bg>0"
+    sse = "sum(n*(r*r+g*g+b*b)) over w::double-(sum(n*r) over w::double*sum(n*r) over w::double+sum(n*g) over w::double*sum(n*g) over w::double+sum(n*b) over w::double*sum(n*b) over w::double)/sum(n) over w"
+    return (
+        ("bf!", f"with recursive f(image_id, r, g, b, n, box, step, err, total) as (select image_id, r, g, b, n, 0::bigint, 0, {sse}, sum(n) over w from {hist} window w as (partition by image_id) union all {step}) select * from f"),
+        ("bfz!", "select * from (select *, max(step) over (partition by image_id) as last from bf) where step=last"),
+        ("bfmp!", c.means("bfz")),
+    )
+
+
+@query("g01e_best_first", c.q(("hist",), "select image_id, r, g, b, n, box from bfz", *best_first_ctes(32, 0.0)))
+def g01ebf(t: Tables) -> DataFrame:
+    """Boxes of the best-first order; 32 in every image that has so many colours."""
+    return quantize.variance_split(t("hist"), 32)
+
+
+@query("g01e_enough_quality", c.q(("hist",), "select image_id, idx, r, g, b from bfmp", *best_first_ctes(48, quantize.quality_error(60))))
+def g01een(t: Tables) -> DataFrame:
+    """Palettes only as large as a quality of 60 needs."""
+    boxes = quantize.variance_split(t("hist"), 48, quantize.quality_error(60))
+    return quantize._with_dense_idx(boxes.groupBy("image_id", "box").agg(*[quantize._mean(x) for x in "rgb"])).select("image_id", "idx", *"rgb")
+
+
+FLOOR = (
+    *best_first_ctes(24, 0.0),
+    *lloyd_ctes(3, (), "bfmp"),
+    *median_cut_sql(24),
+    ("near!", f"select m.image_id, m.idx, h.n, (h.r-p.r)**2+(h.g-p.g)**2+(h.b-p.b)**2 as d from ({c.mapped('hist', 'lm2')}) m join hist h using (image_id, r, g, b) join lm2 p on p.image_id=m.image_id and p.idx=m.idx"),
+    ("told!", f"select image_id, sum(d*n)/sum(n)>{quantize.quality_error(85)!r} as fell_back from near group by image_id"),
+)
+
+
+@query("g01e_quality_floor", c.q(("hist",), "select image_id, idx, r, g, b, fell_back from lm2 join told using (image_id) where not fell_back union all select image_id, idx, r, g, b, fell_back from rmp join told using (image_id) where fell_back", *FLOOR))
+def g01eq(t: Tables) -> DataFrame:
+    """24 colours at a quality of 85 or more, the median cut where that fails."""
+    out = quantize.quality_bounded(t("hist"), 24)
+    return out["palette"].join(out["quality"].select("image_id", "fell_back"), "image_id")
+
+
 UNIFORM = (
     *median_cut_sql(16, prefix="u"),
     ("flat", "select h.image_id, p.r, p.g, p.b, sum(h.n) as n from uz h join ump p using (image_id, box) group by all"),

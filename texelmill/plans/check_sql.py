@@ -250,13 +250,26 @@ def means(src: str) -> str:
     return f"select *, cast(row_number() over (partition by image_id order by r, g, b, box)-1 as int) as idx from (select image_id, box, {m} from {src} group by image_id, box)"
 
 
-def octree(hist: str, k: int, shift: int = 4) -> str:
+def fullest_buckets(hist: str, k: int, shift: int = 4) -> str:
     m = ", ".join(MEAN.format(c) for c in "rgb")
     box = f"(r//{2**shift})*65536+(g//{2**shift})*256+b//{2**shift}"
     top = f"select *, row_number() over (partition by image_id order by n desc, box) as rk from (select image_id, box, {m}, sum(n) as n from (select *, {box} as box from {hist}) group by image_id, box)"
     return f"select image_id, cast(row_number() over (partition by image_id order by r, g, b, box)-1 as int) as idx, r, g, b from ({top}) where rk<={k}"
 
 
+def octree(hist: str, k: int) -> str:
+    """Levels merged from the leaves up until the next one would have k nodes or fewer; there the least populated siblings first."""
+    cut = lambda d: "+".join(f"(({c}>>({d}))<<({d}))*{w}" for c, w in (("r", 65536), ("g", 256), ("b", 1)))
+    size = f"select image_id, d, count(*) as nodes from (select distinct image_id, d, {cut('d')} as node from {hist}, (select unnest(range(0, 9))::int as d)) group by image_id, d"
+    fit = f"select image_id, min(d) filter (nodes<={k}) as d from ({size}) group by image_id"
+    over = f"select f.image_id, f.d, coalesce(s.nodes-{k}, 0) as over from ({fit}) f left join ({size}) s on s.image_id=f.image_id and s.d=f.d-1"
+    leaf = f"select h.*, over, {cut('d')} as parent, {cut('greatest(d-1, 0)')} as child from {hist} h join ({over}) using (image_id)"
+    kin = f"select image_id, parent, any_value(over) as over, sum(n) as n, count(distinct child)-1 as gone from ({leaf}) group by image_id, parent"
+    done = f"select image_id, parent, coalesce(sum(gone) over (partition by image_id order by n, parent rows between unbounded preceding and 1 preceding), 0)<over as merged from ({kin})"
+    boxes = f"(select image_id, r, g, b, n, case when merged then parent else child end as box from ({leaf}) join ({done}) using (image_id, parent))"
+    return f"select image_id, idx, r, g, b from ({means(boxes)})"
+
+
 def mapped(hist: str, palette: str) -> str:
     """image_id, r, g, b -> idx."""
     return nearest(hist, palette, ("image_id", "r", "g", "b"), "c.image_id=p.image_id")

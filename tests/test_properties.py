@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from texelmill.functions import color, paths
 from texelmill.operators import cluster, lut, mapping, materials, neighborhood, ordering, pathops, plugins, quantize
 from texelmill.plans.views import Tables
+from texelmill.sources import files as file_sinks
 from texelmill.sources import assets, tables
 from texelmill.sources import materials as material_files
 from texelmill.sources import plugins as plugin_files
@@ -359,7 +360,7 @@ def test_file_sources_and_sinks(spark, tmp_path):
 
     out = spark.createDataFrame([("p/q.bin", b"12")], "path string, content binary")
     for _ in range(2):
-        material_files.write_files(out, str(tmp_path / "out"))
+        file_sinks.write_files(out, str(tmp_path / "out"))
     assert [p.read_bytes() for p in (tmp_path / "out").rglob("*.*")] == [b"12"]
 
     px = Tables(spark, FOLDER)("indexed")

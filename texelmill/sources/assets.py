@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from texelmill.functions import paths
 from texelmill.operators.pathops import archive_entries, manifest_lines, scan_filter
 from texelmill.operators.resize import BC7_UNORM, BC7_UNORM_SRGB
+from texelmill.sources.files import read_prefixes
 
 # fixed values of the texture header: magic, extended FourCC, byte positions (1-based) and least sizes
 DDS_MAGIC_HEX, DX10_HEX = "44445320", "44583130"
@@ -58,6 +59,11 @@ def texture_headers(files: DataFrame) -> DataFrame:
     return out.withColumns({"is_bc7": bc7, "is_bc7_linear": linear})
 
 
+def scan_texture_headers(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """:func:`texture_headers` of the texture files below a folder; of each file only the header's bytes are read."""
+    return texture_headers(read_prefixes(spark, root, EXTENDED_HEADER_BYTES, recursive, (".dds",)))
+
+
 def write_manifest(files: DataFrame, root: str, target: str) -> None:
     """Write the manifest as ordered text parts; the parts one after another are the file. No files: ``[`` and ``]``."""
     entries = archive_entries(files, root)

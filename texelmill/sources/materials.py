@@ -294,24 +294,3 @@ def material_json_text(records: DataFrame) -> DataFrame:
     """Rewritten JSON records to ``path, content`` (pretty, UTF-8)."""
     text = F.to_json("fields", {"pretty": "true"})
     return records.select(F.col("out_path").alias("path"), F.encode(text, "UTF-8").alias("content"))
-
-
-def write_files(files: DataFrame, root: str = "") -> None:
-    """Write ``path, content`` rows as files below a folder every executor mounts.
-
-    A file is written beside its place and then renamed, so a retried task leaves the same result.
-    """
-
-    def save(rows) -> None:
-        import os
-        import uuid
-
-        for row in rows:
-            target = os.path.join(root, row["path"]) if root else row["path"]
-            os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
-            part = f"{target}.{uuid.uuid4().hex}.part"
-            with open(part, "wb") as f:
-                f.write(bytes(row["content"]))
-            os.replace(part, target)
-
-    files.select("path", "content").foreachPartition(save)

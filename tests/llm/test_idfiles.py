@@ -67,22 +67,27 @@ def test_pack_and_unpack(n):
     counts = np.bincount(np.append(ids, np.arange(2001)))
     code = idfiles.Code(idfiles.code_lengths(counts, 12))
     assert code.most <= 12
-    bits, checkpoints = code.pack(ids)
-    assert len(bits) == -(-int(code.lengths[ids].sum()) // 64) * 8 and len(checkpoints) == -(-n // 64)
-    assert (code.unpack(bits, checkpoints, n) == ids).all()
-    for a, b in ((0, n), (n // 3, n // 2), (max(0, n - 1), n), (64, 65), (10, 10)):
-        if b <= n:
-            assert (code.unpack(bits, checkpoints, n, a, b) == ids[a:b]).all()
-    plain = "".join(format(int(code.codes[i]), f"0{code.lengths[i]}b") for i in ids)
-    assert "".join(format(b, "08b") for b in bits)[: len(plain)] == plain
+    first = np.array([0, n // 3, n // 3, n // 2, n])
+    words, word_of, begin = code.pack(ids, first)
+    bits = words.byteswap().tobytes()
+    sizes = np.diff(first)
+    marks = np.concatenate([begin[a:b:64] for a, b in zip(first, first[1:])]) if n else np.zeros(0, np.int64)
+    assert (code.unpack(bits, marks, sizes) == ids).all()
+    for i, (a, b) in enumerate(zip(first, first[1:])):
+        plain = "".join(format(int(code.codes[x]), f"0{code.lengths[x]}b") for x in ids[a:b])
+        own = bits[8 * word_of[i] : 8 * word_of[i + 1]]
+        assert len(own) == -(-len(plain) // 64) * 8 and "".join(format(x, "08b") for x in own)[: len(plain)] == plain
+        assert (code.unpack(own, begin[a:b:64] - 64 * word_of[i], sizes[i : i + 1]) == ids[a:b]).all()
+        if b - a > 64:  # from a checkpoint within
+            assert (code.unpack(own, begin[a:b:64][1:2] - 64 * word_of[i], np.array([min(64, b - a - 64)])) == ids[a + 64 : min(b, a + 128)]).all()
 
 
 def test_one_symbol_and_uncounted_ids():
     code = idfiles.Code(idfiles.code_lengths(np.array([0, 0, 7])))
-    bits, checkpoints = code.pack(np.full(100, 2))
-    assert (code.unpack(bits, checkpoints, 100) == 2).all()
+    words, _, begin = code.pack(np.full(100, 2), np.array([0, 100]))
+    assert (code.unpack(words.byteswap().tobytes(), begin[::64], np.array([100])) == 2).all()
     with pytest.raises(ValueError):
-        code.pack(np.array([1]))
+        code.pack(np.array([1]), np.array([0, 1]))
 
 
 def test_segments_do_not_change_ids(library):
@@ -164,3 +169,10 @@ def test_checksums_of_documents_across_blocks(spark, tmp_path, monkeypatch):
     idfiles.write_ids(spark.createDataFrame(rows, "doc_id long, ids array<int>"), str(tmp_path / "out"))
     got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in idfiles.read_checksums(spark, str(tmp_path / "out")).collect()}
     assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in rows}
+
+
+def test_counts_of_the_encoder(spark):
+    texts = [f"some words {i} and words" * (i % 7) for i in range(50)] + [None]
+    docs = idfiles.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), PATH, end_id=2, counts="counts")
+    assert (idfiles.count_ids(docs) == idfiles.count_ids(docs, counts="counts")).all() and idfiles.count_ids(docs)[2] >= 51
+    assert idfiles.count_ids(docs.limit(0), counts="counts").tolist() == []

@@ -1,7 +1,7 @@
 """Token ids on disk: canonical length-limited Huffman codes from global counts, in independent blocks with bit-offset checkpoints.
 
 A folder holds ``codebook`` (id, bits), ``blocks`` and ``parts`` (part, start). Blocks lie in the documents' order by (part, block); each is one binary record with its own header, so any of them
-is decoded without the others, and any 64 ids of it from the checkpoint before them. Spark's writer carries the records, which gives the commit, the retries and remote file systems.
+is decoded without the others, a document of it from its own first word, and any 64 ids of that from the checkpoint before them. Spark's writer carries the records, which gives the commit, the retries and remote file systems.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ MOST_IDS = 1 << 22
 BLOCK, CHECKPOINT = 1 << 16, 64
 #: Different segments of texts that a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 600_000, 200
-PIECE = 1 << 22
+PIECE = 1 << 23
 
 U = np.uint64
 
@@ -140,12 +140,12 @@ class Encoder:
         return out
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids", end_id: int | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids", end_id: int | None = None, counts: str | None = None) -> DataFrame:
     """The same rows plus ``out``, array<int>: the ids of the whole text by the byte-level tokenizer file, without special tokens, then ``end_id`` if given.
 
-    A null text is empty. A column named ``out`` is replaced, all others are kept. No shuffle; a worker holds a piece of PIECE bytes of texts, or one longer text, and REMEMBERED segments.
+    ``counts``, if named, is binary: on one row of each piece how often its ids occur, for :func:`count_ids`, null on the others. A null text is empty. Columns of the new names are replaced, all others are kept. No shuffle; a worker holds a piece of PIECE bytes of texts, or one longer text, and REMEMBERED segments.
     """
-    own = [f for f in docs.schema.fields if f.name != out]
+    own = [f for f in docs.schema.fields if f.name not in (out, counts)]
     end = b"" if end_id is None else np.array([end_id], np.int32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,11 +156,17 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", out: s
             for a, b in pieces(at, PIECE):
                 ids = encoder.encode(texts.slice(a, b - a), end)
                 first = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids]))).astype(np.int32)
-                column = pa.ListArray.from_arrays(first, pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                more = {out: pa.ListArray.from_arrays(first, pa.array(flat))}
+                if counts:
+                    seen = np.bincount(flat)
+                    used = np.flatnonzero(seen)
+                    more[counts] = pa.array([np.stack((used, seen[used])).astype("<i8").tobytes(), *[None] * (b - a - 1)], pa.binary())
                 rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*[rows.column(f.name) for f in own], column], [*[f.name for f in own], out])
+                yield pa.RecordBatch.from_arrays([*[rows.column(f.name) for f in own], *more.values()], [*[f.name for f in own], *more])
 
-    return docs.mapInArrow(run, T.StructType([*own, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    more = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(counts, T.BinaryType())] if counts else [])]
+    return docs.mapInArrow(run, T.StructType([*own, *more]))
 
 
 # ---- codes ---------------------------------------------------------------------------------------------------------------
@@ -208,44 +214,47 @@ class Code:
         filled = int(wide.sum())
         self.symbol[:filled], self.bits[:filled] = np.repeat(order, wide), np.repeat(self.lengths[order], wide)
 
-    def pack(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """The bits of ids, in whole 8-byte words, and where every CHECKPOINT-th id begins."""
-        if not len(ids):
-            return b"", np.zeros(0, np.int64)
+    def pack(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bits of consecutive documents' ids, in 8-byte words, each document from a word of its own; the first word of each document, and one more; and where each id begins."""
         bits = self.lengths[ids]
         if not bits.all():
             raise ValueError("an id that was not counted")
-        begin = np.cumsum(bits) - bits
+        upto = np.concatenate(([0], np.cumsum(bits)))
+        word_of = np.concatenate(([0], np.cumsum((np.diff(upto[first]) + 63) >> 6)))
+        out = np.zeros(word_of[-1], U)
+        if not len(ids):
+            return out, word_of, upto[:-1]
+        begin = upto[:-1] + np.repeat(64 * word_of[:-1] - upto[first[:-1]], np.diff(first))
         word, over = begin >> 6, (begin & 63) + bits - 64  # bits beyond the word
         code = self.codes[ids]
-        out = np.zeros(word[-1] + 2, U)
         here = np.where(over > 0, code >> np.maximum(over, 0).astype(U), code << np.maximum(-over, 0).astype(U))
         starts = np.flatnonzero(np.diff(word, prepend=-1))
         out[word[starts]] = np.bitwise_or.reduceat(here, starts)
         cut = np.flatnonzero(over > 0)  # one a word at most
         out[word[cut] + 1] |= code[cut] << (64 - over[cut]).astype(U)
-        return out[: (int(begin[-1] + bits[-1]) + 63) // 64].byteswap().tobytes(), begin[::CHECKPOINT]
+        return out, word_of, begin
 
-    def unpack(self, data: bytes, checkpoints: np.ndarray, n: int, first: int = 0, upto: int | None = None) -> np.ndarray:
-        """Ids first..upto-1 of a block of n. All stretches between checkpoints are read side by side, an id of each a step."""
-        upto = n if upto is None else upto
-        if first >= upto:
-            return np.zeros(0, np.int32)
+    def unpack(self, data: bytes, checkpoints: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The ids of documents of these sizes, from the places where every CHECKPOINT-th id of each begins. All stretches between checkpoints are read side by side, an id of each a step."""
         words = np.concatenate((np.frombuffer(data, ">u8").astype(U), np.zeros(2, U)))
-        begin, end = first // CHECKPOINT, -(-upto // CHECKPOINT)
-        at = checkpoints[begin:end].astype(np.int64)
+        at = checkpoints.astype(np.int64)
+        stretches = -(-sizes // CHECKPOINT)
+        long = np.full(len(at), CHECKPOINT, np.int64)
+        ends = np.cumsum(stretches)[sizes > 0] - 1
+        long[ends] = (sizes[sizes > 0] - 1) % CHECKPOINT + 1
         out = np.empty((len(at), CHECKPOINT), np.int32)
-        for k in range(min(CHECKPOINT, n - begin * CHECKPOINT)):
-            w, s = np.minimum(at >> 6, len(words) - 2), (at & 63).astype(U)  # the last stretch may be over
+        for k in range(int(long.max(initial=0))):
+            w, s = np.minimum(at >> 6, len(words) - 2), (at & 63).astype(U)  # a stretch may be over before others
             top = ((words[w] << s) | (words[w + 1] >> U(1) >> (U(63) - s))) >> U(64 - self.most)
             out[:, k] = self.symbol[top]
             at += self.bits[top]
-        return out.reshape(-1)[first - begin * CHECKPOINT : upto - begin * CHECKPOINT]
+        return out[np.arange(CHECKPOINT) < long[:, None]]
 
 
 # ---- files ---------------------------------------------------------------------------------------------------------------
 
 _BLOCKS = "part int, block long, start long, n int, first_doc long, continues boolean, goes_on boolean, docs array<{key}>, sizes array<int>, checkpoints array<int>, bits binary"
+_PIECES = "doc {key}, row long, piece long, pieces long, n int, checkpoints array<int>, bits binary"
 
 
 #: Documents in an Arrow batch: they are thousands of ids long.
@@ -272,30 +281,35 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), first
 
 
-def count_ids(docs: DataFrame, ids: str = "ids") -> np.ndarray:
-    """How often each id occurs: counted per task, added up by Spark; at most MOST_IDS numbers come to the driver."""
+def count_ids(docs: DataFrame, ids: str = "ids", counts: str | None = None) -> np.ndarray:
+    """How often each id occurs: counted per task (from the column ``counts`` of :func:`encode_documents` where there is one), added up by Spark; at most MOST_IDS numbers come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            values, _ = _flat(batch.column(ids))
+            if counts:
+                told = [np.frombuffer(x, "<i8").reshape(2, -1) for x in batch.column(counts).to_pylist()]
+                values, weights = np.concatenate(told, axis=1) if told else (np.zeros(0, np.int64), None)
+            else:
+                (values, _), weights = _flat(batch.column(ids)), None
             if len(values):
                 if values.min() < 0 or values.max() >= MOST_IDS:
                     raise ValueError(f"ids must be 0..{MOST_IDS - 1}")
-                now = np.bincount(values, minlength=len(total))
+                now = np.bincount(values, weights, len(total)).astype(np.int64)  # sums of doubles, exact below 2 ** 53
                 now[: len(total)] += total
                 total = now
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    rows = docs.select(ids).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    given = docs.select(counts).where(F.col(counts).isNotNull()) if counts else docs.select(ids)
+    rows = given.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in rows), default=-1) + 1, np.int64)
     for r in rows:
         counts[r.id] = r.n
     return counts
 
 
-def write_ids(docs: DataFrame, folder: str, order: str = "doc_id", ids: str = "ids") -> None:
+def write_ids(docs: DataFrame, folder: str, order: str = "doc_id", ids: str = "ids", counts: str | None = None) -> None:
     """Write the ids of all rows to ``folder`` in ascending ``order``, null first, ties in the order of the table; equal rows are documents of their own.
 
     Null ids are a document without any. ``docs`` is read three times (counts, range bounds, blocks), so pass a written table. One shuffle of the ids, into ranges of (order, row) that a hot key
@@ -304,49 +318,65 @@ def write_ids(docs: DataFrame, folder: str, order: str = "doc_id", ids: str = "i
     """
     spark = docs.sparkSession
     with _small_batches(spark):
-        lengths = code_lengths(count_ids(docs, ids))
+        lengths = code_lengths(count_ids(docs, ids, counts))
     used = np.flatnonzero(lengths)
     book = pa.table([pa.array(used, pa.int32()), pa.array(lengths[used], pa.int32())], names=["id", "bits"])
     spark.createDataFrame(book).coalesce(1).write.mode("overwrite").parquet(f"{folder}/codebook")
     key = docs.schema[order].dataType
     rows = docs.select(F.col(order).alias("doc"), F.col(ids).alias("ids"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.repartitionByRange("doc", "row").sortWithinPartitions("doc", "row").select("doc", "ids")
+    pieces_schema = T._parse_datatype_string(_PIECES.format(key=key.simpleString()))
     schema = T._parse_datatype_string(_BLOCKS.format(key=key.simpleString()))
 
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = Code(lengths)
+        for batch in batches:
+            values, first = _flat(batch.column("ids"))
+            # documents in pieces of at most BLOCK ids; one without ids is a piece too
+            pieces_ = np.maximum(-(-np.diff(first) // BLOCK), 1)
+            owner = np.repeat(np.arange(len(pieces_)), pieces_)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces_) - pieces_, pieces_)
+            begin = np.append(first[owner] + piece * BLOCK, first[-1])
+            packed, word_of, at = code.pack(values, begin)
+            packed, cuts = packed.byteswap().tobytes(), (8 * word_of).tolist()
+            marks = [(at[a:b:CHECKPOINT] - 64 * w).astype(np.int32) for a, b, w in zip(begin[:-1].tolist(), begin[1:].tolist(), word_of.tolist())]
+            counts = np.concatenate(([0], np.cumsum([len(m) for m in marks]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(counts, pa.array(np.concatenate([np.zeros(0, np.int32), *marks]), pa.int32()))
+            columns = [batch.column("doc").take(pa.array(owner)), batch.column("row").take(pa.array(owner)), pa.array(piece), pa.array(pieces_[owner]), pa.array(np.diff(begin), pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([packed[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], [f.name for f in pieces_schema.fields])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, code = TaskContext.get().partitionId(), Code(lengths)
-        names = [f.name for f in schema.fields]
-        held: list[tuple[object, np.ndarray]] = []  # documents of the next block
+        part, names = TaskContext.get().partitionId(), [f.name for f in schema.fields]
+        kind = pa.null()
+        held: list[tuple] = []  # pieces of the next block
         size = block = start = first_doc = 0
 
-        def record(docs_: list, ids_: list[np.ndarray], kind: pa.DataType, continues: bool = False, goes_on: bool = False) -> pa.RecordBatch:
-            nonlocal block, start, first_doc
-            flat = np.concatenate(ids_)
-            bits, checkpoints = code.pack(flat)
-            row = [part, block, start, len(flat), first_doc, continues, goes_on, docs_, [len(i) for i in ids_], checkpoints, bits]
+        def record() -> pa.RecordBatch:
+            nonlocal held, size, block, start, first_doc
+            docs_, piece, pieces_, n, marks, bits = zip(*held)
+            continues, goes_on = piece[0] > 0, piece[-1] + 1 < pieces_[-1]
+            before = np.cumsum([0, *(8 * len(b) for b in bits[:-1])])
+            shifted = np.concatenate([np.array(m, np.int64) + w for m, w in zip(marks, before.tolist())])
+            row = [part, block, start, sum(n), first_doc, continues, goes_on, list(docs_), list(n), shifted, b"".join(bits)]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(kind), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
-            block, start, first_doc = block + 1, start + len(flat), first_doc + len(docs_) - goes_on
+            block, start, first_doc = block + 1, start + sum(n), first_doc + len(docs_) - goes_on
+            held, size = [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
-        kind = None
         for batch in batches:
             kind = batch.schema.field("doc").type
-            values, first = _flat(batch.column("ids"))
-            for doc, a, b in zip(batch.column("doc").to_pylist(), first[:-1].tolist(), first[1:].tolist()):
-                if held and size + b - a > BLOCK:
-                    yield record(*map(list, zip(*held)), kind)
-                    held, size = [], 0
-                if b - a > BLOCK:
-                    for at in range(a, b, BLOCK):
-                        yield record([doc], [values[at : min(b, at + BLOCK)]], kind, at > a, at + BLOCK < b)
-                else:
-                    held.append((doc, values[a:b]))
-                    size += b - a
+            for one in zip(*(batch.column(c).to_pylist() for c in ("doc", "piece", "pieces", "n", "checkpoints", "bits"))):
+                # pieces of a longer document are blocks of their own
+                if held and (size + one[3] > BLOCK or one[2] > 1 or held[-1][2] > 1):
+                    yield record()
+                held.append(one)
+                size += one[3]
         if held:
-            yield record(*map(list, zip(*held)), kind)
+            yield record()
 
     with _small_batches(spark):
-        rows.mapInArrow(run, schema).write.mode("overwrite").parquet(f"{folder}/blocks")
+        small = rows.mapInArrow(shrink, pieces_schema)
+        ranged = small.repartitionByRange("doc", "row").sortWithinPartitions("doc", "row", "piece").drop("row")
+        ranged.mapInArrow(run, schema).write.mode("overwrite").parquet(f"{folder}/blocks")
     # one row per range partition
     sizes = sorted((r.part, r.n) for r in spark.read.parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n").alias("n")).collect())
     starts = np.concatenate(([0], np.cumsum([n for _, n in sizes]))).tolist()
@@ -372,7 +402,7 @@ def _read(spark: SparkSession, folder: str, finish, schema: str) -> DataFrame:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 first = np.concatenate(([0], row["sizes"].values.to_numpy())).cumsum()
-                ids = code.unpack(row["bits"].as_py(), row["checkpoints"].values.to_numpy(), row["n"].as_py())
+                ids = code.unpack(row["bits"].as_py(), row["checkpoints"].values.to_numpy(), np.diff(first))
                 docs, part, block = row["docs"].values, row["part"].as_py(), row["block"].as_py()
                 numbers = [np.full(len(docs), part, np.int32), row["first_doc"].as_py() + np.arange(len(docs)), np.full(len(docs), block, np.int64)]
                 begin = starts[part] + row["start"].as_py() + first[:-1]

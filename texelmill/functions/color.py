@@ -271,9 +271,16 @@ def next_power_of_2(n: Column) -> Column:
     return F.when(n <= 1, F.lit(1).cast("long")).otherwise(F.pow(F.lit(2.0), bits).cast("long"))
 
 
+#: Odd multipliers below 2 ** 31: products with 32-bit words stay in 63 bits.
+JITTER = (1597334677, 2020292263)
+
+
 def jitter_channel(c: Column, seed: Column, salt: int, max_change: int = 10) -> Column:
-    """Move a channel by -max..+max, reproducibly from ``seed``, clamped to a byte."""
-    step = F.pmod(F.xxhash64(seed, F.lit(salt)), F.lit(2 * max_change + 1)) - max_change
+    """Move a channel by -max..+max, reproducibly from the integer ``seed``, clamped to a byte. Plain 32-bit arithmetic, so that any engine gives the same steps."""
+    word = lambda x: F.pmod(x, F.lit(1 << 32))
+    x = word(word(seed.cast("long") + salt * 0x9E3779B9) * JITTER[0])
+    x = word(x.bitwiseXOR(F.shiftright(x, 15)) * JITTER[1])
+    step = x.bitwiseXOR(F.shiftright(x, 13)) % (2 * max_change + 1) - max_change
     return F.greatest(F.lit(0), F.least(F.lit(255), c + step)).cast("int")
 
 

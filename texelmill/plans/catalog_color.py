@@ -240,7 +240,13 @@ def c18(t: Tables) -> DataFrame:
     return t.raw("orders").select("o_orderkey", color.next_power_of_2(F.col("o_orderkey")).alias("p2"))
 
 
-@query("c19_modify_color")
+def jitter_sql(c_: str, salt: int) -> str:
+    x = f"(((r*65536+g*256+b)::bigint+{salt * 0x9E3779B9})%4294967296*{color.JITTER[0]}%4294967296)"
+    y = f"(xor({x},{x}>>15)*{color.JITTER[1]}%4294967296)"
+    return f"cast(greatest(0, least(255, {c_}+xor({y},{y}>>13)%21-10)) as int)"
+
+
+@query("c19_modify_color", c.q(("colors",), "select r, g, b, " + ", ".join(f"{jitter_sql(k, i)} as new_{k}" for i, k in enumerate("rgb")) + " from colors"))
 def c19(t: Tables) -> DataFrame:
     moved = color.modify_color(*col(), color.pack_rgb(*col()))
     return t("colors").select(*RGB, *[v.alias(f"new_{k}") for k, v in moved.items()])

@@ -176,7 +176,22 @@ def f03(t: Tables) -> DataFrame:
     return ordering.polish_order(ordering.hue_sort(t("palette"), direction="cheaper"))
 
 
-@query("f04_adjacency_sort")
+#: The greedy walk step by step: from the last entry to the open one of least cost.
+WALK = (
+    ("ix!", "select px.image_id, x, y, palette_id, idx from px join near using (palette_id, r, g, b)"),
+    ("meet", "select a.palette_id, a.idx as ia, b.idx as ib from ix a, (values (1,0),(0,1),(1,1),(-1,1)) d(dx,dy), ix b where b.image_id=a.image_id and b.x=a.x+dx and b.y=a.y+dy and a.idx<>b.idx"),
+    ("links!", "select palette_id, i, j, count(*)::double as n from (select palette_id, ia as i, ib as j from meet union all select palette_id, ib, ia from meet) group by all"),
+    ("pl!", f"select palette_id, idx, r, g, b, lab_l, lab_a, lab_b from {c.lab('palette')}"),
+    ("far!", "select palette_id, i, j, round(de, 9) as far from " + c.de00(
+        "(select p.palette_id, p.idx as i, q.idx as j, p.lab_l as l1, p.lab_a as a1, p.lab_b as b1, q.lab_l as l2, q.lab_a as a2, q.lab_b as b2 from pl p join pl q on p.palette_id=q.palette_id)", ("l1", "a1", "b1"), ("l2", "a2", "b2"), "de")),
+    ("cost!", "select palette_id, i, j, 0.7::double*far/greatest(max(far) over p, 1e-12)+(1-0.7::double)*(1-coalesce(n, 0)/greatest(max(coalesce(n, 0)) over p, 1e-12)) as cost from far left join links using (palette_id, i, j) window p as (partition by palette_id)"),
+    ("walk!", "with recursive w(palette_id, step, last, seen) as (select palette_id, 0, arg_min(idx, (lab_l, idx)), [arg_min(idx, (lab_l, idx))] from pl group by palette_id union all"
+     " select palette_id, step+1, j, list_append(seen, j) from (select w.palette_id, step, seen, j, row_number() over (partition by w.palette_id order by cost, j) as k from w join cost c on c.palette_id=w.palette_id and c.i=w.last where not list_contains(seen, j)) where k=1)"
+     " select palette_id, step as position, last as idx from w"),
+)
+
+
+@query("f04_adjacency_sort", c.q(("px", "palette"), "select palette_id, idx, r, g, b, position from walk join palette using (palette_id, idx)", PX_NEAR, *WALK))
 def f04(t: Tables) -> DataFrame:
     indexed = mapping.map_to_palette(t("px"), t("palette"))
     links = neighborhood.cooccurrence(indexed, by=("image_id",))

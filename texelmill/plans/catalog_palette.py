@@ -453,16 +453,22 @@ def g01een(t: Tables) -> DataFrame:
     return quantize._with_dense_idx(boxes.groupBy("image_id", "box").agg(*[quantize._mean(x) for x in "rgb"])).select("image_id", "idx", *"rgb")
 
 
-FLOOR = (
-    *best_first_ctes(24, 0.0),
-    *lloyd_ctes(3, (), "bfmp"),
-    *median_cut_sql(24),
-    ("near!", f"select m.image_id, m.idx, h.n, (h.r-p.r)**2+(h.g-p.g)**2+(h.b-p.b)**2 as d from ({c.mapped('hist', 'lm2')}) m join hist h using (image_id, r, g, b) join lm2 p on p.image_id=m.image_id and p.idx=m.idx"),
-    ("told!", f"select image_id, sum(d*n)/sum(n)>{quantize.quality_error(85)!r} as fell_back from near group by image_id"),
-)
+def floor_ctes(k: int) -> tuple[tuple[str, str], ...]:
+    """``lmz``: best-first boxes refined by three rounds, or the median cut of images that stay below a quality of 85; ``mapz``: colours to entries; ``told``: who fell back."""
+    return (
+        *best_first_ctes(k, 0.0),
+        *lloyd_ctes(3, (), "bfmp"),
+        *median_cut_sql(k),
+        ("fine!", c.mapped("hist", "lm2")),
+        ("apart!", "select m.image_id, h.n, (h.r-p.r)**2+(h.g-p.g)**2+(h.b-p.b)**2 as d from fine m join hist h using (image_id, r, g, b) join lm2 p on p.image_id=m.image_id and p.idx=m.idx"),
+        ("told!", f"select image_id, sum(d*n)/sum(n)>{quantize.quality_error(85)!r} as fell_back from apart group by image_id"),
+        ("lmz!", "select image_id, idx, r, g, b from lm2 join told using (image_id) where not fell_back union all select image_id, idx, r, g, b from rmp join told using (image_id) where fell_back"),
+        ("mapz!", "select image_id, r, g, b, idx from fine join told using (image_id) where not fell_back union all"
+         " select h.image_id, h.r, h.g, h.b, rmp.idx from rz h join rmp using (image_id, box) join told on told.image_id=h.image_id where fell_back"),
+    )
 
 
-@query("g01e_quality_floor", c.q(("hist",), "select image_id, idx, r, g, b, fell_back from lm2 join told using (image_id) where not fell_back union all select image_id, idx, r, g, b, fell_back from rmp join told using (image_id) where fell_back", *FLOOR))
+@query("g01e_quality_floor", c.q(("hist",), "select image_id, idx, r, g, b, fell_back from lmz join told using (image_id)", *floor_ctes(24)))
 def g01eq(t: Tables) -> DataFrame:
     """24 colours at a quality of 85 or more, the median cut where that fails."""
     out = quantize.quality_bounded(t("hist"), 24)
@@ -720,15 +726,14 @@ def g12x(t: Tables) -> DataFrame:
     return flows.generate_palette(t("pixels"), 32, "fast_octree", quant_post=None, textures=textures)["texture_images"]
 
 
-# the defaults: median cut refined by Lloyd rounds, and the quantized image smoothed by a median
+# the defaults: best-first boxes refined by Lloyd rounds under a quality floor, and the quantized image smoothed by a median
 G12_DEFAULT = (
-    *lloyd_ctes(3, median_cut_sql(32), "rmp"),
-    ("near!", c.mapped("hist", "lm2")),
-    ("indexed!", "select p.image_id, p.x, p.y, n.idx, p.a from pixels p join near n using (image_id, r, g, b)"),
+    *floor_ctes(32),
+    ("indexed!", "select p.image_id, p.x, p.y, n.idx, p.a from pixels p join mapz n using (image_id, r, g, b)"),
     LINES,
     OFFS3,
     ("med", MEDIAN),
-    ("fullp!", c.padded("(select image_id, idx, r, g, b from lm2)", "image_id", 32, "hist", None)),
+    ("fullp!", c.padded("(select image_id, idx, r, g, b from lmz)", "image_id", 32, "hist", None)),
     ("ord", c.lightness_order("(select image_id, idx, r, g, b from fullp)", "image_id")),
     ("dgi", "select i.image_id, i.x, i.y, case when i.a=0 then 0 else o.position end as idx, i.a from indexed i join med m using (image_id, x, y) join ord o on o.image_id=i.image_id and o.idx=least(31,greatest(0,m.idx))"),
     ("dgp", "select image_id, position as idx, r, g, b from ord"),

@@ -6,6 +6,7 @@ is decoded without the others, a document of it from its own first word, and any
 
 from __future__ import annotations
 
+import bisect
 import contextlib
 import functools
 import os
@@ -17,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +28,7 @@ from texelmill.llm.words import pieces
 MOST_BITS = 18
 #: Ids must be below this; tables by id are this long at most.
 MOST_IDS = 1 << 22
-BLOCK, CHECKPOINT = 1 << 16, 64
+BLOCK, CHECKPOINT = 1 << 18, 64
 #: Different segments of texts that a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 600_000, 200
 PIECE = 1 << 23
@@ -210,9 +210,8 @@ class Code:
         first = np.cumsum(wide) - wide
         self.codes = np.zeros(len(lengths), U)
         self.codes[order] = (first >> (most - self.lengths[order])).astype(U)
-        self.symbol, self.bits = np.zeros(1 << most, np.int32), np.zeros(1 << most, np.int64)
-        filled = int(wide.sum())
-        self.symbol[:filled], self.bits[:filled] = np.repeat(order, wide), np.repeat(self.lengths[order], wide)
+        self.table = np.zeros(1 << most, np.int32)  # by the next bits: the symbol, then the length of its code in the last five bits
+        self.table[: int(wide.sum())] = np.repeat(order << 5 | self.lengths[order], wide)
 
     def pack(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The bits of consecutive documents' ids, in 8-byte words, each document from a word of its own; the first word of each document, and one more; and where each id begins."""
@@ -246,15 +245,16 @@ class Code:
         for k in range(int(long.max(initial=0))):
             w, s = np.minimum(at >> 6, len(words) - 2), (at & 63).astype(U)  # a stretch may be over before others
             top = ((words[w] << s) | (words[w + 1] >> U(1) >> (U(63) - s))) >> U(64 - self.most)
-            out[:, k] = self.symbol[top]
-            at += self.bits[top]
+            found = self.table[top]
+            out[:, k] = found >> 5
+            at += found & 31
         return out[np.arange(CHECKPOINT) < long[:, None]]
 
 
 # ---- files ---------------------------------------------------------------------------------------------------------------
 
 _BLOCKS = "part int, block long, start long, n int, first_doc long, continues boolean, goes_on boolean, docs array<{key}>, sizes array<int>, checkpoints array<int>, bits binary"
-_PIECES = "doc {key}, row long, piece long, pieces long, n int, checkpoints array<int>, bits binary"
+_PIECES = "part int, doc {key}, row long, piece long, pieces long, n int, checkpoints array<int>, bits binary"
 
 
 #: Documents in an Arrow batch: they are thousands of ids long.
@@ -312,7 +312,7 @@ def count_ids(docs: DataFrame, ids: str = "ids", counts: str | None = None) -> n
 def write_ids(docs: DataFrame, folder: str, order: str = "doc_id", ids: str = "ids", counts: str | None = None) -> None:
     """Write the ids of all rows to ``folder`` in ascending ``order``, null first, ties in the order of the table; equal rows are documents of their own.
 
-    Null ids are a document without any. ``docs`` is read three times (counts, range bounds, blocks), so pass a written table. One shuffle of the ids, into ranges of (order, row) that a hot key
+    Null ids are a document without any. ``docs`` is read three times (counts, bounds of the ranges, blocks), so pass a written table. One shuffle of the ids, into ranges of (order, row) that a hot key
     can't fill; a task holds the documents of a block, or one longer document. A block holds
     whole documents of at most BLOCK ids together, or one stretch of a longer one. A table without rows makes a folder without blocks.
     """
@@ -327,6 +327,12 @@ def write_ids(docs: DataFrame, folder: str, order: str = "doc_id", ids: str = "i
     pieces_schema = T._parse_datatype_string(_PIECES.format(key=key.simpleString()))
     schema = T._parse_datatype_string(_BLOCKS.format(key=key.simpleString()))
 
+    # the first row of each range; ids and texts take no part in finding them
+    ranged = rows.select("doc", "row").repartitionByRange("doc", "row").withColumn("part", F.spark_partition_id())
+    least = F.min(F.struct(F.col("doc").isNotNull().alias("named"), "doc", "row")).alias("least")
+    place = lambda doc, row: (doc is not None, 0 if doc is None else doc, row)
+    bounds = sorted(place(r.least.doc, r.least.row) for r in ranged.groupBy("part").agg(least).collect())
+
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(lengths)
         for batch in batches:
@@ -341,11 +347,12 @@ def write_ids(docs: DataFrame, folder: str, order: str = "doc_id", ids: str = "i
             marks = [(at[a:b:CHECKPOINT] - 64 * w).astype(np.int32) for a, b, w in zip(begin[:-1].tolist(), begin[1:].tolist(), word_of.tolist())]
             counts = np.concatenate(([0], np.cumsum([len(m) for m in marks]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(counts, pa.array(np.concatenate([np.zeros(0, np.int32), *marks]), pa.int32()))
-            columns = [batch.column("doc").take(pa.array(owner)), batch.column("row").take(pa.array(owner)), pa.array(piece), pa.array(pieces_[owner]), pa.array(np.diff(begin), pa.int32()), lists]
+            parts = [bisect.bisect_right(bounds, place(d, r)) - 1 for d, r in zip(batch.column("doc").to_pylist(), batch.column("row").to_pylist())]
+            columns = [pa.array(np.array(parts, np.int32)[owner]), batch.column("doc").take(pa.array(owner)), batch.column("row").take(pa.array(owner)), pa.array(piece), pa.array(pieces_[owner]), pa.array(np.diff(begin), pa.int32()), lists]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([packed[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], [f.name for f in pieces_schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, names = TaskContext.get().partitionId(), [f.name for f in schema.fields]
+        part, names = -1, [f.name for f in schema.fields]
         kind = pa.null()
         held: list[tuple] = []  # pieces of the next block
         size = block = start = first_doc = 0
@@ -364,10 +371,12 @@ def write_ids(docs: DataFrame, folder: str, order: str = "doc_id", ids: str = "i
 
         for batch in batches:
             kind = batch.schema.field("doc").type
-            for one in zip(*(batch.column(c).to_pylist() for c in ("doc", "piece", "pieces", "n", "checkpoints", "bits"))):
+            for own, *one in zip(*(batch.column(c).to_pylist() for c in ("part", "doc", "piece", "pieces", "n", "checkpoints", "bits"))):
                 # pieces of a longer document are blocks of their own
-                if held and (size + one[3] > BLOCK or one[2] > 1 or held[-1][2] > 1):
+                if held and (own != part or size + one[3] > BLOCK or one[2] > 1 or held[-1][2] > 1):
                     yield record()
+                if own != part:
+                    part, block, start, first_doc = own, 0, 0, 0
                 held.append(one)
                 size += one[3]
         if held:
@@ -375,8 +384,8 @@ def write_ids(docs: DataFrame, folder: str, order: str = "doc_id", ids: str = "i
 
     with _small_batches(spark):
         small = rows.mapInArrow(shrink, pieces_schema)
-        ranged = small.repartitionByRange("doc", "row").sortWithinPartitions("doc", "row", "piece").drop("row")
-        ranged.mapInArrow(run, schema).write.mode("overwrite").parquet(f"{folder}/blocks")
+        dealt = small.repartition("part").sortWithinPartitions("part", "doc", "row", "piece").drop("row")
+        dealt.mapInArrow(run, schema).write.mode("overwrite").parquet(f"{folder}/blocks")
     # one row per range partition
     sizes = sorted((r.part, r.n) for r in spark.read.parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n").alias("n")).collect())
     starts = np.concatenate(([0], np.cumsum([n for _, n in sizes]))).tolist()

@@ -28,7 +28,7 @@ from texelmill.llm.words import pieces
 MOST_BITS = 18
 #: Ids must be below this; tables by id are this long at most.
 MOST_IDS = 1 << 22
-BLOCK, CHECKPOINT = 1 << 18, 64
+BLOCK, CHECKPOINT = 1 << 17, 64
 #: Different segments of texts that a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 600_000, 200
 PIECE = 1 << 23
@@ -328,7 +328,8 @@ def write_ids(docs: DataFrame, folder: str, order: str = "doc_id", ids: str = "i
     schema = T._parse_datatype_string(_BLOCKS.format(key=key.simpleString()))
 
     # the first row of each range; ids and texts take no part in finding them
-    ranged = rows.select("doc", "row").repartitionByRange("doc", "row").withColumn("part", F.spark_partition_id())
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated, since the few bytes of ids would end in one range
+    ranged = rows.select("doc", "row").repartitionByRange(ranges, "doc", "row").withColumn("part", F.spark_partition_id())
     least = F.min(F.struct(F.col("doc").isNotNull().alias("named"), "doc", "row")).alias("least")
     place = lambda doc, row: (doc is not None, 0 if doc is None else doc, row)
     bounds = sorted(place(r.least.doc, r.least.row) for r in ranged.groupBy("part").agg(least).collect())

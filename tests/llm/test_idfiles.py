@@ -120,7 +120,6 @@ def test_files(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, ids array<int>, part string").repartition(3)
     from texelmill.session import cut_lineage
 
-    monkeypatch.setattr(idfiles, "BLOCK", 1 << 16)
     folder = str(tmp_path / "out")
     idfiles.write_ids(cut_lineage(docs), folder)
     got = sorted(idfiles.read_ids(spark, folder).collect(), key=lambda r: (r.start, len(r.ids)))
@@ -165,7 +164,6 @@ def test_query(spark, library):
 
 
 def test_checksums_of_documents_across_blocks(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(idfiles, "BLOCK", 1 << 16)
     rng = random.Random(9)
     rows = [(i, [rng.randrange(70000) for _ in range(n)]) for i, n in enumerate([3, 0, 140_000, 65536, 9])]
     idfiles.write_ids(spark.createDataFrame(rows, "doc_id long, ids array<int>"), str(tmp_path / "out"))

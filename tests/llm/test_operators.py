@@ -432,6 +432,44 @@ def test_given_pages(spark):
         assert got[r.page_id].text == " ".join(html.unescape(inner).split()) and got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
+def test_best_stretch_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        scored = [float(rng.randint(-4, 4)) for _ in range(rng.randint(0, 25))]
+        begin, end = pages.best_stretch(scored)
+        most = max((sum(scored[i:j]) for i in range(len(scored)) for j in range(i + 1, len(scored) + 1)), default=0.0)
+        assert sum(scored[begin:end]) == max(most, 0.0)
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    return pages.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+def test_parts_beside_the_article_that_no_list_names(learned):
+    text = " ".join(f"word{i}" for i in range(61))
+    assert learned.word > 0 > learned.link and learned.mark > 0 and all(w < 0 for w in learned.tags.values())
+    assert pages.main_text("<article><p>one two three</p></article><section class='discussion'><p>I like it a lot really</p></section>", learned) == "one two three"
+    listed = "".join(f"<li>item {i} of list</li>" for i in range(40))
+    assert pages.main_text(f"<article><p>{text}</p></article><ul>{listed}</ul>", learned) == text
+    assert pages.main_text(f"<article><p>{text}</p><ul>{listed}</ul></article>", learned) == " ".join([text, *(f"item {i} of list" for i in range(40))])
+    links = "".join(f"<li><a href='/{i}'>a longer link that leads to page {i}</a></li>" for i in range(40))
+    for body in (f"<p>{text}</p>", f"<h1>Head</h1><p>{text}<p>{text}", f"<p>{text}<br>{text} <b>bold</b> <a href=x>link</a> {text}</p>"):
+        want = pages.main_text(f"<article>{body}</article>", learned)
+        assert text in want
+        # no mark on the page: the scan alone decides
+        assert pages.main_text(f"<body><ul>{links}</ul><div>By me</div><div><div>{body}</div></div><div>short</div><ul>{links}</ul><div>&copy; us</div></body>", learned) == want
+
+
+@pytest.mark.parametrize("piece", ["<i></b>x ", "<i></p>x ", "<div><li></li>x ", "<i><td></td>x ", "<i><p></p>x ", "<!", "<?", "<a x='", "<a ='>' ", "</", "<b class=ad>x ", "<div class=left-sidebar>x "])
+def test_long_pages_take_linear_time(learned, piece):
+    import time
+
+    start = time.process_time()
+    pages.main_text(piece * (2_000_000 // len(piece)), learned)
+    assert time.process_time() - start < 30
+
+
 # ---- fingerprints ------------------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,12 +39,16 @@ RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "
 #: Elements that a new one of their kind ends, and what bounds the search for one to end.
 CLOSES_ITSELF = {"p": frozenset(), "li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("tr", "table")), "th": frozenset(("tr", "table")), "option": frozenset(("select",))}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)""", re.DOTALL)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)""", re.DOTALL)
 _STOP = re.compile(r""">|=\s*+["']""")
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/>])([^\s"'>/=]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-Unit = tuple[str, str, bool]  # name of a tag or "" for text; the text; whether a labelled element is open
+#: Names of units that are words: outside links, in links. The mark is the opening tag of a labelled element.
+WORDS = ("", "#")
+MARK = "+"
+
+Unit = tuple[str, str, bool]  # name of a tag, or one of WORDS for text; the text; whether a labelled element is open
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -75,13 +79,15 @@ def _beside(attributes: str) -> int:
     return most
 
 
-def units(page: str) -> Iterator[Unit]:
-    """Text runs and tags of a page in order. Dropped elements give one tag named ``-``; their content gives nothing.
+def units(page: str, whole: bool = False) -> Iterator[Unit]:
+    """Text runs and tags of a page in order. Dropped elements give one tag named ``-``; their content gives nothing. With ``whole`` only raw elements are dropped, so parts beside the article are seen too.
 
     Missing closing tags end with an element around them. A raw element without an end reaches to the end of the page. The first labelled element inside
     a dropped one that has no end yet ends the dropping. An element whose name has a listed word among others, and a labelled one of a listed name, is dropped unless it holds one of
-    WRAPS words of the page or more.
+    WRAPS words of the page or more. Time and memory are linear in the page's length, whatever its tags.
     """
+    if whole:
+        return _walk(page, {}, None, whole)
     held: dict[int, int] = {}
     found = list(_walk(page, held, None))
     total = held.pop(-1)
@@ -90,9 +96,11 @@ def units(page: str) -> Iterator[Unit]:
     return iter(found)
 
 
-def _walk(page: str, held: dict[int, int], wraps: set[int] | None) -> Iterator[Unit]:
+def _walk(page: str, held: dict[int, int], wraps: set[int] | None, whole: bool = False) -> Iterator[Unit]:
     """Units of a page. Doubtful elements are kept where ``wraps`` has them, or all if it is None; ``held`` gets the words outside links of each by where it begins, and of all at -1."""
     stack: list[str] = []
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where each name stands in the stack
+    blocks: list[int] = []  # where names stand that are not inline
     doubtful: list[tuple[int, int, int]] = []  # depth, begin and words before of those that are open
     drop = 0  # depth of the stack at which the open dropped element stands, 0 for none
     labels, seen, at, links, total = 0, False, 0, 0, 0
@@ -107,6 +115,9 @@ def _walk(page: str, held: dict[int, int], wraps: set[int] | None) -> Iterator[U
                 _, begin, before = doubtful.pop()
                 held[begin] = total - before
             name = stack.pop()
+            places[name].pop()
+            if name not in INLINE:
+                blocks.pop()
             links -= name == "a"
             if name in LABELS and labels:
                 labels -= 1
@@ -119,7 +130,7 @@ def _walk(page: str, held: dict[int, int], wraps: set[int] | None) -> Iterator[U
         text = page[at : m.start() if m else size]
         if text and not drop:
             total += 0 if links else len(text.split())
-            yield "", html.unescape(text), labels > 0
+            yield WORDS[links > 0], html.unescape(text), labels > 0
         if m is None:
             break
         if m[2] is None:
@@ -128,9 +139,9 @@ def _walk(page: str, held: dict[int, int], wraps: set[int] | None) -> Iterator[U
         attributes, at = page[m.end() : end], end + 1
         name, closing = m[2].lower(), bool(m[1])
         if closing:
-            if name in stack:
+            if places[name]:
                 was = drop
-                pop(len(stack) - 1 - stack[::-1].index(name))
+                pop(places[name][-1])
                 if not was:
                     yield name, "", labels > 0 and name not in LABELS
             elif not drop:
@@ -145,23 +156,22 @@ def _walk(page: str, held: dict[int, int], wraps: set[int] | None) -> Iterator[U
         if name in LABELS and drop and not seen and not _beside(attributes):
             drop = 0
         if name in CLOSES_ITSELF:
-            bound = CLOSES_ITSELF[name]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k] == name:
-                    pop(k)
-                    break
-                if stack[k] in bound or name == "p" and stack[k] not in INLINE:
-                    break
+            bound = blocks[-1:] if name == "p" else [places[b][-1] for b in CLOSES_ITSELF[name] if places[b]]
+            if places[name] and places[name][-1] >= max(bound, default=-1):
+                pop(places[name][-1])
         out = doubt = False
-        if not drop and name != "body" and name != "html":
+        if not drop and not whole and name != "body" and name != "html":
             beside = 0 if name in DROPPED else _beside(attributes)
             doubt = beside == (2 if name in LABELS else 1)
             out = name in DROPPED or (wraps is not None and m.start() not in wraps if doubt else beside == 2 and name not in LABELS)
         if not drop:
-            yield "-" if out else name, "", labels > 0
+            yield "-" if out else MARK if name in LABELS and not labels else name, "", labels > 0
         if doubt:
             held[m.start()] = 0
         if name not in VOID and not attributes.endswith("/"):
+            places[name].append(len(stack))
+            if name not in INLINE:
+                blocks.append(len(stack))
             stack.append(name)
             links += name == "a"
             if out:
@@ -176,9 +186,11 @@ def _walk(page: str, held: dict[int, int], wraps: set[int] | None) -> Iterator[U
 
 @dataclass
 class Weights:
-    """Score of a word, of the tags seen in labelled pages, and of any other tag."""
+    """Score of a word, of one in a link, of the opening of a marked region, of the tags seen in labelled pages, and of any other tag."""
 
     word: float
+    link: float
+    mark: float
     tags: dict[str, float]
     other: float
 
@@ -196,15 +208,18 @@ def _weights(counts: dict[tuple[str, bool], float]) -> Weights:
         inside, outside = counts.get((name, True), 0) + prior[0], counts.get((name, False), 0) + prior[1]
         return math.log(inside / total[0]) - math.log(outside / total[1])
 
-    tags = {name: min(odds(name, (PRIOR_TAG, PRIOR_TAG)), LEAST_TAG) for name, _ in counts if name}
-    return Weights(max(odds("", PRIOR_WORDS), 0.05), tags, min(odds("?", (PRIOR_TAG, PRIOR_TAG)), LEAST_TAG))
+    tags = {name: min(odds(name, (PRIOR_TAG, PRIOR_TAG)), LEAST_TAG) for name, _ in counts if name not in WORDS and name != MARK}
+    word = max(odds("", PRIOR_WORDS), 0.05)
+    link = min(max(odds("#", (PRIOR_TAG, PRIOR_TAG)), -word), word)
+    return Weights(word, link, max(odds(MARK, (PRIOR_TAG, PRIOR_TAG)), 0.0), tags, min(odds("?", (PRIOR_TAG, PRIOR_TAG)), LEAST_TAG))
 
 
 def fit(pages: DataFrame, html_column: str = "html", most: int = MOST_PAGES) -> Weights:
     """Weights from about ``most`` labelled pages, those that mark their text by an article or main element, chosen by a hash of the page.
 
-    A word's weight is the log of how much more often a unit inside the marked region is a word than one outside, and never below 0.05; a tag's likewise, never above -0.05. Without
-    labelled pages the pseudo-counts decide.
+    The pages are read with the parts beside the article in them, so that their words and tags count as outside. A word's weight is the log of how much more often a unit inside the marked
+    region is a word than one outside, and never below 0.05; a tag's likewise, never above -0.05. A word in a link weighs by its own odds, between minus and plus a word's weight. The tag that opens the region belongs to
+    it and so gets a positive weight. Without labelled pages the pseudo-counts decide.
     """
     page = F.col(html_column)
     labelled = pages.select(page.alias("page")).where(F.lower("page").rlike("<(article|main)[ \\t\\r\\n/>]"))
@@ -216,8 +231,8 @@ def fit(pages: DataFrame, html_column: str = "html", most: int = MOST_PAGES) ->
         for batch in batches:
             found: Counter = Counter()
             for page in batch.column("page").to_pylist():
-                for name, text, inside in units(page):
-                    found[name, inside] += len(text.split()) if not name else 1
+                for name, text, inside in units(page, whole=True):
+                    found[name, inside or name == MARK] += len(text.split()) if name in WORDS else 1
             if found:
                 yield pa.RecordBatch.from_pydict({"name": [k[0] for k in found], "inside": [k[1] for k in found], "n": list(found.values())})
 
@@ -225,20 +240,35 @@ def fit(pages: DataFrame, html_column: str = "html", most: int = MOST_PAGES) ->
     return _weights({(r.name, r.inside): float(r.n) for r in rows})
 
 
-def main_text(page: str, weights: Weights) -> str:
-    """The best contiguous region's text: the first of equal ones; empty when no word is left."""
-    kept = list(units(page))
+def scores(kept: list[Unit], weights: Weights) -> list[float]:
+    """The score of each unit. Within a marked region a tag has the odds of one that is known to be inside, the least cost, and words in links are words."""
+    out = []
+    for name, text, inside in kept:
+        if name in WORDS:
+            out.append((weights.word if inside or not name else weights.link) * len(text.split()))
+        elif name == MARK:
+            out.append(weights.mark)
+        else:
+            out.append(LEAST_TAG if inside else weights.tags.get(name, weights.other))
+    return out
+
+
+def best_stretch(scored: list[float]) -> tuple[int, int]:
+    """Begin and end of the contiguous stretch with the largest sum above 0, the one that ends first of equal ones; (0, 0) if there is none. One scan."""
     best, best_range, now, begin = 0.0, (0, 0), 0.0, 0
-    for i, (name, text, inside) in enumerate(kept):
-        # no tag within a marked region ends it
-        score = LEAST_TAG if inside else weights.tags.get(name, weights.other)
-        score = score if name else weights.word * len(text.split())
+    for i, score in enumerate(scored):
         if now <= 0:
             now, begin = 0.0, i
         now += score
         if now > best:
             best, best_range = now, (begin, i + 1)
-    parts = [" " if name and name not in INLINE else text for name, text, _ in kept[slice(*best_range)]]
+    return best_range
+
+
+def main_text(page: str, weights: Weights) -> str:
+    """The best contiguous region's text: the first of equal ones; empty when no word is left."""
+    kept = list(units(page))
+    parts = [text if name in WORDS else "" if name in INLINE else " " for name, text, _ in kept[slice(*best_stretch(scores(kept, weights)))]]
     return " ".join("".join(parts).split())
 
 

@@ -497,6 +497,56 @@ def test_fingerprints(spark):
     assert len(twice) == 2 and twice[0] == twice[1] and twice[0].near_next == 1.0
 
 
+def test_fingerprints_by_brute_force(spark):
+    """Every sample of every whole text, computed anew term by term."""
+    import math
+    import struct
+
+    import xxhash
+
+    def hashed(data: bytes) -> int:
+        return xxhash.xxh64(data, seed=42).intdigest()
+
+    def signed(x: int) -> bytes:
+        return struct.pack("<Q", x % 2**64)
+
+    table = [float(f"{x:.6g}") for x in fingerprints.gamma_quantiles()]
+    logs = [float(f"{math.log(x):.6g}") for x in fingerprints.gamma_quantiles()]
+
+    def printed(text: str) -> str:
+        out = []
+        terms = Counter(words(text))
+        for block in range(fingerprints.BLOCKS if terms else 0):
+            for j in range(fingerprints.WIDTH):
+                least = math.inf
+                for word, n in terms.items():
+                    term = hashed(word.encode()) ^ ((block + 1) * 0xD1B54A32D192ED03 % 2**63)
+                    bits = hashed(signed(term ^ ((j * 0x9E3779B97F4A7C15) % 2**63)))
+                    r, log_c, b = table[bits % len(table)], logs[(bits >> 8) % len(table)], (bits >> 16) * 2.0**-48
+                    least = min(least, log_c - r * (math.floor(math.log(n) / r + b) - b + 1))
+                out.append(f"{hashed(struct.pack('<d', least)) & 0xFFFF:04x}")
+        return "".join(out)
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    given = [(r.doc_id, r.text or "") for r in docs.orderBy(F.desc("doc_id")).collect()]
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(docs).collect()}
+    assert len(got) == len(given)
+    same = total = 0
+    share = lambda a, b: sum(a[i : i + 4] == b[i : i + 4] for i in range(0, len(a), 4)) * 4 / len(a) if a and b else float(a == b)
+    for i, (doc, text) in list(enumerate(given))[:: max(1, len(given) // 40)]:
+        follow = given[(i + 1) % len(given)][1]
+        m = len(text) // 3
+        edited = text[: len(text) - m] + follow[:m]
+        row = got[doc]
+        assert row.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        for a, b in ((row.fingerprint, printed(text)), (row.edited_fingerprint, printed(edited))):
+            assert len(a) == len(b)
+            same, total = same + sum(a[j : j + 4] == b[j : j + 4] for j in range(0, len(a), 4)), total + len(a) // 4
+        assert row.near_edited == share(row.fingerprint, row.edited_fingerprint) and row.near_next == share(row.fingerprint, got[given[(i + 1) % len(given)][0]].fingerprint)
+    # the two logarithms may differ in the last bit
+    assert total and same >= 0.995 * total
+
+
 def test_gamma_quantiles():
     import math
 

@@ -105,7 +105,8 @@ def fingerprint_documents(docs: DataFrame, doc: str = "doc_id", text: str = "tex
     next document in descending ``doc`` (after the last: the first; a single document is its own next). A null text counts as empty; a text without words has an empty fingerprint. A null ``doc`` counts as the
     smallest of all; rows equal in ``doc`` follow each other by a hash of the text, and rows equal in both are one document whose result repeats.
 
-    The text is shuffled once by id and its opening once to the document that takes it; words are counted and sampled where the text then is.
+    The text is shuffled once by id and its opening once to the document that takes it. Where the two meet, one pass makes the words of both texts and the digest, which travels as a row of its own
+    (in the keys, so that the aggregations stay hashed); words are counted and sampled there. After that only ids and samples move.
     """
     rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(_LEAST)).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("version", F.xxhash64("text"))
@@ -119,21 +120,26 @@ def fingerprint_documents(docs: DataFrame, doc: str = "doc_id", text: str = "tex
     edited = F.concat(F.expr("left(text, char_length(text) - m)"), F.col("opening"))
     sides = both.select("k", "version", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), edited.alias("text")))).alias("s"))
     sides = sides.select("k", "version", "s.side", "s.text")
-    words = sides.select("k", "version", "side", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
-    counts = [F.sum(F.when(F.col("side") == i, 1).otherwise(0)).alias(f"n{i}") for i in (0, 1)]
-    terms = words.groupBy("k", "version", F.xxhash64("word").alias("term")).agg(*counts)
+    # the entry before the first word is the edited text's digest
+    entries = F.concat(F.array(F.when(F.col("side") == 1, F.sha2("text", 256)).otherwise("")), F.split("text", r"[\x20\x09-\x0D]+"))
+    words = sides.select("k", "version", "side", F.posexplode(entries).alias("pos", "word")).where("word <> ''")
+    counts = [F.sum(F.when((F.col("side") == i) & F.col("term").isNotNull(), 1).otherwise(0)).alias(f"n{i}") for i in (0, 1)]
+    words = words.select("k", "version", "side", F.when(F.col("pos") == 0, F.col("word")).alias("digest"), F.when(F.col("pos") > 0, F.xxhash64("word")).alias("term"))
+    terms = words.groupBy("k", "version", "digest", "term").agg(*counts)
     # a term as frequent in both texts is sampled once for both (side 2)
     weights = F.when(F.col("n0") == F.col("n1"), F.array(F.struct(F.lit(2).alias("side"), F.col("n0").alias("n"))))
     weights = weights.otherwise(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"n{i}").alias("n")) for i in (0, 1)]))
-    terms = terms.select("k", "version", "term", F.explode(weights).alias("s")).select("k", "version", "s.side", "term", "s.n").where("n > 0")
-    least = least_samples(terms, ["k", "version", "side"])
+    terms = terms.select("k", "version", "digest", "term", F.explode(weights).alias("s")).select("k", "version", "digest", "s.side", "term", "s.n").where("n > 0 or digest is not null")
+    least = least_samples(terms, ["k", "version", "digest", "side"])
     # a side's text takes the least of its own terms and of those that both have
     names = [f"s{j}" for j in range(WIDTH)]
-    joint = least.groupBy("k", "version", "block").agg(*[F.min(F.when(F.col("side") != 1 - i, F.col(c))).alias(f"{c}_{i}") for i in (0, 1) for c in names])
-    joint = joint.select("k", "version", F.struct("block", *[_short([F.col(f"{c}_{i}") for c in names]).alias(name) for i, name in ((0, "own"), (1, "edit"))]).alias("part"))
-    joint = joint.groupBy("k", "version").agg(F.sort_array(F.collect_list("part")).alias("parts")).select("k", "version", F.flatten("parts.own").alias("own"), F.flatten("parts.edit").alias("edit"))
-    hashes = both.select("k", "version", F.sha2(edited, 256).alias("edited_sha256"))
-    sampled = cut_lineage(hashes.join(joint, ["k", "version"], "left"))
+    joint = least.groupBy("k", "version", "digest", "block").agg(*[F.min(F.when(F.col("side") != 1 - i, F.col(c))).alias(f"{c}_{i}") for i in (0, 1) for c in names])
+    part = F.struct("block", *[_short([F.col(f"{c}_{i}") for c in names]).alias(name) for i, name in ((0, "own"), (1, "edit"))])
+    joint = joint.select("k", "version", "digest", F.when(F.col("digest").isNull(), part).alias("part"))
+    joint = joint.groupBy("k", "version").agg(F.sort_array(F.collect_list("part")).alias("parts"), F.max("digest").alias("edited_sha256"))
+    # a text without words has no parts, or parts without samples
+    side = lambda c: F.when(F.size("parts") > 0, F.flatten(F.col(f"parts.{c}"))).alias(c)
+    sampled = cut_lineage(joint.select("k", "version", "edited_sha256", side("own"), side("edit")))
     own = sampled.select(F.col("k").alias("next_k"), F.col("version").alias("next_version"), F.col("own").alias("next"))
     out = following.join(sampled, ["k", "version"]).join(own, ["next_k", "next_version"])
     out = out.withColumn("repeat", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))

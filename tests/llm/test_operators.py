@@ -242,6 +242,43 @@ def test_blocks_are_left_out():
     assert seen == [10, 64] and best.who[0].tolist() == [0, 1, 2, 3, 4]  # the bounds, then one block
 
 
+def test_each_query_has_its_own_order_and_keeps_its_scores(monkeypatch):
+    import numpy as np
+
+    # 10 blocks of one direction each; query i wants block i alone
+    matrix = np.repeat(np.eye(10, dtype=np.int64) * 100, 64, axis=0)
+    seen = []
+    real = topk._scores
+    monkeypatch.setattr(topk, "_scores", lambda q, d: seen.append((len(q), len(d))) or real(q, d))
+    best = topk.Best(-np.arange(1, 11), np.eye(10, dtype=np.int64) * 100, 5)
+    best.visit(topk.Blocks(np.arange(640), matrix))
+    assert seen == [(10, 10)] + [(1, 64)] * 10
+    assert best.who.tolist() == [[64 * i + j for j in range(5)] for i in range(10)]
+    # what a second chunk may add is below the kth score: bounds only
+    seen.clear()
+    best.visit(topk.Blocks(np.arange(640, 1280), matrix // 2))
+    assert seen == [(10, 10)]
+
+
+def test_several_chunks_and_groups(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(topk, "CHUNK_BLOCKS", 2)
+    monkeypatch.setattr(topk, "GROUP", 8)
+    rng = np.random.default_rng(4)
+    matrix = rng.integers(-40, 40, (900, 6)) / 16
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "vec_id long, embedding array<double>")
+    whole = np.floor(matrix * 256).astype(np.int64)
+    want = set()
+    for q in range(0, 900, 30):
+        scores = whole @ whole[q]
+        order = [i for i in np.lexsort((np.arange(900), -scores)) if i != q][:5]
+        want |= {(q, rank + 1, int(i), int(scores[i])) for rank, i in enumerate(order)}
+    for cell in (16, 2):
+        monkeypatch.setattr(topk, "CELL", cell)
+        assert {tuple(r) for r in topk.top_k(rows.where("vec_id % 30 = 0"), rows).collect()} == want
+
+
 # ---- language ----------------------------------------------------------------------------------------------------------
 
 

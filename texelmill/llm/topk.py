@@ -104,21 +104,32 @@ class Best:
         self.who = np.full((len(ids), k), LAST)
 
     def visit(self, blocks: Blocks) -> None:
-        """Scores the blocks of a chunk by falling bound. A query leaves a block out once the block's bound is below its kth score."""
+        """Scores the blocks of a chunk, each query's in the order of its own falling bounds; a query ends with the first block whose bound is below its kth score.
+
+        The group goes through the ranks of these orders together, and queries that want the same block at the same rank are scored at once.
+        """
         queries, matrix = _same_width(self.queries, blocks.matrix)
         bounds = blocks.bounds(queries)
-        for block in np.argsort(-bounds.max(axis=0, initial=NONE), kind="stable"):
-            rows = np.flatnonzero(bounds[:, block] >= self.score[:, -1])
-            if not len(rows):
-                continue
-            a = blocks.first[block]
-            ids = blocks.ids[a : a + BLOCK]
-            own = self.ids[rows][:, None] == ids[None, :]
-            scores = np.where(own, NONE, np.maximum(_scores(queries[rows], matrix[a : a + BLOCK]), NONE + 1))
-            scores = np.concatenate([self.score[rows], scores], axis=1)
-            names = np.concatenate([self.who[rows], np.where(own, LAST, np.broadcast_to(ids, own.shape))], axis=1)
-            order = np.lexsort((names, -(scores + 1)), axis=1)[:, : self.k]
-            self.score[rows], self.who[rows] = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
+        order = np.argsort(-(bounds + 1), axis=1, kind="stable")
+        going = np.arange(len(queries))
+        for rank in range(order.shape[1]):
+            wanted = order[going, rank]
+            on = bounds[going, wanted] >= self.score[going, -1]
+            going, wanted = going[on], wanted[on]
+            if not len(going):
+                return
+            for block in np.unique(wanted):
+                self._take(blocks, matrix, queries, going[wanted == block], block)
+
+    def _take(self, blocks: Blocks, matrix: np.ndarray, queries: np.ndarray, rows: np.ndarray, block: int) -> None:
+        a = blocks.first[block]
+        ids = blocks.ids[a : a + BLOCK]
+        own = self.ids[rows][:, None] == ids[None, :]
+        scores = np.where(own, NONE, np.maximum(_scores(queries[rows], matrix[a : a + BLOCK]), NONE + 1))
+        scores = np.concatenate([self.score[rows], scores], axis=1)
+        names = np.concatenate([self.who[rows], np.where(own, LAST, np.broadcast_to(ids, own.shape))], axis=1)
+        order = np.lexsort((names, -(scores + 1)), axis=1)[:, : self.k]
+        self.score[rows], self.who[rows] = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
 
 
 def _same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +148,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, scale: float = 256
     Rows without an id, without a vector, or with a null or non-finite component take no part on either side; an empty vector scores 0; shorter vectors count as padded with zeros; equal vectors are
     ranked by id; rows that share an id are candidates each, and queries each. All, if there are fewer than k. Scores beyond 64 bits stop at its ends.
 
-    Groups of queries meet chunks of blocks of consecutive ids in the cells of a grid, CELL groups by CELL chunks each, so neither side is sent whole to any task. A task carries the scores of a
-    group on from chunk to chunk, so blocks with a bound below its kth score are never scored.
+    Groups of queries meet chunks of blocks of consecutive ids in the cells of a grid, CELL groups by CELL chunks each, so neither side is sent whole to any task. A task carries the scores of
+    up to CELL groups on from chunk to chunk, in whatever order chunks and groups come, so blocks with a bound below a query's kth score are never scored; a group beyond that puts the one used longest ago out
+    with what it has found so far, which the last ranking joins.
     """
     chunks = cut_lineage(_packed(usable(vectors, ident, vector), BLOCK * CHUNK_BLOCKS, scale))
     groups = cut_lineage(_packed(usable(queries, ident, vector), GROUP, scale))
@@ -149,9 +161,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, scale: float = 256
     right = chunks.select("dims", "ids", "matrix", place(across).alias("x"), every(down).alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, name = None, None
+        held: dict[str, Best] = {}  # the one used longest ago first
 
-        def told() -> pa.RecordBatch:
+        def told(name: str) -> pa.RecordBatch:
+            now = held.pop(name)
             row, col = np.nonzero(now.who < LAST)
             columns = [pa.array([name] * len(row), pa.string()), *map(pa.array, (row, now.ids[row], now.who[row, col], now.score[row, col]))]
             return pa.RecordBatch.from_arrays(columns, ["grp", "row", "query_id", "vec_id", "score"])
@@ -159,13 +172,13 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, scale: float = 256
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1).to_pylist()[0]
-                if row["grp"] != name:
-                    if now is not None:
-                        yield told()
-                    now, name = Best(*_unpacked(row, "q_"), k), row["grp"]
-                now.visit(Blocks(*_unpacked(row, "")))
-        if now is not None:
-            yield told()
+                name = row["grp"]
+                if name not in held and len(held) == CELL:
+                    yield told(next(iter(held)))
+                held[name] = held.pop(name, None) or Best(*_unpacked(row, "q_"), k)
+                held[name].visit(Blocks(*_unpacked(row, "")))
+        for name in list(held):
+            yield told(name)
 
     found = left.join(right, ["x", "y"]).drop("x", "y").mapInArrow(run, "grp string, row long, query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("grp", "row").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)

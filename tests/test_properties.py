@@ -231,6 +231,45 @@ def test_median_over_bands(spark, small_bands):
         assert (as_array(neighborhood.median_filter(df, size), data.shape) == want).all()
 
 
+@pytest.mark.parametrize("cells", [1 << 20, 90])
+def test_sliding_median_equals_sorting(monkeypatch, cells):
+    """Windows of 3 to 31, lines of different begin and length, holes, columns in one part or in many."""
+    monkeypatch.setattr(neighborhood, "MEDIAN_CELLS", cells)
+    rng = np.random.default_rng(12)
+    for size in (3, 7, 9, 15, 31):
+        k = size // 2
+        starts = rng.integers(0, 5, 13).tolist()
+        lines = [np.where(rng.random(n) < 0.1, np.nan, rng.integers(0, 30, n)) for n in rng.integers(6, 25, 13)]
+        own = [2 <= i < 11 for i in range(13)]
+        got = neighborhood.sliding_median(lines, starts, own, k)
+        assert len(got) == 9
+        for i, medians in zip(range(2, 11), got):
+            for j, median in enumerate(medians):
+                taps = []
+                for y in range(i - k, i + k + 1):
+                    y = min(max(y, 0), 12)
+                    for x in range(starts[i] + j - k, starts[i] + j + k + 1):
+                        taps.append(lines[y][min(max(x - starts[y], 0), len(lines[y]) - 1)])
+                known = sorted(v for v in taps if not np.isnan(v))
+                assert not known or median == known[len(known) // 2]
+
+
+def test_wide_median_over_bands(spark, small_bands):
+    data = np.random.default_rng(3).integers(0, 64, (19, 11))
+    whole = image_frame(spark, data, "idx int")
+    for size in (7, 11):
+        k = size // 2
+        pad = np.pad(data, k, mode="edge")
+        want = np.array([[np.median(pad[y : y + size, x : x + size]) for x in range(11)] for y in range(19)])
+        assert (as_array(neighborhood.median_filter(whole, size), data.shape) == want).all()
+    holed = whole.where("not (x = 2 and y = 3)")
+    got = neighborhood.median_filter(holed, 7)
+    assert got.schema["idx"].dataType.simpleString() == "int"
+    rows = got.collect()
+    assert len(rows) == 19 * 11 - 1 and all(r.idx is not None for r in rows)
+    assert neighborhood.median_filter(whole.limit(0), 7).count() == 0
+
+
 def test_gaussian_over_bands(spark, small_bands):
     data = np.random.default_rng(4).integers(0, 256, (17, 9))
     weights = np.array(neighborhood.gaussian_weights(1.0))

@@ -18,6 +18,10 @@ from texelmill.functions import color
 
 BAND = 256
 LANES = ["image_id", "band"]
+#: From this reach on a median slides a histogram instead of sorting the taps of each pixel.
+WIDE_REACH = 3
+#: Histogram cells (columns x values) that a sliding median holds at once.
+MEDIAN_CELLS = 1 << 20
 
 
 def scan_lines(px: DataFrame, value: Column, halo: int, height_wrap: bool = False) -> DataFrame:
@@ -102,10 +106,16 @@ def _shifted(line: Column, dx: int) -> Column:
 
 
 def median_filter(index_image: DataFrame, size: int = 3, value: str = "idx") -> DataFrame:
-    """size x size median of an index image, edges repeated; even counts (only beside holes) take the upper middle."""
+    """size x size median of an index image, edges repeated; even counts (only beside holes) take the upper middle.
+
+    Small windows sort their taps in generated code. Wide ones (reach of WIDE_REACH or more) slide a histogram per column down the
+    lines of a band, so that a pixel costs the same whatever the window's size.
+    """
     if size <= 1:
         return index_image.select("image_id", "x", "y", value)
     reach = size // 2
+    if reach >= WIDE_REACH:
+        return _sliding_median(index_image, reach, value)
     names = {f"_l{k + reach}": _line(k) for k in range(-reach, reach + 1)}
     lines = scan_lines(index_image, F.col(value), reach).withColumns(names)
     own = lines.where(F.floor(F.col("y") / BAND) == F.col("band"))
@@ -118,6 +128,68 @@ def median_filter(index_image: DataFrame, size: int = 3, value: str = "idx") ->
     return cells.where(F.col("t.vals").isNotNull()).select("image_id", (F.col("x0") + F.col("_i")).alias("x"), "y", middle.alias(value))
 
 
+def sliding_median(lines: list[np.ndarray], starts: list[int], own: list[bool], reach: int) -> list[np.ndarray]:
+    """Medians of the own lines (float arrays, NaN for holes, each beginning at its ``starts``), line and edge values repeated outwards.
+
+    Each column keeps the counts of the values in its 2 reach + 1 lines: a step down adds a line's value and drops one. Sums of
+    these counts along the line give the counts in the window of each pixel by one difference.
+    """
+    levels = np.unique(np.concatenate(lines))
+    levels = levels[~np.isnan(levels)]
+    out = [np.full(len(v), np.nan) for v, mine in zip(lines, own) if mine]
+    if not len(levels):
+        return out
+    codes = [np.where(np.isnan(v), len(levels), np.searchsorted(levels, v)) for v in lines]  # a hole has a cell of its own
+    left = min(s for s, mine in zip(starts, own) if mine)
+    right = max(s + len(v) for v, s, mine in zip(lines, starts, own) if mine)
+    step = max(1, MEDIAN_CELLS // (len(levels) + 1))
+    last = len(lines) - 1
+    for a in range(left, right, step):
+        b = min(a + step, right)
+        xs = np.arange(a - reach, b + reach)
+        at = np.arange(len(xs))
+        part = lambda i: codes[i][np.clip(xs - starts[i], 0, len(codes[i]) - 1)]
+        counts = np.zeros((len(xs), len(levels) + 1), np.int32)
+        for k in range(-reach, reach + 1):
+            counts[at, part(min(max(k, 0), last))] += 1
+        done = 0
+        for i in range(len(lines)):
+            if i:
+                counts[at, part(min(i + reach, last))] += 1
+                counts[at, part(max(i - reach - 1, 0))] -= 1
+            if not own[i]:
+                continue
+            lo, hi = max(a, starts[i]), min(b, starts[i] + len(lines[i]))
+            if lo < hi:
+                sums = np.zeros((hi - lo + 2 * reach + 1, len(levels)), np.int32)
+                np.cumsum(counts[lo - a : hi - a + 2 * reach, :-1], axis=0, out=sums[1:])
+                upto = np.cumsum(sums[2 * reach + 1 :] - sums[: hi - lo], axis=1)
+                middle = (upto <= (upto[:, -1] // 2)[:, None]).sum(axis=1)
+                out[done][lo - starts[i] : hi - starts[i]] = levels[np.minimum(middle, len(levels) - 1)]
+            done += 1
+    return out
+
+
+def _sliding_median(index_image: DataFrame, reach: int, value: str) -> DataFrame:
+    """Wide medians, one band of lines (with its copied edge lines) per call."""
+    lines = scan_lines(index_image, F.col(value).cast("double"), reach)
+    kind = dict(index_image.dtypes)[value]
+
+    def solve(band: pd.DataFrame) -> pd.DataFrame:
+        band = band.sort_values("y")
+        own = (band["y"] // BAND == band["band"]).tolist()
+        medians = sliding_median([np.asarray(v, np.float64) for v in band["vals"]], band["x0"].tolist(), own, reach) if any(own) else []
+        mine = band.loc[own, ["image_id", "y", "x0", "vals"]].astype({"vals": object})
+        return mine.assign(_m=pd.Series(medians, index=mine.index, dtype=object))
+
+    types = dict(lines.dtypes)
+    schema = f"image_id {types['image_id']}, y {types['y']}, x0 {types['x0']}, vals array<double>, _m array<double>"
+    found = lines.groupBy(*LANES).applyInPandas(solve, schema)
+    cells = found.select("image_id", "y", "x0", F.posexplode(F.arrays_zip("vals", "_m")).alias("_i", "t"))
+    there = F.col("t.vals").isNotNull() & ~F.isnan("t.vals")
+    return cells.where(there).select("image_id", (F.col("x0") + F.col("_i")).alias("x"), "y", F.col("t._m").cast(kind).alias(value))
+
+
 def gaussian_weights(sigma: float) -> list[float]:
     reach = math.ceil(3.0 * sigma)
     raw = [math.exp(-(k * k) / (2.0 * sigma * sigma)) for k in range(-reach, reach + 1)]

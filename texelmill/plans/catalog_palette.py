@@ -292,6 +292,14 @@ def f12(t: Tables) -> DataFrame:
     return neighborhood.median_filter(t("indexed"), 3)
 
 
+OFFS9 = ("offs", "select dx, dy from (select unnest(range(-4, 5)) as dx) cross join (select unnest(range(-4, 5)) as dy)")
+
+
+@query("f12_median_filter_wide", c.q(("indexed",), "select * from med", LINES, OFFS9, ("med", MEDIAN.replace("[5]", "[41]"))))
+def f12w(t: Tables) -> DataFrame:
+    return neighborhood.median_filter(t("indexed"), 9)
+
+
 def gauss_ctes(sigma: float) -> tuple[tuple[str, str], ...]:
     w = gaussian_weights(sigma)
     k = len(w) // 2

@@ -324,6 +324,33 @@ def test_holes_in_lines_are_left_out(spark, small_bands):
     assert len(got) == 29 and all(r.idx is not None for r in got)
 
 
+def test_first_with_prefix_over_ranges(spark):
+    """Names that sort around the ending, stems that reach into it, stems at the ends of ranges, several folders."""
+    rng = np.random.default_rng(10)
+    word = lambda most: "".join(rng.choice(list("ab. _nif"), rng.integers(0, most)))
+    names = [(f"d{rng.integers(0, 3)}", word(6) + rng.choice(["", "", ".", ".n", ".nif"]), f"v{i:04}") for i in range(400)]
+    asks = [(f"d{rng.integers(0, 4)}", word(5) + rng.choice(["", "", ".", ".n", ".ni", ".nif"])) for _ in range(300)] + [(d, n) for d, n, _ in names[:50]] + [("d0", None), (None, "a")]
+    left = spark.createDataFrame(names, "dir string, name string, value string")
+    right = spark.createDataFrame(asks, "dir string, stem string")
+    want = {}
+    for d, stem in asks:
+        hits = [((n + ".nif").encode(), v) for e, n, v in names if e == d and stem and n.startswith(stem)]
+        if hits:
+            want[d, stem] = (min(hits)[0].decode(), min(hits)[1])
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for adaptive, parts in (("true", "8"), ("false", "40")):
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {(r.dir, r.stem): (r.file, r.value) for r in pathops.first_with_prefix(left, right, ".nif").collect()}
+            assert got == want and len(want) > 50
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert pathops.first_with_prefix(left.limit(0), right, ".nif").count() == 0
+    assert pathops.first_with_prefix(left, right.limit(0), ".nif").count() == 0
+
+
 # ---- binary files -----------------------------------------------------------------------------------------------------
 
 

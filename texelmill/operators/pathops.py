@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from texelmill.functions import paths
+from texelmill.session import cut_lineage
 
 # ---- fixed values: mesh lookup ---------------------------------------------------------------------------------
 ACTOR_FOLDERS = ("actor", "actors")
@@ -183,13 +184,46 @@ def locate_group_files(groups: DataFrame, files: DataFrame) -> DataFrame:
 # ---- mesh lookup -----------------------------------------------------------------------------------------------
 
 
+def first_with_prefix(names: DataFrame, asks: DataFrame, ending: str) -> DataFrame:
+    """``dir, stem, file, value``: the first file (smallest ``name + ending``) of a folder whose name begins with the stem; asks without one are left out.
+
+    ``names``: dir, name, value (the smallest of equal names counts); ``asks``: dir, stem. An empty stem finds nothing.
+
+    Names and stems go into one order of (dir, key), cut into ranges. The files that begin with a stem follow it at once, so the
+    next file in the order decides; across the end of a range it is the first file of the next range that has one, one carried row
+    per range. Each name and each stem is shuffled as one row, however long it is.
+    """
+    file = F.concat("name", F.lit(ending))
+    own = names.groupBy("dir", file.alias("key")).agg(F.min("value").alias("value"))
+    asks = asks.where("dir is not null and stem <> ''").select("dir", "stem").distinct()
+    # a stem that reaches into the ending meets one file whose name is too short for it: it is asked again from behind that file
+    into = [ending[:n] for n in range(1, len(ending) + 1)]
+    behind = F.array(*[F.when(F.endswith("stem", F.lit(e)), F.concat(F.expr(f"left(stem, char_length(stem) - {len(e)})"), F.lit(ending + "\0"))) for e in into])
+    starts = F.concat(F.array("stem"), F.filter(behind, lambda b: b.isNotNull()))
+    asked = asks.select("dir", "stem", F.explode(starts).alias("key"))
+    rows = own.where("dir is not null and key is not null").select("dir", "key", F.lit(None).cast("string").alias("stem"), F.struct("dir", F.col("key").alias("file"), "value").alias("hit"))
+    rows = rows.unionByName(asked.withColumn("hit", F.lit(None).cast(rows.schema["hit"].dataType)))
+    # written, so that the bounds of the ranges cannot move between the two reads
+    ranged = cut_lineage(rows.repartitionByRange("dir", "key").withColumn("part", F.spark_partition_id()))
+    heads = ranged.groupBy("part").agg(F.min("hit").alias("head"))
+    later = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    heads = heads.select("part", F.last("head", ignorenulls=True).over(later).alias("after"))
+    # from the last key to the first, files before the stems equal to them
+    order = Window.partitionBy("part").orderBy(F.desc("dir"), F.desc("key"), F.col("stem").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = ranged.withColumn("next", F.last("hit", ignorenulls=True).over(order)).where("stem is not null").join(heads, "part", "left")
+    found = found.select("dir", "stem", F.coalesce("next", "after").alias("hit"))
+    fits = (F.col("hit.dir") == F.col("dir")) & F.startswith(F.col("hit.file"), F.col("stem")) & (F.length("hit.file") - len(ending) >= F.length("stem"))
+    best = found.where(fits).groupBy("dir", "stem").agg(F.min("hit").alias("hit"))
+    return best.select("dir", "stem", "hit.file", "hit.value")
+
+
 def find_mesh(textures: DataFrame, meshes: DataFrame, data_root: str) -> DataFrame:
     """First mesh of each texture below ``<data_root>/Textures``, null when there is none. Compared without case.
 
     Rules in order: body-part keywords for armour names, ``<stem>_1.nif``, ``<stem>.nif``, ``<stem>*.nif``; actor paths
-    try the assets sub-folder first. Meshes are indexed by (folder, name prefix) and (folder, keyword) keeping only the
-    first name, so every rule is an equi join on a fine key and a folder full of meshes never meets a folder full of
-    textures pair by pair.
+    try the assets sub-folder first. Meshes are indexed by (folder, name) and (folder, keyword) keeping only the first, and
+    the last rule takes the next name in one order of names and stems, so a folder full of meshes never meets a folder full
+    of textures pair by pair.
     """
     base = data_root.rstrip("/").lower()
     path = F.lower(F.col("path"))
@@ -218,19 +252,13 @@ def find_mesh(textures: DataFrame, meshes: DataFrame, data_root: str) -> DataFra
     by_key = key_asks.select("path", "dir", "dir_no", "k.no", "k.word").join(key_index, ["dir", "word"])
     hits = by_key.select("path", F.struct(F.lit(0).alias("pass"), "dir_no", F.col("no").alias("rule"), "hit.mesh_path").alias("h"))
 
-    # direct pass: a name offers all its prefixes; the whole name is the last of them
-    prefixes = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring("name", F.lit(1), i))
-    whole = F.min(F.when(F.col("name") == F.col("prefix"), F.col("mesh_path"))).alias("exact_path")
-    spread = mesh.select("dir", "name", "mesh_path", F.explode(prefixes).alias("prefix"))
-    index = spread.groupBy("dir", "prefix").agg(first, whole)
-    target = F.when(F.col("rule") == 2, F.col("hit.mesh_path")).otherwise(F.col("exact_path"))
-    rules = F.array(
-        F.struct(F.lit(0).alias("rule"), F.concat("stem", F.lit("_1")).alias("prefix")),
-        F.struct(F.lit(1).alias("rule"), F.col("stem").alias("prefix")),
-        F.struct(F.lit(2).alias("rule"), F.col("stem").alias("prefix")),
-    )
-    direct = asks.select("path", "dir", "dir_no", F.explode(rules).alias("q")).select("path", "dir", "dir_no", "q.rule", "q.prefix")
-    found = direct.join(index, ["dir", "prefix"]).withColumn("mesh_path", target).where(F.col("mesh_path").isNotNull())
+    # direct pass: two whole names, then the first name that begins with the stem
+    whole = mesh.groupBy("dir", "name").agg(F.min("mesh_path").alias("mesh_path"))
+    rules = F.array(F.struct(F.lit(0).alias("rule"), F.concat("stem", F.lit("_1")).alias("name")), F.struct(F.lit(1).alias("rule"), F.col("stem").alias("name")))
+    direct = asks.select("path", "dir", "dir_no", F.explode(rules).alias("q")).select("path", "dir", "dir_no", "q.rule", "q.name")
+    found = direct.join(whole, ["dir", "name"]).select("path", "dir_no", "rule", "mesh_path")
+    longer = first_with_prefix(mesh.withColumnRenamed("mesh_path", "value"), asks, ".nif").withColumnRenamed("value", "mesh_path")
+    found = found.unionByName(asks.join(longer, ["dir", "stem"]).select("path", "dir_no", F.lit(2).alias("rule"), "mesh_path"))
     hits = hits.unionByName(found.select("path", F.struct(F.lit(1).alias("pass"), "dir_no", "rule", "mesh_path").alias("h")))
     best = hits.groupBy("path").agg(F.min("h").alias("h"))
     return textures.select("path").distinct().join(best, "path", "left").select("path", F.col("h.mesh_path").alias("mesh_path"))

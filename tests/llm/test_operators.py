@@ -290,6 +290,74 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in rows) and sum(r.rejected for r in rows) <= 0.01 * len(rows)
 
 
+def plain_kneser_ney(text_grams: Counter):
+    """Interpolated Kneser-Ney by definition, over tuples of ORDER characters: a function of (context, character)."""
+    levels = {langid.ORDER: text_grams}
+    for k in range(langid.ORDER - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    alphabet = len(levels[1]) + 1
+
+    def discount(k: int) -> float:
+        once, twice = (sum(n == i for n in levels[k].values()) for i in (1, 2))
+        return once / (once + 2 * twice) if once else 0.5
+
+    def probability(context: tuple, c: int) -> float:
+        k = len(context) + 1
+        lower = probability(context[1:], c) if context else 1 / alphabet
+        after = {g: n for g, n in levels[k].items() if g[:-1] == context}
+        if not after:
+            return lower
+        d = discount(k)
+        return (max(after.get((*context, c), 0) - d, 0) + d * len(after) * lower) / sum(after.values())
+
+    return probability
+
+
+def test_language_model_by_brute_force():
+    import itertools
+    import math
+
+    import numpy as np
+
+    rng = random.Random(6)
+    for size, letters in ((0, "abcd"), (30, "ab"), (400, "abcd")):
+        text = [ord(c) for c in "abcda" + "".join(rng.choices(letters, [2**-i for i in range(len(letters))], k=size))]
+        grams = Counter(tuple(text[i : i + langid.ORDER]) for i in range(len(text) - langid.ORDER + 1))
+        plain = plain_kneser_ney(grams)
+        model = langid.KneserNey.fit(np.array(list(grams), np.uint32), np.array(list(grams.values())))
+        every = list(itertools.product(map(ord, "abcd?"), repeat=langid.ORDER))
+        got = model.score([np.array(c, np.uint32) for c in zip(*every)])
+        assert all(math.isclose(p, math.log(plain(g[:-1], g[-1])), rel_tol=1e-9, abs_tol=1e-9) for g, p in zip(every, got))
+        # an unseen character has what is left: known ones and one unseen make a distribution
+        known = {g[-1] for g in grams}
+        for context in itertools.product(map(ord, "abcd?"), repeat=langid.ORDER - 1):
+            assert math.isclose(sum(plain(context, c) for c in [*known, ord("?")]), 1.0, abs_tol=1e-9)
+
+
+def test_predictions_by_brute_force(spark):
+    """Least mean of the log probabilities, gram by gram, on whole texts of the given table."""
+    import numpy as np
+    import pyarrow as pa
+
+    from texelmill.llm import words as buffers
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = langid.fit(docs)
+    rows = langid.identify(docs, found).collect()
+    assert len(found.langs) > 1
+    for row in rows[:: max(1, len(rows) // 5)]:
+        data, at = buffers.text_buffer(pa.array([row.text or ""], pa.string()))
+        chars, _ = langid.letters(data, at)
+        n = len(chars) - langid.ORDER + 1
+        if row.lang_pred == "und":
+            continue
+        means = []
+        for model in found.models:
+            logs = [model.score([chars[i + j : i + j + 1] for j in range(langid.ORDER)])[0] for i in range(n)]
+            means.append(-sum(logs) / n)
+        assert found.langs[int(np.argmin(means))] == row.lang_pred and abs(min(means) - row.cross_entropy) < 1e-9
+
+
 def test_language_of_odd_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.fit(docs)

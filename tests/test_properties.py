@@ -324,6 +324,22 @@ def test_holes_in_lines_are_left_out(spark, small_bands):
     assert len(got) == 29 and all(r.idx is not None for r in got)
 
 
+def test_pairs_of_a_common_name(spark, monkeypatch):
+    """A name that most files share is dealt over shards; nothing is lost or doubled, repeated rows count as given."""
+    monkeypatch.setattr(pathops, "PAIR_SHARD", 8)
+    greys = [f"a{i}/default.dds" for i in range(100)] + ["b/other.dds", "b/lonely.dds", "b/other.dds", None]
+    colors = [f"c{i}/Default.dds" for i in range(7)] + ["d/OTHER.dds", None]
+    frame = lambda rows: spark.createDataFrame([(r,) for r in rows], "path string")
+    key = {r.path: r.key for r in pathops._keyed(frame(greys + colors)).collect()}
+    want = sorted((key[g], g, c) for g in greys for c in colors if key[g] is not None and key[g] == key[c])
+    got = pathops.pair_textures(frame(greys), frame(colors), ordered=False)
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) == 702
+    assert "rangepartitioning" not in got._jdf.queryExecution().toString()
+    ordered = [tuple(r) for r in pathops.pair_textures(frame(greys), frame(colors)).collect()]
+    assert sorted(ordered) == want and [r[0] for r in ordered] == sorted(r[0] for r in ordered)
+    assert pathops.pair_textures(frame(greys), frame([])).count() == 0
+
+
 def test_first_with_prefix_over_ranges(spark):
     """Names that sort around the ending, stems that reach into it, stems at the ends of ranges, several folders."""
     rng = np.random.default_rng(10)

@@ -96,21 +96,31 @@ def manifest_lines(entries: DataFrame) -> DataFrame:
 # ---- pairing by normalized name --------------------------------------------------------------------------------
 
 
+#: Greys of one name that meet its colours in one group.
+PAIR_SHARD = 1024
+
+
 def _keyed(files: DataFrame, with_palette: bool = False) -> DataFrame:
     return files.withColumn("key", paths.normalize_key(F.col("path"), with_palette))
 
 
-def pair_textures(greys: DataFrame, colors: DataFrame) -> DataFrame:
-    """Every (grey, colour) pair whose normalized names agree, in deterministic order.
+def pair_textures(greys: DataFrame, colors: DataFrame, ordered: bool = True) -> DataFrame:
+    """Every (grey, colour) pair whose normalized names agree, in their deterministic order, or in none without ``ordered``.
 
-    Keys and order columns are worked out per file, before the join multiplies rows.
+    Greys of a frequent name are dealt over shards of about PAIR_SHARD and its colours go to each of them, so a common name is
+    many small groups; most names have one shard. The order sorts all pairs; whoever does not write the list can do without.
     """
     p = F.col("path")
-    side = lambda n: [F.lower(paths.parent_name(p)).alias(f"_{n}dir"), F.lower(p).alias(f"_{n}low")]
-    left = _keyed(greys).select("key", p.alias("grey_path"), *side("g"))
-    right = _keyed(colors).select("key", p.alias("color_path"), F.lower(paths.stem(p)).alias("_cstem"), *side("c"))
-    order = ["key", "_gdir", "_glow", "_cstem", "_cdir", "_clow"]
-    return left.join(right, "key").orderBy(*order).select("key", "grey_path", "color_path")
+    left = _keyed(greys).select("key", p.alias("grey_path"))
+    right = _keyed(colors).select("key", p.alias("color_path"))
+    shards = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PAIR_SHARD).cast("int").alias("_n"))
+    left = left.join(shards, "key").withColumn("_shard", F.pmod(F.xxhash64("grey_path"), F.col("_n")).cast("int")).drop("_n")
+    right = right.join(shards, "key").select("key", "color_path", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_shard"))
+    pairs = left.join(right, ["key", "_shard"]).select("key", "grey_path", "color_path")
+    if not ordered:
+        return pairs
+    g, c = F.col("grey_path"), F.col("color_path")
+    return pairs.orderBy("key", F.lower(paths.parent_name(g)), F.lower(g), F.lower(paths.stem(c)), F.lower(paths.parent_name(c)), F.lower(c))
 
 
 def unmatched_greys(greys: DataFrame, colors: DataFrame) -> DataFrame:

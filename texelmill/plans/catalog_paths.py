@@ -290,7 +290,7 @@ PAIR_CTES = (
 
 @query("e05_pair_textures", c.q(("assets",), "select g.key, g.path as grey_path, c.path as color_path from greys g join cols c using (key)", *PAIR_CTES))
 def e05(t: Tables) -> DataFrame:
-    return pathops.pair_textures(*greys_and_colors(t))
+    return pathops.pair_textures(*greys_and_colors(t), ordered=False)
 
 
 @query("e06_unmatched_greys", c.q(("assets",), "select key, path from greys where key not in (select key from cols)", *PAIR_CTES))

@@ -160,3 +160,20 @@ def test_farthest_colors_of_a_wide_image(spark):
         reach = np.minimum(reach, ((colors - colors[chosen[-1]]) ** 2).sum(axis=1))
     got = sorted((r.r, r.g, r.b) for r in quantize.max_coverage(hist, 12)["palette"].collect())
     assert got == sorted(map(tuple, colors[chosen].tolist()))
+
+
+@pytest.mark.parametrize("method", ["variance_split", "max_coverage"])
+def test_images_solved_whole_match_the_rounds(spark, monkeypatch, method):
+    """Images of few colours take one pass, however deep their splits or many their picks, and large ones beside them give what they gave."""
+    hists = frame(spark, histograms(7, images=6, size=500))
+    written, cut = [], quantize.cut_lineage
+    monkeypatch.setattr(quantize, "cut_lineage", lambda df: written.append(df) or cut(df))
+
+    def run(most):
+        monkeypatch.setattr(quantize, "WHOLE_COLORS", most)
+        out = getattr(quantize, method)(hists, 40)
+        return sorted(map(tuple, (out["palette"] if method == "max_coverage" else out).select("image_id", *RGB, *(["idx"] if method == "max_coverage" else ["box"])).collect()))
+
+    whole = run(1 << 16)
+    assert len(written) <= 3
+    assert run(0) == whole and run(100) == whole

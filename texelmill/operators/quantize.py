@@ -9,6 +9,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ ERROR_WEIGHTED_ROUNDS = 3
 KMEANS_ROUNDS = 2
 #: Values of a channel in a cell of colours.
 CELL = 8
+#: An image of at most so many colours is solved in one call; the colours of a larger one stay spread over tasks, in rounds.
+WHOLE_COLORS = 1 << 16
 
 
 def _mean(c: str) -> Column:
@@ -37,6 +40,19 @@ def _with_dense_idx(means: DataFrame) -> DataFrame:
     return means.withColumn("idx", F.row_number().over(w) - 1)
 
 
+def _by_size(hist: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``hist`` of the images of at most WHOLE_COLORS colours, and of the others (None if there are none)."""
+    hist = cut_lineage(hist.select("image_id", *RGB, F.col("n").cast("long").alias("n")))
+    large = cut_lineage(hist.groupBy("image_id").count().where(F.col("count") > WHOLE_COLORS).select("image_id"))
+    if not large.limit(1).collect():
+        return hist, None
+    return hist.join(large, "image_id", "left_anti"), hist.join(large, "image_id", "left_semi")
+
+
+def _numbers(colors: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return np.column_stack([colors.column(c).to_numpy() for c in RGB]).astype(np.int64), colors.column("n").to_numpy()
+
+
 def _assigned(hist: DataFrame, palette: DataFrame) -> DataFrame:
     return hist.join(nearest_entries(hist, palette, "image_id"), ["image_id", *RGB])
 
@@ -194,9 +210,58 @@ def _greedy(rows: list[dict], k: int, target: float) -> tuple[dict[int, int], li
     return leaves, wanted
 
 
+def _best_cut(rgb: np.ndarray, n: np.ndarray) -> tuple[float, float, int, int]:
+    """(error, gain, chan, cut) of one box, in the arithmetic of :func:`_best_splits`."""
+    at = (rgb + [0, 256, 512]).ravel()
+    there = np.bincount(at, minlength=768).reshape(3, 256) > 0
+    left = [np.bincount(at, np.repeat(w, 3), 768).reshape(3, 256).cumsum(axis=1) for w in (n, *(n * rgb[:, c] for c in range(3)))]
+    ln, tn = left[0], left[0][0, -1]
+    right = tn - ln
+    a, b, c = (right * ls - ln * (ls[0, -1] - ls) for ls in left[1:])
+    gain = np.where(there, 0.0, -1.0)
+    inside = there & (right > 0)
+    gain[inside] = (a * a + b * b + c * c)[inside] / (tn * ln * right)[inside]
+    best = int(gain.argmax())
+    sr, sg, sb = (float(ls[0, -1]) for ls in left[1:])
+    return float((n * (rgb * rgb).sum(axis=1)).sum()) - (sr * sr + sg * sg + sb * sb) / tn, float(gain.flat[best]), best // 256, best % 256
+
+
+def _split_image(rgb: np.ndarray, n: np.ndarray, k: int, target: float) -> np.ndarray:
+    """Box numbers of one image's colours, in the order of :func:`_greedy`."""
+    box = np.zeros(len(n), np.int64)
+    error, gain, chan, cut = _best_cut(rgb, n)
+    heap, made, enough = [(-gain, 0, np.arange(len(n)), chan, cut)], 1, target * int(n.sum())
+    while heap and made < k and error > enough:
+        lost, number, own, chan, cut = heapq.heappop(heap)
+        if lost >= 0:
+            break
+        error, made = error + lost, made + 1
+        high = rgb[own, chan] > cut
+        box[own[high]] = made - 1
+        for part, name in ((own[~high], number), (own[high], made - 1)):
+            _, gain, chan, cut = _best_cut(rgb[part], n[part])
+            heapq.heappush(heap, (-gain, name, part, chan, cut))
+    return box
+
+
 def variance_split(hist: DataFrame, k: int, target: float = 0.0) -> DataFrame:
     """``hist`` with ``box``: best-first splitting by the squared error a split removes, up to k boxes, or until the error a pixel is at most ``target``, so that an easy image gets a smaller palette.
 
+    Images of at most WHOLE_COLORS colours are solved in one pass, a call each; larger ones go through :func:`_split_rounds`, which gives the same boxes.
+    """
+    kind = dict(hist.dtypes)["image_id"]
+
+    def solve(colors: pa.Table) -> pa.Table:
+        return colors.append_column("box", pa.array(_split_image(*_numbers(colors), k, target)))
+
+    small, large = _by_size(hist)
+    out = small.groupBy("image_id").applyInArrow(solve, f"image_id {kind}, r int, g int, b int, n long, box long")
+    return out if large is None else out.unionByName(_split_rounds(large, k, target))
+
+
+def _split_rounds(hist: DataFrame, k: int, target: float) -> DataFrame:
+    """:func:`variance_split` of images of any size.
+
     The order of splits is one of a whole image, their search is not: a round finds the best cuts of all boxes that the order may want next, for all images at once; a walk over the at most few
     hundred boxes known of an image then says which boxes come next. There are about as many rounds as the tree of boxes is deep. Colours stay distributed and move with their box.
     """
@@ -244,6 +309,7 @@ def quality_bounded(hist: DataFrame, k: int, floor: float = 85, enough: float =
 
     ``quality`` has (image_id, mse, fell_back): the refined palette's mean squared error a pixel and whether it was given up.
     """
+    hist = cut_lineage(hist)
     boxes = variance_split(hist, k, quality_error(enough))
     palette = _with_dense_idx(boxes.groupBy("image_id", "box").agg(*[_mean(c) for c in RGB]))
     palette = lloyd(hist, cut_lineage(palette.select("image_id", "idx", *RGB)), rounds)
@@ -301,9 +367,38 @@ def _picks(cells: list[dict], chosen: list[tuple], k: int) -> tuple[list[tuple],
     return new, set()
 
 
+def _farthest(rgb: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """The farthest colours of one image in their order."""
+    rgb = rgb[np.lexsort((rgb[:, 2], rgb[:, 1], rgb[:, 0], -n))].astype(np.int32)
+    picks, reach = [0], ((rgb - rgb[0]) ** 2).sum(axis=1)
+    while len(picks) < k and reach.max() > 0:
+        picks.append(int(reach.argmax()))
+        reach = np.minimum(reach, ((rgb - rgb[picks[-1]]) ** 2).sum(axis=1))
+    return rgb[picks]
+
+
 def max_coverage(hist: DataFrame, k: int) -> dict[str, DataFrame]:
     """Farthest-point palette: start from the most frequent colour, then always the colour farthest from all chosen; of equals the more frequent one, then the first by (r, g, b).
 
+    Images of at most WHOLE_COLORS colours are solved in one pass, a call each; larger ones go through :func:`_farthest_rounds`, which makes the same picks.
+    """
+    kind = dict(hist.dtypes)["image_id"]
+
+    def solve(colors: pa.Table) -> pa.Table:
+        found = _farthest(*_numbers(colors), k)
+        parts = [colors.column("image_id").combine_chunks().take(pa.array(np.zeros(len(found), np.int64))), *[pa.array(found[:, i]) for i in range(3)], pa.array(range(len(found)), pa.int32())]
+        return pa.table(parts, ["image_id", *RGB, "box"])
+
+    small, large = _by_size(hist)
+    box = small.groupBy("image_id").applyInArrow(solve, f"image_id {kind}, r int, g int, b int, box int")
+    if large is not None:
+        box = box.unionByName(_farthest_rounds(large, k))
+    return _nearest(hist, cut_lineage(_with_dense_idx(box)))
+
+
+def _farthest_rounds(hist: DataFrame, k: int) -> DataFrame:
+    """(image_id, r, g, b, box): the picks of :func:`max_coverage` in images of any size.
+
     A table of cells, 8 values wide a channel (at most 32768 an image), keeps each cell's farthest colour. A round looks into the cells whose farthest colour came nearer, with partial aggregation over their
     colours; then a walk over an image's cells makes all picks that are certain, and ends when a cell's bound beats the best of them. The histogram stays distributed and no colour is left out of the search.
     """
@@ -338,8 +433,7 @@ def max_coverage(hist: DataFrame, k: int) -> dict[str, DataFrame]:
         look = told.where("more").select("image_id", F.explode("look").alias("id"))
         look = look.select("image_id", F.shiftright("id", 16).alias("cr"), (F.shiftright("id", 8) % 256).alias("cg"), (F.col("id") % 256).alias("cb"))
         opened = colors.join(look, cell, "left_semi")
-    box = chosen.select("image_id", F.posexplode("chosen").alias("box", "p")).select("image_id", "p.*", "box")
-    return _nearest(hist, cut_lineage(_with_dense_idx(box)))
+    return chosen.select("image_id", F.posexplode("chosen").alias("box", "p")).select("image_id", "p.*", "box")
 
 
 def quantize_histogram(hist: DataFrame, method: str, k: int) -> dict[str, DataFrame]:

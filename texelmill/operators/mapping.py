@@ -102,17 +102,25 @@ def map_to_shared_palette(px: DataFrame, palette: DataFrame, out: str = "idx", e
     return joined.withColumn(out, idx).drop("cell", "_entries")
 
 
-def nearest_entries(colors: DataFrame, palette: DataFrame, by: str, out: str = "idx") -> DataFrame:
-    """Nearest entry of each distinct (``by``, r, g, b) in its own palette, ties to the lowest index.
+def by_color(table: DataFrame) -> DataFrame:
+    """A table with a row per image and colour, to be joined by these: shuffled, never broadcast.
+
+    It grows with the pixels, but its file is a few bytes a row, so a size threshold takes millions of rows for a small table and builds them on the driver.
+    """
+    return table.hint("merge")
+
+
+def nearest_entries(colors: DataFrame, palette: DataFrame, by: str, out: str = "idx", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Nearest entry of each distinct (``by``, r, g, b) in its own palette, ties to the lowest index. ``keep``: further columns of ``colors``, which then has each colour once.
 
     The packed palette unfolds next to each colour inside one generated stage and a running minimum - one LONG of
     (distance, idx) - folds it again at once; ``colors`` is already placed by its key, so nothing more is shuffled.
     """
     packed = packed_palette(palette, by).withColumnRenamed("entries", "_entries")
-    near = colors.select(by, *RGB).join(packed, by, "left").select(by, *RGB, F.explode_outer("_entries").alias("p"))
+    near = colors.select(by, *RGB, *keep).join(packed, by, "left").select(by, *RGB, *keep, F.explode_outer("_entries").alias("p"))
     d = sum(((F.col(f"p.{c}") - F.col(c)) * (F.col(f"p.{c}") - F.col(c)) for c in RGB), F.lit(0))
-    best = near.groupBy(by, *RGB).agg(F.min(d * 1024 + F.col("p.idx")).alias("_s"))
-    return best.select(by, *RGB, (F.col("_s") % 1024).alias(out))
+    best = near.groupBy(by, *RGB).agg(F.min(d * 1024 + F.col("p.idx")).alias("_s"), *[F.max(c).alias(c) for c in keep])
+    return best.select(by, *RGB, *keep, (F.col("_s") % 1024).alias(out))
 
 
 def map_to_palette(px: DataFrame, palette: DataFrame, by: str = "palette_id", exact: DataFrame | None = None, out: str = "idx") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from texelmill.functions import color
 from texelmill.operators.histogram import color_histogram
-from texelmill.operators.mapping import nearest_entries
+from texelmill.operators.mapping import by_color, nearest_entries
 from texelmill.operators.neighborhood import smooth_dither
 from texelmill.session import cut_lineage
 
@@ -54,7 +54,8 @@ def _numbers(colors: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _assigned(hist: DataFrame, palette: DataFrame) -> DataFrame:
-    return hist.join(nearest_entries(hist, palette, "image_id"), ["image_id", *RGB])
+    """``hist`` with each colour's nearest entry ``idx``; ``n`` goes along with the search, so the histogram meets nothing of its own size."""
+    return nearest_entries(hist, palette, "image_id", keep=("n",))
 
 
 def _result(palette: DataFrame, assigned: DataFrame) -> dict[str, DataFrame]:
@@ -86,9 +87,54 @@ def _split_round(boxes: DataFrame, k: int) -> DataFrame:
     return boxes.withColumn("box", F.col("box") * 2 + right.cast("long")).select("image_id", *RGB, "n", "box")
 
 
+def _cut_image(rgb: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Box numbers of one image's colours, in the rounds of :func:`_split_round`."""
+    box = np.zeros(len(n), np.int64)
+    while True:
+        boxes, box = np.unique(box, return_inverse=True)
+        if len(boxes) >= min(len(n), k):
+            return box
+        by = np.argsort(box, kind="stable")
+        starts = np.searchsorted(box[by], np.arange(len(boxes)))
+        low, top = np.minimum.reduceat(rgb[by], starts), np.maximum.reduceat(rgb[by], starts)
+        sr, sg, sb = (top - low).T
+        chan = np.where((sg >= sr) & (sg >= sb), 1, np.where(sr >= sb, 0, 2))
+        v, one = rgb[np.arange(len(n)), chan[box]], np.arange(len(boxes))
+        low, top = low[one, chan], top[one, chan]
+        by = np.lexsort((v, box))
+        upto, total = np.cumsum(n[by]), np.add.reduceat(n[by], starts)
+        upto = upto - (upto[starts] - n[by][starts])[box[by]]
+        reached = upto * 2 >= total[box[by]]
+        # the first row of each box that reaches half of its weight
+        half = v[by][np.minimum.reduceat(np.where(reached, np.arange(len(n)), len(n)), starts)]
+        rank = np.empty(len(boxes), np.int64)
+        rank[np.lexsort((one, -total * (top - low)))] = one
+        cut = np.where(half == top, half - 1, half)
+        box = box * 2 + ((v > cut[box]) & ((top > low) & (rank < k - len(boxes)))[box])
+
+
 def median_cut(hist: DataFrame, k: int) -> dict[str, DataFrame]:
     """min(k, colours) boxes per image: rounds that split every box while they fit, then the best ones, until nothing is left to split.
 
+    Images of at most WHOLE_COLORS colours are solved in one pass, a call each; larger ones go through :func:`_cut_rounds`, which gives the same boxes.
+    """
+    kind = dict(hist.dtypes)["image_id"]
+
+    def solve(colors: pa.Table) -> pa.Table:
+        return colors.append_column("box", pa.array(_cut_image(*_numbers(colors), k)))
+
+    small, large = _by_size(hist)
+    boxes = small.groupBy("image_id").applyInArrow(solve, f"image_id {kind}, r int, g int, b int, n long, box long")
+    boxes = cut_lineage(boxes if large is None else boxes.unionByName(_cut_rounds(large, k)))
+    means = boxes.groupBy("image_id", "box").agg(*[_mean(c) for c in RGB])
+    palette = _with_dense_idx(means)
+    assigned = boxes.join(palette.select("image_id", "box", "idx"), ["image_id", "box"])
+    return _result(palette, assigned)
+
+
+def _cut_rounds(hist: DataFrame, k: int) -> DataFrame:
+    """``hist`` with the ``box`` of :func:`median_cut`, for images of any size.
+
     The histogram is placed by image once; the windows of a batch of rounds reuse that placement, so they share ONE shuffle.
     A window holds the distinct colours of a box, at most 2^24 however many pixels the image has. Hot colours can make boxes of one colour early; the
     rounds then go on with the others.
@@ -104,10 +150,7 @@ def median_cut(hist: DataFrame, k: int) -> dict[str, DataFrame]:
         if not size.where(F.col("boxes") < F.least("colors", F.lit(k))).limit(1).collect():
             break
         rounds = 4
-    means = boxes.groupBy("image_id", "box").agg(*[_mean(c) for c in RGB])
-    palette = _with_dense_idx(means)
-    assigned = boxes.join(palette.select("image_id", "box", "idx"), ["image_id", "box"])
-    return _result(palette, assigned)
+    return boxes
 
 
 def fast_octree(hist: DataFrame, k: int) -> dict[str, DataFrame]:
@@ -452,7 +495,7 @@ def quantize(px: DataFrame, method: str = "libimagequant", k: int = 64, post: st
     hist = cut_lineage(color_histogram(px, ["image_id"]))
     out = quantize_histogram(hist, method, k)
     out["color_map"] = cut_lineage(out["color_map"])
-    idx = px.join(out["color_map"], ["image_id", *RGB]).select("image_id", "x", "y", "idx", "a")
+    idx = px.join(by_color(out["color_map"]), ["image_id", *RGB]).select("image_id", "x", "y", "idx", "a")
     if post and post != "none":
         smooth = smooth_dither(idx, k, post)
         idx = smooth.join(idx.select("image_id", "x", "y", "a"), ["image_id", "x", "y"])

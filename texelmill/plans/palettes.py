@@ -60,14 +60,14 @@ def generate_palette(
         rows = rows.unionByName(
             built.select(F.col("row_key.image_id").alias("palette_id"), F.col("row_key.extra_no").alias("row_no"), "idx", *RGB)
         )
-    hist = q["hist"].join(q["color_map"], ["image_id", *RGB])
+    hist = q["hist"].join(mapping.by_color(q["color_map"]), ["image_id", *RGB])
     used = hist.groupBy("image_id", "idx").agg(F.sum("n").alias("n")).join(q["palette"], ["image_id", "idx"])
     used = cut_lineage(used.groupBy("image_id", *RGB).agg(F.sum("n").alias("n")))
     report = histogram.color_report(palette, used)
     views = None
     if textures is not None:
         views = mapping.nearest_entries(textures, palette, "image_id")
-        views = textures.join(views, ["image_id", *RGB]).select("image_id", "texture_no", "x", "y", "idx", "a")
+        views = textures.join(mapping.by_color(views), ["image_id", *RGB]).select("image_id", "texture_no", "x", "y", "idx", "a")
         if grey_post and textures_post:
             keyed = views.withColumn("one", F.concat_ws("/", "image_id", "texture_no"))
             smooth = neighborhood.smooth_dither(keyed.select(F.col("one").alias("image_id"), "x", "y", "idx"), size, grey_post).withColumnRenamed("image_id", "one")

@@ -394,6 +394,40 @@ def test_corrupt_materials_become_error_rows(spark):
     assert all(got[k].error for k in ("short.bgsm", "bad.bgsm", "empty.bgsm"))
 
 
+def test_materials_of_a_batch_are_read_and_made_together(monkeypatch):
+    """Whole batches give what one file at a time gives, without a call per file; cut and spoilt files keep their errors."""
+    import random
+
+    import pyarrow as pa
+
+    rng, kinds = random.Random(5), material_files.KINDS
+    value = {"bool": lambda: rng.random() < 0.5, "u8": lambda: rng.randrange(256), "u32": lambda: rng.randrange(1 << 32), "f32": lambda: rng.randrange(-999, 999) / 8, "str": lambda: rng.choice(["", "a", "ü/ß.dds", "x" * 300]), "color": lambda: {"r": 0.5, "g": rng.random() // 0.125 / 8, "b": 1.0}}
+    rows = []
+    for i in range(400):
+        mtype = rng.choice(["BGSM", "BGEM"])
+        rows.append({"mtype": mtype, "version": rng.choice([1, 2, 3, 6, 7, 8, 9, 10, 11, 12, 13, 15, 16, 17, 20, 21, 22])} | {n: value[k]() if rng.random() < 0.8 else None for n, k in kinds.items() if n != "LumEmittance"})
+    schema = pa.schema([("mtype", pa.string()), ("version", pa.int64()), *[(n, material_files._ARROW[k]) for n, k in kinds.items() if n != "LumEmittance"]])
+    one = [material_files.encode_material(r) for r in rows]
+    batch = pa.RecordBatch.from_pylist(rows, schema=schema)
+    monkeypatch.setattr(material_files, "encode_material", None)
+    assert material_files.encode_rows(batch).to_pylist() == one
+    assert material_files.encode_rows(batch.slice(7, 100)).to_pylist() == one[7:107] and material_files.encode_rows(batch.slice(0, 0)).to_pylist() == []
+    files = [c if i % 4 else rng.choice([c[: rng.randrange(len(c))], c[:-1], b"XXXX" + c[4:], None, c.replace("ü".encode(), b"\xff\xff"), c + b"more"]) for i, c in enumerate(one)]
+    want = []
+    for c in files:
+        try:
+            want.append(material_files.decode_material(c))
+        except Exception as e:
+            want.append({"error": str(e)})
+    paths = pa.array([str(i) for i in range(len(files))])
+    decode, calls = material_files.decode_material, []
+    monkeypatch.setattr(material_files, "decode_material", lambda c: calls.append(c) or decode(c))
+    for at, size in ((0, len(files)), (3, 50), (0, 0)):
+        got = material_files.decode_materials(paths.slice(at, size), pa.array(files, pa.binary()).slice(at, size))
+        assert got.to_pylist() == pa.RecordBatch.from_pylist([{"path": str(i), **want[i]} for i in range(at, at + size)], schema=material_files._CATALOG_ARROW).to_pylist()
+    assert 0 < len(calls) <= 2 * sum("error" in w for w in want)
+
+
 def sub(tag: bytes, text: bytes, size: int) -> bytes:
     return tag + size.to_bytes(2, "little") + text.ljust(size, b"\0")
 

@@ -700,3 +700,48 @@ def test_hashes_of_words_and_grams():
         assert len(grams) == len(said) == first[-1]
         assert len(set(zip(grams.tolist(), said))) == len(set(said)) == len(set(grams.tolist()))
     assert len(w.byte_hashes(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
+
+
+def test_ngram_join_compares_a_large_group_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    base, texts = [f"w{i}" for i in range(100)], []
+    for doc in range(300):
+        own = list(base)
+        for place in rng.choice(np.arange(2, 98, 2), 2, replace=False):
+            own[place] = f"own{doc}x{place}"
+        texts.append(" ".join(own))
+    asked, plain = [], ngram_join.plausible
+
+    def plausible(pairs, sets, lists):
+        asked.append(pairs.count())
+        return plain(pairs, sets, lists)
+
+    monkeypatch.setattr(ngram_join, "plausible", plausible)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 64)
+    monkeypatch.setattr(ngram_join, "SLICE", 50)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(96)} for t in texts]
+    root = list(range(300))
+    for _ in range(300):
+        before = list(root)
+        for i in range(300):
+            for j in range(i):
+                if root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    assert 20 < len(set(root)) < 290
+    assert got == dict(enumerate(root))
+    assert sum(asked) < 10_000, asked  # of 44850 pairs
+
+
+def test_ngram_join_shared_counts():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (0, 1, 40, 90, 200, 90)]
+    for left, right in (([0, 1, 2, 3], [4, 5]), ([0, 1, 2, 3, 4, 5],) * 2, ([0], [0])):
+        expected = [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+        assert ngram_join.shared(sets, np.array(left), np.array(right)).tolist() == expected

@@ -548,3 +548,13 @@ def test_pair_order(spark):
     colors = spark.createDataFrame([("z/x.png",), ("y/x.png",)], "path string")
     got = [(r.grey_path, r.color_path) for r in pathops.pair_textures(greys, colors).collect()]
     assert got == [("a/X_mask.png", "y/x.png"), ("a/X_mask.png", "z/x.png"), ("b/x_grey.png", "y/x.png"), ("b/x_grey.png", "z/x.png")]
+
+
+def test_adjacency_sort_has_no_interpreted_distances(spark):
+    t = Tables(spark, FOLDER)
+    links = spark.createDataFrame([(0, 0, 1, 2), (0, 1, 0, 2)], "palette_id int, idx_a int, idx_b int, n long")
+    plan = ordering.adjacency_sort(t("palette"), links)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
+    wide = spark.range(300).selectExpr("0 as palette_id", "cast(id as int) as idx", "cast(id % 256 as int) as r", "cast(id % 7 as int) as g", "1 as b")
+    with pytest.raises(Exception, match="larger than 256"):
+        ordering.adjacency_sort(wide, links).collect()

@@ -195,7 +195,7 @@ WALK = (
 def f04(t: Tables) -> DataFrame:
     indexed = mapping.map_to_palette(t("px"), t("palette"))
     links = neighborhood.cooccurrence(indexed, by=("image_id",))
-    links = links.join(indexed.select("image_id", "palette_id").distinct(), "image_id")
+    links = links.join(t("px").select("image_id", "palette_id").distinct(), "image_id")
     links = links.groupBy("palette_id", "idx_a", "idx_b").agg(F.sum("n").alias("n"))
     return ordering.adjacency_sort(t("palette"), links)
 

@@ -9,10 +9,12 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from texelmill.llm import idfiles
 from texelmill.llm.queries import QUERIES
+from texelmill.session import cut_lineage
 
 FOLDER = "/root/testdata/sf0.001"
 PATH = P.path("byte_bpe_50k.json")
@@ -176,3 +178,49 @@ def test_counts_of_the_encoder(spark):
     docs = idfiles.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), PATH, end_id=2, counts="counts")
     assert (idfiles.count_ids(docs) == idfiles.count_ids(docs, counts="counts")).all() and idfiles.count_ids(docs)[2] >= 51
     assert idfiles.count_ids(docs.limit(0), counts="counts").tolist() == []
+
+
+def test_packed_ids():
+    """Rows of 2 and of 4 bytes an id side by side, empty and null ones."""
+    ids = [[5, 65535], [], [65536, 3], None]
+    column = pa.array([None if x is None else idfiles._packed(np.array(x, np.int32).tobytes()) for x in ids], pa.binary())
+    values, first = idfiles._flat(column)
+    assert values.dtype == np.int32 and values.tolist() == [5, 65535, 65536, 3] and first.tolist() == [0, 2, 2, 4, 4]
+    assert [len(x or b"") for x in column.to_pylist()] == [5, 1, 9, 0]
+
+
+def test_packed_documents_make_the_same_files(spark, tmp_path):
+    texts = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").limit(60)
+    found = []
+    for packed in (False, True):
+        docs = cut_lineage(idfiles.encode_documents(texts, PATH, end_id=2, counts="counts", packed=packed).drop("text"))
+        idfiles.write_ids(docs, str(tmp_path / str(packed)), counts="counts")
+        found.append(sorted(idfiles.read_ids(spark, str(tmp_path / str(packed))).collect()))
+    assert found[0] == found[1] and len(found[0]) == 60
+
+
+def test_ranges_come_from_keys_alone(spark, tmp_path, monkeypatch):
+    """Ids are looked at twice, to count and to code them: finding the ranges of documents coded all of them a third time."""
+    monkeypatch.setattr(idfiles, "PART", 100)
+    seen = spark.sparkContext.accumulator(0)
+
+    def make(i):
+        seen.add(1)
+        return [i % 7] * (i % 5)
+
+    keys = [None if i % 11 == 0 else f"{'é' if i % 3 else 'z'}{i * 37 % 50}" for i in range(400)]
+    docs = spark.createDataFrame(list(zip(range(400), keys)), "i int, doc_id string").select("doc_id", F.udf(make, "array<int>")("i").alias("ids"))
+    idfiles.write_ids(docs, str(tmp_path / "out"))
+    assert seen.value == 800
+    rows = sorted(idfiles.read_ids(spark, str(tmp_path / "out")).collect(), key=lambda r: (r.start, len(r.ids)))
+    assert sorted((r.doc_id or "", r.ids) for r in rows) == sorted((k or "", [i % 7] * (i % 5)) for i, k in enumerate(keys))
+    assert [r.start for r in rows] == np.cumsum([0, *(len(r.ids) for r in rows)])[:-1].tolist()
+    order = [r.doc_id for r in rows if r.ids]
+    assert order == sorted(order, key=lambda k: (k is not None, k or ""))
+    assert spark.read.parquet(str(tmp_path / "out" / "blocks")).select("part").distinct().count() > 1
+
+
+def test_line_ends_between_words(library):
+    texts = ["a line\nand another.\nThird", "one\n\ntwo", "x \ny", "x\n y", "a\n", "\na", "tab\t\nend", "it's\n's", "'\n'll\n9"]
+    got = idfiles.Encoder(PATH).encode(pa.array(texts))
+    assert [np.frombuffer(g, np.int32).tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]

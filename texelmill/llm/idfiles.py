@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,8 @@ BLOCK, CHECKPOINT = 1 << 16, 64
 #: Different segments of texts that a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 600_000, 200
 PIECE = 1 << 23
+#: Bytes of codes in a range of documents, before it has as many as Spark's shuffles have partitions.
+PART = 1 << 23
 
 U = np.uint64
 
@@ -45,8 +47,8 @@ _SIGNS = r"[!-&(-/:-@\[-`{-~]"
 _WORD = re.compile(rf"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)({_SIGNS}*)")
 _SIGN = re.compile(rf" ?{_SIGNS}+")
 _WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: A blank beside white space, or white space at an end: what lies between blanks are then not segments. A zero would be taken for a cut.
-_ODD = rf" {_WHITE}|{_WHITE} |^{_WHITE}|{_WHITE}$|\x00"
+#: A blank or a line's end beside white space, or white space at an end: what lies between them are then not segments. A zero would be taken for a cut.
+_ODD = rf"[ \n]{_WHITE}|{_WHITE}[ \n]|^{_WHITE}|{_WHITE}$|\x00"
 
 
 def _byte_signs() -> dict[int, str]:
@@ -119,7 +121,8 @@ class Encoder:
             self.known = {"": b""}
         while self.long:
             self.known.pop(self.long.pop(), None)
-        segments = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~odd)), " ", "\0 "), "\0")
+        # a line's end between others is a pre-token of its own
+        segments = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts.filter(pa.array(~odd)), " ", "\0 "), "\n", "\0\n\0"), "\0")
         coded = pc.dictionary_encode(segments.flatten())
         ids = list(map(self.known.__getitem__, self._learn(coded.dictionary.to_numpy(zero_copy_only=False).tolist())))
         flat = np.frombuffer(b"".join(ids), np.int32)
@@ -140,9 +143,15 @@ class Encoder:
         return out
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids", end_id: int | None = None, counts: str | None = None) -> DataFrame:
+def _packed(ids: bytes) -> bytes:
+    values = np.frombuffer(ids, np.int32)
+    return b"\2" + values.astype("<u2").tobytes() if values.max(initial=0) < 1 << 16 else b"\4" + values.astype("<i4").tobytes()
+
+
+def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids", end_id: int | None = None, counts: str | None = None, packed: bool = False) -> DataFrame:
     """The same rows plus ``out``, array<int>: the ids of the whole text by the byte-level tokenizer file, without special tokens, then ``end_id`` if given.
 
+    With ``packed``, ``out`` is binary, which Spark writes and reads without touching each id: the bytes of an id (2 or 4, as the text needs), then the ids, little-endian. :func:`write_ids` and :func:`count_ids` take both.
     ``counts``, if named, is binary: on one row of each piece how often its ids occur, for :func:`count_ids`, null on the others. A null text is empty. Columns of the new names are replaced, all others are kept. No shuffle; a worker holds a piece of PIECE bytes of texts, or one longer text, and REMEMBERED segments.
     """
     own = [f for f in docs.schema.fields if f.name not in (out, counts)]
@@ -157,7 +166,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", out: s
                 ids = encoder.encode(texts.slice(a, b - a), end)
                 first = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids]))).astype(np.int32)
                 flat = np.frombuffer(b"".join(ids), np.int32)
-                more = {out: pa.ListArray.from_arrays(first, pa.array(flat))}
+                more = {out: pa.array(list(map(_packed, ids)), pa.binary()) if packed else pa.ListArray.from_arrays(first, pa.array(flat))}
                 if counts:
                     seen = np.bincount(flat)
                     used = np.flatnonzero(seen)
@@ -165,7 +174,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", out: s
                 rows = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*[rows.column(f.name) for f in own], *more.values()], [*[f.name for f in own], *more])
 
-    more = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(counts, T.BinaryType())] if counts else [])]
+    more = [T.StructField(out, T.BinaryType() if packed else T.ArrayType(T.IntegerType())), *([T.StructField(counts, T.BinaryType())] if counts else [])]
     return docs.mapInArrow(run, T.StructType([*own, *more]))
 
 
@@ -274,7 +283,10 @@ def _small_batches(spark: SparkSession):
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column, null counting as empty, and the first of each row."""
+    """Values of a list column or one of packed ids, null counting as empty, and the first of each row."""
+    if pa.types.is_binary(column.type):
+        rows = [np.frombuffer(x, "<u2" if x[0] == 2 else "<i4", offset=1) if x else np.zeros(0, "<u2") for x in column.to_pylist()]
+        return np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32), np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int64)
     column = column.cast(pa.list_(pa.int32()))
     column = column.fill_null([]) if column.null_count else column
     first = np.concatenate(([0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False)))).astype(np.int64)
@@ -309,16 +321,38 @@ def count_ids(docs: DataFrame, ids: str = "ids", counts: str | None = None) -> n
     return counts
 
 
+def _bounds(keys: DataFrame, parts: int) -> list[tuple]:
+    """The least (doc, row) of every range but the first: at most ``parts`` ranges, and no more than Spark's shuffles have partitions, of about as many rows each."""
+    parts = max(1, min(parts, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    least = keys.repartitionByRange(parts, "doc", "row").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("doc", "row")).alias("least")).collect()
+    return [tuple(r.least) for r in sorted(least, key=lambda r: r.part)][1:]
+
+
+def _range_of(bounds: list[tuple], key: T.DataType) -> Column:
+    """The number of the range of (doc, row), found by halving; null first."""
+
+    def among(a: int, b: int) -> Column:
+        if a == b:
+            return F.lit(a)
+        half = (a + b + 1) // 2
+        doc, row = bounds[half - 1]
+        least = F.struct(F.lit(doc).cast(key).alias("doc"), F.lit(row).cast("long").alias("row"))
+        return F.when(F.struct("doc", "row") < least, among(a, half - 1)).otherwise(among(half, b))
+
+    return among(0, len(bounds))
+
+
 def write_ids(docs: DataFrame, folder: str, order: str = "doc_id", ids: str = "ids", counts: str | None = None) -> None:
     """Write the ids of all rows to ``folder`` in ascending ``order``, null first, ties in the order of the table; equal rows are documents of their own.
 
-    Null ids are a document without any. ``docs`` is read three times (counts, range bounds, blocks), so pass a written table. One shuffle of the ids, into ranges of (order, row) that a hot key
+    Null ids are a document without any. ``docs`` is read three times (counts, range bounds from ``order`` alone, blocks), so pass a written table. One shuffle of the ids, into ranges of (order, row) that a hot key
     can't fill; a task holds the documents of a block, or one longer document. A block holds
     whole documents of at most BLOCK ids together, or one stretch of a longer one. A table without rows makes a folder without blocks.
     """
     spark = docs.sparkSession
     with _small_batches(spark):
-        lengths = code_lengths(count_ids(docs, ids, counts))
+        counted = count_ids(docs, ids, counts)
+    lengths = code_lengths(counted)
     used = np.flatnonzero(lengths)
     book = pa.table([pa.array(used, pa.int32()), pa.array(lengths[used], pa.int32())], names=["id", "bits"])
     spark.createDataFrame(book).coalesce(1).write.mode("overwrite").parquet(f"{folder}/codebook")
@@ -327,6 +361,8 @@ def write_ids(docs: DataFrame, folder: str, order: str = "doc_id", ids: str = "i
     pieces_schema = T._parse_datatype_string(_PIECES.format(key=key.simpleString()))
     schema = T._parse_datatype_string(_BLOCKS.format(key=key.simpleString()))
 
+    bounds = _bounds(rows.select("doc", "row"), -(-int(lengths.astype(np.int64) @ counted) // (8 * PART))) if isinstance(key, (T.IntegralType, T.StringType)) else None
+
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(lengths)
         for batch in batches:
@@ -375,7 +411,9 @@ def write_ids(docs: DataFrame, folder: str, order: str = "doc_id", ids: str = "i
 
     with _small_batches(spark):
         small = rows.mapInArrow(shrink, pieces_schema)
-        ranged = small.repartitionByRange("doc", "row").sortWithinPartitions("doc", "row", "piece").drop("row")
+        # Spark would find the ranges of coded pieces by coding all of them once more
+        dealt = small.repartitionByRange("doc", "row") if bounds is None else small.repartitionById(len(bounds) + 1, _range_of(bounds, key))
+        ranged = dealt.sortWithinPartitions("doc", "row", "piece").drop("row")
         ranged.mapInArrow(run, schema).write.mode("overwrite").parquet(f"{folder}/blocks")
     # one row per range partition
     sizes = sorted((r.part, r.n) for r in spark.read.parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n").alias("n")).collect())

@@ -210,7 +210,7 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_token_files")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    ids = cut_lineage(idfiles.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, counts="counts").drop("text"))
+    ids = cut_lineage(idfiles.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, counts="counts", packed=True).drop("text"))
     target = f"{checkpoint_folder(spark)}/texelmill/{uuid.uuid4().hex}"
     idfiles.write_ids(ids, target, counts="counts")
     return idfiles.read_checksums(spark, target)

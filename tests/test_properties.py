@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -200,6 +202,40 @@ def test_padding_fills_every_palette(spark):
         assert sorted(r.idx for r in rows if r.palette_id == p) == list(range(256))
 
 
+def test_padding_offers_stay_in_the_row_of_their_palette(spark):
+    """Against plain Python, with every source of offers; offers as rows were some 1400 a palette, grouped, joined and sorted in one task."""
+    rnd = random.Random(5)
+    colour = lambda: tuple(rnd.randrange(0, 256, 51) for _ in RGB)
+    palettes = {p: [colour() for _ in range(n)] for p, n in ((0, 1), (1, 7), (2, 40), (3, 60), (None, 2))}
+    spare = [(p, i // 2, *colour()) for p in (0, 1, 2, 9) for i in range(12)]
+    hist = [(p, *c, rnd.randrange(1, 4)) for p in (0, 2, 3, 8, None) for c in {colour() for _ in range(30)}]
+    size = 50
+    out = lut.pad_palette(
+        spark.createDataFrame([(p, i, *c) for p, e in palettes.items() for i, c in enumerate(e)], "palette_id int, idx int, r int, g int, b int"),
+        size,
+        "palette_id",
+        spark.createDataFrame(hist, "palette_id int, r int, g int, b int, n long"),
+        spark.createDataFrame(spare, "palette_id int, seq long, r int, g int, b int"),
+    )
+    want = []
+    for p, entries in palettes.items():
+        want += [(p, i, *c, None) for i, c in enumerate(entries[:size])]
+        if p is None:
+            continue
+        offers = [(0, x[2:]) for x in sorted(x for x in spare if x[0] == p)]
+        for i, one in enumerate(entries):
+            for two in entries[i + 1 : i + 5]:
+                offers += [(1, tuple((a * (4 - k) + b * k) // 4 for a, b in zip(one, two))) for k in (1, 2, 3)]
+        offers += [(2, x[1:4]) for x in sorted((x for x in hist if x[0] == p), key=lambda x: (-x[4], x[1:4]))]
+        offers += [(3, (r, g, b)) for r in range(0, 256, 42) for g in range(0, 256, 42) for b in range(0, 256, 42)]
+        seen = set(entries)
+        new = [(s, c) for s, c in offers if not (c in seen or seen.add(c))]
+        want += [(p, len(entries) + i, *c, s) for i, (s, c) in enumerate(new[: max(0, size - len(entries))])]
+    assert plan(out).count("Generate") == 1
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted((tuple(r) for r in out.collect()), key=key) == sorted(want, key=key)
+
+
 # ---- neighbourhoods ---------------------------------------------------------------------------------------------------
 
 

@@ -81,42 +81,45 @@ def pad_palette(
     0 ``candidates`` (by, seq, r, g, b); 1 quarter blends of entries i and i+1..i+4; 2 the most frequent colours of
     ``hist`` (by, r, g, b, n) that are missing; 3 an RGB grid of step 42 (343 colours, so every size up to 256 fills).
     A colour is taken once, from its first offer. New entries get the indices after the old ones.
+
+    One row per palette: offers are arrays of packed colours in their order, never rows, so a task holds no more than its palettes.
     """
-    packed = packed_palette(palette, by)
     n = F.size("entries")
-
-    def offer(df: DataFrame, strategy: int, seq: Column) -> DataFrame:
-        return df.select(by, F.lit(strategy).alias("strategy"), seq.cast("long").alias("seq"), *RGB)
-
-    i, step, k = F.col("i"), F.col("step"), F.col("k")
-    pairs = (
-        packed.select(by, "entries", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-        .select("*", F.explode(F.sequence(F.lit(1), F.lit(BLEND_REACH))).alias("step"))
-        .where(i + step < F.size("entries"))
-        .select("*", F.explode(F.sequence(F.lit(1), F.lit(BLEND_PARTS - 1))).alias("k"))
-    )
-    one, two = F.element_at("entries", i + 1), F.element_at("entries", i + step + 1)
-    mix = {c: F.floor((one[c] * (BLEND_PARTS - k) + two[c] * k) / BLEND_PARTS).cast("int") for c in RGB}
-    offers = offer(pairs.withColumns(mix), 1, (i * (BLEND_REACH + 1) + step) * BLEND_PARTS + k)
-
-    grid = F.sequence(F.lit(0), F.lit(255), F.lit(GRID_STEP))
-    cube = packed.select(by, F.explode(grid).alias("r")).select("*", F.explode(grid).alias("g")).select("*", F.explode(grid).alias("b"))
-    offers = offers.unionByName(offer(cube, 3, color.pack_rgb(F.col("r"), F.col("g"), F.col("b"))))
+    short = packed_palette(palette, by).where(F.col(by).isNotNull() & (n < size))
+    packed = color.pack_rgb(*[F.col(c) for c in RGB])
+
+    def first_offers(df: DataFrame, name: str, *order: Column) -> DataFrame:
+        # at most 2 * size of them can matter: size palette colours may be among them
+        place = F.row_number().over(Window.partitionBy(by).orderBy(*order, *RGB))
+        first = df.select(by, *RGB, place.alias("_p")).where(F.col("_p") <= 2 * size)
+        return first.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", packed.alias("c")))), lambda o: o["c"]).alias(name))
+
+    def blend(one: Column, two: Column, k: Column) -> Column:
+        return color.pack_rgb(*[F.floor((one[c] * (BLEND_PARTS - k) + two[c] * k) / BLEND_PARTS).cast("int") for c in RGB])
+
+    def blends(i: Column) -> Column:
+        one, parts = F.element_at("entries", i + 1), F.sequence(F.lit(1), F.lit(BLEND_PARTS - 1))
+        near = F.filter(F.sequence(i + 1, i + BLEND_REACH), lambda j: j < n)
+        return F.flatten(F.transform(near, lambda j: F.transform(parts, lambda k: blend(one, F.element_at("entries", j + 1), k))))
+
+    steps = range(0, 256, GRID_STEP)
+    grid = F.array(*[F.lit((r << 16) | (g << 8) | b) for r in steps for g in steps for b in steps])
+    offers = [(1, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), blends))), (3, grid)]
     if candidates is not None:
-        offers = offers.unionByName(offer(candidates, 0, F.col("seq")))
+        once = candidates.groupBy(by, *RGB).agg(F.min("seq").alias("seq"))
+        short = short.join(first_offers(once, "_o0", F.col("seq")), by, "left")
+        offers.append((0, F.col("_o0")))
     if hist is not None:
-        # at most 2 * size of the most frequent colours can matter: size palette colours may be among them
-        order = Window.partitionBy(by).orderBy(F.desc("n"), *RGB)
-        frequent = hist.withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= 2 * size)
-        offers = offers.unionByName(offer(frequent.join(packed.select(by), by, "left_semi"), 2, F.col("seq")))
-    first = offers.groupBy(by, *RGB).agg(F.min(F.struct("strategy", "seq")).alias("o"))
-    fresh = first.join(palette.select(by, *RGB), [by, *RGB], "left_anti")
-    place = F.row_number().over(Window.partitionBy(by).orderBy("o.strategy", "o.seq", *RGB))
-    room = packed.select(by, n.alias("_n"))
-    added = fresh.withColumn("_p", place).where(F.col("_p") <= size).join(room, by).where(F.col("_p") + F.col("_n") <= size)
+        short = short.join(first_offers(hist, "_o2", F.desc("n")), by, "left")
+        offers.append((2, F.col("_o2")))
+    new = short.withColumns({"_seen": F.transform("entries", lambda e: color.pack_rgb(*[e[c] for c in RGB])), "_new": F.array().cast("array<struct<c:int,s:int>>")})
+    for strategy, colours in sorted(offers, key=lambda o: o[0]):
+        new = new.withColumn("_fresh", F.array_except(F.coalesce(colours, F.array().cast("array<int>")), "_seen"))
+        new = new.withColumns({"_seen": F.concat("_seen", "_fresh"), "_new": F.concat("_new", F.transform("_fresh", lambda c: F.struct(c.alias("c"), F.lit(strategy).alias("s"))))})
+    added = new.select(by, n.alias("_n"), F.posexplode(F.slice("_new", F.lit(1), size - n)).alias("_p", "o"))
     return (
         palette.select(by, "idx", *RGB, F.lit(None).cast("int").alias("strategy"))
-        .unionByName(added.select(by, (F.col("_n") + F.col("_p") - 1).cast("int").alias("idx"), *RGB, F.col("o.strategy").alias("strategy")))
+        .unionByName(added.select(by, (F.col("_n") + F.col("_p")).cast("int").alias("idx"), *[v.alias(k) for k, v in color.unpack_rgb(F.col("o.c")).items()], F.col("o.s").alias("strategy")))
         .where(F.col("idx") < size)
     )
 

@@ -329,17 +329,16 @@ def _bounds(keys: DataFrame, parts: int) -> list[tuple]:
 
 
 def _range_of(bounds: list[tuple], key: T.DataType) -> Column:
-    """The number of the range of (doc, row), found by halving; null first."""
+    """The number of the range of (doc, row), found by halving in one array of the bounds; null first."""
+    if not bounds:
+        return F.lit(0)
+    least = F.array(*[F.struct(F.lit(doc).cast(key).alias("doc"), F.lit(row).cast("long").alias("row")) for doc, row in bounds])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
 
-    def among(a: int, b: int) -> Column:
-        if a == b:
-            return F.lit(a)
-        half = (a + b + 1) // 2
-        doc, row = bounds[half - 1]
-        least = F.struct(F.lit(doc).cast(key).alias("doc"), F.lit(row).cast("long").alias("row"))
-        return F.when(F.struct("doc", "row") < least, among(a, half - 1)).otherwise(among(half, b))
+    def further(at: Column, step: Column) -> Column:
+        return F.when((at + step <= len(bounds)) & (F.struct("doc", "row") >= F.get(least, at + step - 1)), at + step).otherwise(at)
 
-    return among(0, len(bounds))
+    return F.aggregate(steps, F.lit(0), further)
 
 
 def write_ids(docs: DataFrame, folder: str, order: str = "doc_id", ids: str = "ids", counts: str | None = None) -> None:

@@ -737,6 +737,59 @@ def test_ngram_join_compares_a_large_group_in_blocks(spark, monkeypatch):
     assert sum(asked) < 10_000, asked  # of 44850 pairs
 
 
+def test_ngram_join_gives_its_disk_back(spark, monkeypatch):
+    """Texts are held only of sets that are compared, and no table of texts, shingles or signatures is left behind."""
+    from pathlib import Path
+
+    rng = random.Random(5)
+    texts = [prose(rng, 80, 10**6) for _ in range(30)]
+    texts += [" ".join([*words(t)[:-1], "changed"]) for t in texts[:4]]  # four linked pairs
+    texts += [" ".join([*words(texts[9])[:9], *words(prose(rng, 300, 10**6))])]  # shares shingles with another, but no link is possible by size
+    held, plain = [], ngram_join.cut_lineage
+
+    def cut(df):
+        table = plain(df)
+        held.append((table.columns, table.count(), Path(vars(table).get("_written_to", "").removeprefix("file:"))))
+        return table
+
+    monkeypatch.setattr(ngram_join, "cut_lineage", cut)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i - 30 if 30 <= i < 34 else i for i in range(35)}
+    assert [n for columns, n, _ in held if "text" in columns] == [8, 0]
+    left = {c for columns, _, path in held if path.exists() for c in columns}
+    assert left & {"id", "n"} and not left & {"text", "signature", "signatures", "shingles"}
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    """Shuffle files go when the table that needed them is written, not when the driver collects its garbage; the setting of the session stays as it was."""
+    import time
+
+    from texelmill.session import SHUFFLES_GO, cut_lineage, drop_tables
+
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().iterator()
+        found = set()
+        while blocks.hasNext():
+            found.add(blocks.next().name())
+        return {x for x in found if x.startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get(SHUFFLES_GO, None)
+    frame_ = spark.range(20_000).groupBy((F.col("id") % 997).alias("k")).agg(F.sum("id").alias("s"))
+    kept = frame_.groupBy("s").count()
+    assert kept.count() == 997 and shuffles() - before  # an action of the session keeps its files while the frame is there
+    others = shuffles()
+    table = cut_lineage(frame_.join(frame_.select("k", F.col("s").alias("t")), "k"))
+    until = time.time() + 20
+    while shuffles() - others and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - others
+    assert spark.conf.get(SHUFFLES_GO, None) == setting
+    assert table.count() == 997 and table.where("s = t").count() == 997
+    drop_tables(table)
+    with pytest.raises(Exception, match="(?i)not.*exist|no such file|FILE_NOT"):
+        table.count()
+
+
 def test_ngram_join_shared_counts():
     import numpy as np
 

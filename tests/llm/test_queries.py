@@ -76,6 +76,24 @@ def test_one_row_of_each_group(spark):
     assert order(got) in (order([*sure, (None, clean[0])]), order([*sure, (None, near(clean[0]))]))
 
 
+def test_one_row_of_each_group_gives_its_disk_back(spark):
+    """When the stage's result is read, no texts, shingles or signatures of its search are left in the shared folder."""
+    import random
+
+    from texelmill.session import checkpoint_folder
+
+    folder = Path(checkpoint_folder(spark).removeprefix("file:")) / "texelmill"
+    tables = lambda: set(folder.iterdir()) if folder.exists() else set()
+    rng, before = random.Random(6), tables()
+    texts = [prose(rng, 60, 10**6) for _ in range(6)]
+    texts += [" ".join([*words(t)[:-1], "changed"]) for t in texts[:3]]
+    docs = spark.createDataFrame([(i, t, "en", "a", None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.one_of_each_group(spark, docs, FOLDER)
+    left = {c for path in tables() - before for c in spark.read.parquet(str(path)).columns}
+    assert left and not left & {"text", "shingles", "signature", "signatures"}
+    assert sorted(r.doc_id for r in out.collect()) == list(range(6))
+
+
 def test_the_rest_stands_alone(tmp_path):
     """Without the package and the pipeline, the entry still imports and keeps the other queries."""
     import shutil
